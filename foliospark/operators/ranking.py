@@ -2,8 +2,7 @@
 
 A key may hold a third of all rows, so a plain window over it would be one huge task. Two ways out:
 
-* ``top_rows`` keeps the first n of each key. Spark cuts to n rows before the shuffle for limits up
-  to its window group limit; above that the rows are first ranked in hashed parts of the key.
+* ``top_rows`` keeps the first n of each key; Spark cuts to n rows before the shuffle.
 * The others work in segments of the ordering value: a window inside each (key, segment), one summary
   row per segment, a window over the few summaries of a key, and a join that adds what came before.
 """
@@ -12,20 +11,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-GROUP_LIMIT = 1000
-PARTS = 64
+# Up to this many rows per key and map task, one merge of all map outputs of a key stays small.
+ONE_MERGE = 50
+MERGES = 512
+LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """The first ``n`` rows of each key with their rank; ``order`` must be total."""
-    if n > GROUP_LIMIT:
-        part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(PARTS))
-        inner = Window.partitionBy(*keys, "_part").orderBy(*order)
+    """The first ``n`` rows of each key with their rank; ``order`` must be total.
+
+    Every map task passes on n rows per key at most. For a larger n those are merged in two steps, first
+    the tasks of one group, then the groups, so that even a key present in all tasks stays bounded.
+    """
+    conf = df.sparkSession.conf
+    if n > int(conf.get(LIMIT_SETTING)):
+        conf.set(LIMIT_SETTING, str(n))
+    if n > ONE_MERGE:
+        group = Window.partitionBy(*keys, "_group").orderBy(*order)
         df = (
-            df.withColumn("_part", part)
-            .withColumn("_inner", F.row_number().over(inner))
-            .where(F.col("_inner") <= n)
-            .drop("_part", "_inner")
+            df.withColumn("_group", F.spark_partition_id() % MERGES)
+            .withColumn("_place", F.row_number().over(group))
+            .where(F.col("_place") <= n)
+            .drop("_group", "_place")
         )
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("long"))

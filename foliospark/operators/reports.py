@@ -134,23 +134,23 @@ def first_chapters(projects: DataFrame, chapters: DataFrame) -> DataFrame:
 def manuscript_parts(projects: DataFrame, chapters: DataFrame) -> DataFrame:
     """A manuscript as ordered pieces: the pieces of a project joined in order are its Markdown text.
 
-    Pieces, because one project may hold more text than a single value or task can.
+    Pieces, because one project may hold more text than a single value or task can. Each chapter brings the
+    blank line before it, so no piece has to know its neighbours.
     """
-    lead = chapters.groupBy("project_id").agg(F.min(F.struct("position", "chapter_id")).alias("lead"))
-    is_lead = F.struct("position", "chapter_id") == F.col("lead")
-    body = chapters.join(lead, "project_id").select(
-        "project_id",
-        F.lit(1).alias("part"),
-        F.col("position").cast("long").alias("position"),
-        "chapter_id",
-        F.concat(F.when(is_lead, F.lit("")).otherwise(F.lit("\n\n")), F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("plain_text")).alias("piece"),
-    )
-    head = projects.select(
+    filled = chapters.select("project_id").distinct().withColumn("filled", F.lit(True))
+    head = projects.join(filled, "project_id", "left").select(
         "project_id",
         F.lit(0).alias("part"),
         F.lit(-1).cast("long").alias("position"),
         F.lit(-1).cast("long").alias("chapter_id"),
-        F.concat(F.lit("# "), F.col("title"), F.lit("\n\n")).alias("piece"),
+        F.concat(F.lit("# "), F.col("title"), F.when(F.col("filled"), "").otherwise("\n\n")).alias("piece"),
+    )
+    body = chapters.select(
+        "project_id",
+        F.lit(1).alias("part"),
+        F.col("position").cast("long").alias("position"),
+        "chapter_id",
+        F.concat(F.lit("\n\n## "), F.col("title"), F.lit("\n\n"), F.col("plain_text")).alias("piece"),
     )
     return head.unionByName(body)
 

@@ -161,7 +161,6 @@ def expand_with_aliases(questions: DataFrame, characters: DataFrame) -> DataFram
 
     Characters arrive as one bounded list per project, so no (question, character) pairs are made.
     """
-    joined = questions.join(cast_of(characters), "project_id", "left")
     asked = F.lower("query")
 
     def mentioned(c: Column) -> Column:
@@ -170,13 +169,16 @@ def expand_with_aliases(questions: DataFrame, characters: DataFrame) -> DataFram
             lambda a: (F.length(a) > 1) & (F.instr(asked, F.lower(a)) > 0),
         )
 
-    known = F.filter(F.coalesce("cast", F.array().cast("array<struct<rank:bigint,name:string,aliases:array<string>>>")), mentioned)
-    extra = F.transform(known, lambda c: F.concat(F.lit(" "), c["name"], F.lit(" "), F.array_join(c["aliases"], " ")))
-    return joined.select(
+    none = F.array().cast("array<struct<rank:bigint,name:string,aliases:array<string>>>")
+    known = questions.join(cast_of(characters), "project_id", "left").select(
+        "query_id", "project_id", "query", F.filter(F.coalesce("cast", none), mentioned).alias("known")
+    )
+    extra = F.transform("known", lambda c: F.concat(F.lit(" "), c["name"], F.lit(" "), F.array_join(c["aliases"], " ")))
+    return known.select(
         "query_id",
         "project_id",
         F.substring(F.concat(F.col("query"), F.array_join(extra, "")), 1, S.MAX_QUERY_LENGTH).alias("query"),
-        F.size(known).cast("long").alias("mentioned"),
+        F.size("known").cast("long").alias("mentioned"),
     )
 
 

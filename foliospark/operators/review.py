@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliospark.operators.chunking import with_currency
 from foliospark.operators.revisions import fold_revisions
+from foliospark.session import cut_lineage
 
 
 def review_outcomes(reviews: DataFrame, facts: DataFrame, chunks: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -15,7 +16,8 @@ def review_outcomes(reviews: DataFrame, facts: DataFrame, chunks: DataFrame, cha
     """
     sources = with_currency(chunks, chapters).select("chunk_id", "current")
     known = facts.select("fact_id", "chunk_id", F.col("revision").alias("initial")).join(sources, "chunk_id")
-    judged = (
+    known = cut_lineage(known)
+    judged = cut_lineage(
         reviews.select("event_id", "fact_id", "at_us", "base_revision", "status")
         .join(known.select("fact_id", "current"), "fact_id", "left")
         .withColumn("stale", (F.col("status") == "approved") & ~F.col("current"))
@@ -60,7 +62,7 @@ def edit_outcomes(edits: DataFrame, rows: DataFrame) -> DataFrame:
     ``edits``: event_id, row_id, project_id, at_us, base_revision; ``rows``: row_id, project_id, revision.
     """
     known = rows.select("row_id", F.col("project_id").alias("home"), F.col("revision").alias("initial"))
-    judged = edits.join(known, "row_id", "left").withColumn("moved", F.col("project_id") != F.col("home"))
+    judged = cut_lineage(edits.join(known, "row_id", "left").withColumn("moved", F.col("project_id") != F.col("home")))
     folded = fold_revisions(
         judged.withColumn("key", F.col("row_id")).withColumn("usable", F.coalesce(~F.col("moved"), F.lit(False))),
         known.select(F.col("row_id").alias("key"), "initial"),

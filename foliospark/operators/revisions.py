@@ -11,7 +11,7 @@ a third of the events, so a key is cut into time segments and handled in three p
 3. every (key, segment) on its own again: replay it from the known start.
 
 The replay streams over sorted Arrow batches and holds one number per key. Texts take no part; they are
-joined back by event.
+joined back by event. The narrow event rows are written once, because all passes read them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliospark import schemas as S
 from foliospark.operators.ranking import full_rank
+from foliospark.session import cut_lineage
 
 HOUR_MICROS = 3_600_000_000
 
@@ -143,14 +144,14 @@ def save_outcomes(
 
     ``saves``: event_id, chapter_id, at_us, base_revision, title, content_json, plain_text.
     """
-    judged = saves.select(
+    judged = cut_lineage(saves.select(
         "event_id",
         "chapter_id",
         "at_us",
         "base_revision",
         ((F.octet_length("plain_text") > max_text) | (F.octet_length("content_json") > max_content)).alias("too_large"),
         F.coalesce(F.get_json_object("content_json", "$.type") != "doc", F.lit(True)).alias("not_a_doc"),
-    )
+    ))
     folded = fold_revisions(
         judged.withColumn("key", F.col("chapter_id")).withColumn("usable", ~F.col("too_large") & ~F.col("not_a_doc")),
         chapters.select(F.col("chapter_id").alias("key"), F.col("revision_number").alias("initial")),

@@ -23,6 +23,7 @@ from foliospark.operators import (
     search,
 )
 from foliospark.plans.oracle import sql, words
+from foliospark.session import cut_lineage
 from foliospark.sources.fixtures import EPOCH_US, Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +72,7 @@ def chunk_overlap(c: Corpus) -> DataFrame:
 @query(
     "chunk_offset_check",
     sql(
-        """SELECT count(*) AS chunks, count_if(substring(c.plain_text, p.start_offset + 1, p.end_offset - p.start_offset) <> p.content) AS violations
+        """SELECT count(*) AS chunks, CAST(count_if(substring(c.plain_text, p.start_offset + 1, p.end_offset - p.start_offset) <> p.content) AS BIGINT) AS violations
            FROM fresh_chunks p JOIN chapters c USING (chapter_id)""",
         "fresh_chunks",
     ),
@@ -391,7 +392,7 @@ def fact_review(c: Corpus) -> DataFrame:
     ),
 )
 def fact_state(c: Corpus) -> DataFrame:
-    outcomes = review.review_outcomes(c.reviews, c.facts, c.chunks, c.chapters)
+    outcomes = cut_lineage(review.review_outcomes(c.reviews, c.facts, c.chunks, c.chapters))
     return review.reviewed_facts(c.facts, c.reviews, outcomes).select(
         "fact_id", "project_id", "chunk_id", digest("claim").alias("claim_hash"), "status", "revision"
     )
@@ -405,7 +406,7 @@ def _save_outcomes(c: Corpus) -> DataFrame:
 
 
 def _states(c: Corpus) -> DataFrame:
-    return revisions.chapter_states(c.saves, c.chapters, _save_outcomes(c))
+    return revisions.chapter_states(c.saves, c.chapters, cut_lineage(_save_outcomes(c)))
 
 
 @query(
@@ -455,7 +456,7 @@ def version_export(c: Corpus) -> DataFrame:
 )
 def version_restore(c: Corpus) -> DataFrame:
     """Restore the oldest version of every chapter that has one."""
-    states = _states(c)
+    states = cut_lineage(_states(c))
     versions, present = revisions.chapter_versions(states), revisions.present_chapters(states)
     wanted = versions.groupBy("chapter_id").agg(F.min("revision").alias("revision")).select(
         F.col("chapter_id").alias("event_id"), "chapter_id", "revision", F.lit(EPOCH_US * 2).alias("at_us")
@@ -486,16 +487,16 @@ def late_saves(c: Corpus) -> DataFrame:
 @query(
     "row_edits",
     sql(
-        """SELECT e.event_id, e.user_id AS row_id, CASE WHEN n.note_id IS NULL THEN 'NOT_FOUND' WHEN e.k % 4 <> 0 THEN 'REVISION_CONFLICT'
-             WHEN n.home <> 'src' || (e.k % 20) THEN 'PROJECT_CANNOT_CHANGE' ELSE 'applied' END AS first_try
-           FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS n FROM ev) e
-           LEFT JOIN (SELECT item_id AS note_id, project_id AS home FROM outline) n ON n.note_id = e.user_id WHERE e.n = 1""",
-        "ev",
-        "outline",
+        """SELECT e.event_id, e.user_id AS row_id, e.at_us, e.k % 4 AS base_revision, f.met AS revision_met,
+             CASE WHEN s.row_id IS NULL THEN 'NOT_FOUND' WHEN s.base_revision <> f.met THEN 'REVISION_CONFLICT'
+               WHEN s.moved THEN 'PROJECT_CANNOT_CHANGE' ELSE 'applied' END AS outcome
+           FROM ev e LEFT JOIN edit_steps s ON s.event_id = e.event_id LEFT JOIN edit_fold f ON f.event_id = e.event_id""",
+        "edit_steps",
+        "edit_fold",
     ),
 )
 def row_edits(c: Corpus) -> DataFrame:
-    """First edit of each planning row; the full fold is compared with a plain loop in the tests."""
+    """Every event as an edit of the outline item numbered like the user."""
     edits = c.events.select(
         "event_id",
         F.col("user_id").alias("row_id"),
@@ -504,11 +505,7 @@ def row_edits(c: Corpus) -> DataFrame:
         (F.col("k") % 4).alias("base_revision"),
     )
     rows = c.outline.select(F.col("item_id").alias("row_id"), "project_id", F.lit(0).cast("long").alias("revision"))
-    outcomes = review.edit_outcomes(edits, rows)
-    first = edits.groupBy("row_id").agg(F.min(F.struct("at_us", "event_id"))["event_id"].alias("event_id"))
-    return outcomes.join(first.select("event_id"), "event_id", "left_semi").select(
-        "event_id", "row_id", F.col("outcome").alias("first_try")
-    )
+    return review.edit_outcomes(edits, rows)
 
 
 # --- index jobs ---------------------------------------------------------------------------------------------
@@ -610,7 +607,7 @@ def requeue_failed(c: Corpus) -> DataFrame:
 @query(
     "index_progress",
     sql(
-        "SELECT project_id, count(*) AS total, count_if(status = 'ready') AS ready, count_if(status <> 'ready') AS remaining FROM jobs GROUP BY 1",
+        "SELECT project_id, count(*) AS total, CAST(count_if(status = 'ready') AS BIGINT) AS ready, CAST(count_if(status <> 'ready') AS BIGINT) AS remaining FROM jobs GROUP BY 1",
         "jobs",
     ),
 )
@@ -893,9 +890,8 @@ def first_chapters(c: Corpus) -> DataFrame:
 @query(
     "manuscript_export",
     sql(
-        """SELECT project_id, 0 AS part, CAST(-1 AS BIGINT) AS position, CAST(-1 AS BIGINT) AS chapter_id, md5('# ' || title || chr(10) || chr(10)) AS piece_hash FROM projects
-           UNION ALL SELECT project_id, 1, position, chapter_id, md5(CASE WHEN row_number() OVER (PARTITION BY project_id ORDER BY position, chapter_id) = 1
-             THEN '' ELSE chr(10) || chr(10) END || '## ' || title || chr(10) || chr(10) || plain_text) FROM chapters""",
+        """SELECT project_id, 0 AS part, CAST(-1 AS BIGINT) AS position, CAST(-1 AS BIGINT) AS chapter_id, md5('# ' || title) AS piece_hash FROM projects
+           UNION ALL SELECT project_id, 1, position, chapter_id, md5(chr(10) || chr(10) || '## ' || title || chr(10) || chr(10) || plain_text) FROM chapters""",
         "projects",
         "chapters",
     ),

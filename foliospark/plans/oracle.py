@@ -87,16 +87,16 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "facts": (
         ("chunks",),
-        """SELECT 'f' || s.chapter_id AS fact_id, s.project_id, s.chunk_id, b.text AS claim,
+        """SELECT 'f' || s.chunk_id AS fact_id, s.project_id, s.chunk_id, b.text AS claim,
            CASE WHEN s.chapter_id % 5 = 4 THEN 'tidak ada ' || s.chapter_id ELSE substring(s.content, 1, 60) END AS quote,
-           CASE s.chapter_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' ELSE 'ignored' END AS status,
-           CAST(0 AS BIGINT) AS revision, s.chapter_id AS created_at
-           FROM chunks s JOIN benchmark b ON b.item_id = s.chapter_id % 40 WHERE s.chunk_index = 0""",
+           CASE s.number % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' ELSE 'ignored' END AS status,
+           CAST(0 AS BIGINT) AS revision, s.number AS created_at
+           FROM (SELECT *, chapter_id * 1000 + chunk_index AS number FROM chunks) s JOIN benchmark b ON b.item_id = s.chapter_id % 40""",
     ),
     "insights": (
         ("chunks",),
         """SELECT 'i' || chunk_id AS insight_id, project_id, chunk_id, substring(content, 1, 80) AS summary,
-           chapter_id * 1000 + chunk_index AS created_at FROM chunks WHERE chapter_id % 2 = 0""",
+           chapter_id * 1000 + chunk_index AS created_at FROM chunks WHERE chapter_id IN (SELECT doc_id FROM labels)""",
     ),
     "characters": (
         (),
@@ -182,7 +182,7 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "answers": (
         ("chunks",),
-        """SELECT chapter_id AS answer_id, CASE chapter_id % 8
+        """SELECT chapter_id * 1000 + chunk_index AS answer_id, CASE (chapter_id + chunk_index) % 8
              WHEN 0 THEN to_json({'claims': [good]})
              WHEN 1 THEN to_json({'claims': [good, {'text': 'Klaim', 'source_id': 'bukan sumber', 'quote': q}]})
              WHEN 2 THEN to_json({'claims': [{'text': 'Klaim', 'source_id': chunk_id, 'quote': q || '~~'}]})
@@ -191,14 +191,13 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
              WHEN 5 THEN to_json({'claims': [good, good]})
              WHEN 6 THEN to_json({'claims': [good, good, good, good, good, good, good]})
              ELSE to_json({'claims': [{'text': chapter_id, 'source_id': chunk_id, 'quote': q}]}) END AS doc
-           FROM (SELECT chapter_id, chunk_id, substring(content, 3, 60) AS q,
-             {'text': 'Klaim ' || chapter_id, 'source_id': chunk_id, 'quote': substring(content, 3, 60)} AS good
-             FROM chunks WHERE chunk_index = 0)""",
+           FROM (SELECT chapter_id, chunk_index, chunk_id, substring(content, 3, 60) AS q,
+             {'text': 'Klaim ' || chapter_id, 'source_id': chunk_id, 'quote': substring(content, 3, 60)} AS good FROM chunks)""",
     ),
     "answer_sources": (
         ("chunks",),
-        """SELECT chapter_id AS answer_id, chunk_id AS source_id, content, chapter_id, project_id, source_revision, source_hash
-           FROM chunks WHERE chunk_index < 6""",
+        """SELECT chapter_id * 1000 + chunk_index - back AS answer_id, chunk_id AS source_id, content, chapter_id, project_id, source_revision,
+           source_hash FROM chunks CROSS JOIN (VALUES (0), (1)) v(back) WHERE chunk_index >= back""",
     ),
     "claims": (
         ("answers", "answer_sources"),
@@ -249,6 +248,20 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
            FROM reviews r JOIN facts f ON f.fact_id = r.fact_id JOIN chunks s ON s.chunk_id = f.chunk_id
            JOIN chapters c ON c.chapter_id = s.chapter_id""",
     ),
+    "edit_steps": (
+        ("ev", "outline"),
+        """SELECT e.event_id, e.user_id AS row_id, e.at_us, e.k % 4 AS base_revision, o.project_id <> 'src' || (e.k % 20) AS moved,
+           row_number() OVER (PARTITION BY e.user_id ORDER BY e.at_us, e.event_id) AS n
+           FROM ev e JOIN outline o ON o.item_id = e.user_id""",
+    ),
+    "edit_fold": (
+        ("edit_steps",),
+        """SELECT row_id, n, event_id, CAST(0 AS BIGINT) AS met, CAST(CASE WHEN base_revision = 0 AND NOT moved THEN 1 ELSE 0 END AS BIGINT) AS after
+           FROM edit_steps WHERE n = 1
+           UNION ALL
+           SELECT s.row_id, s.n, s.event_id, f.after, f.after + CASE WHEN s.base_revision = f.after AND NOT s.moved THEN 1 ELSE 0 END
+           FROM edit_fold f JOIN edit_steps s ON s.row_id = f.row_id AND s.n = f.n + 1""",
+    ),
     "review_fold": (
         ("review_steps",),
         """SELECT fact_id, n, event_id, initial AS met, initial + CASE WHEN base_revision = initial AND NOT stale THEN 1 ELSE 0 END AS after

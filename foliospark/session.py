@@ -46,8 +46,11 @@ def run_folder(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors and ends plan growth in a loop."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write the rows to a table in the shared folder and go on from there.
+
+    For rows several later steps read, and for loops whose plan would grow. The table is computed once, outlives
+    lost executors, and is read with column pruning. Its folder may be removed when the result has been stored.
+    """
+    path = run_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

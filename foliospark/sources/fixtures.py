@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliospark.functions.text import md5_text, row_key
 from foliospark.operators.chunking import chunk_chapters
+from foliospark.session import cut_lineage
 
 SECOND = 1_000_000
 # 2024-01-01 00:00:00 UTC.
@@ -84,9 +85,9 @@ class Corpus:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        """The stored chunks; those of every seventh chapter are of the revision before."""
+        """The stored chunk table; chunks of every seventh chapter are of the revision before."""
         behind = F.when(F.col("chapter_id") % 7 == 0, 1).otherwise(0)
-        return chunk_chapters(self.chapters.withColumn("revision_number", F.col("revision_number") - behind))
+        return cut_lineage(chunk_chapters(self.chapters.withColumn("revision_number", F.col("revision_number") - behind)))
 
     @cached_property
     def benchmark(self) -> DataFrame:
@@ -102,26 +103,27 @@ class Corpus:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """One fact per chapter, on its first chunk; every fifth quotes something that is not there."""
+        """One fact per chunk; those of every fifth chapter quote something that is not there."""
         claims = self.benchmark.select(F.col("item_id").alias("_item"), F.col("text").alias("claim"))
-        chapter = F.col("chapter_id")
-        first = self.chunks.where(F.col("chunk_index") == 0).withColumn("_item", chapter % QUESTION_CYCLE)
-        return first.join(claims, "_item").select(
-            F.concat(F.lit("f"), chapter.cast("string")).alias("fact_id"),
+        chapter, number = F.col("chapter_id"), F.col("chapter_id") * 1000 + F.col("chunk_index")
+        return self.chunks.withColumn("_item", chapter % QUESTION_CYCLE).join(claims, "_item").select(
+            F.concat(F.lit("f"), F.col("chunk_id")).alias("fact_id"),
             "project_id",
             "chunk_id",
             "claim",
             F.when(chapter % 5 == 4, F.concat(F.lit("tidak ada "), chapter.cast("string")))
             .otherwise(F.substring("content", 1, 60))
             .alias("quote"),
-            F.when(chapter % 3 == 0, "pending").when(chapter % 3 == 1, "approved").otherwise("ignored").alias("status"),
+            F.when(number % 3 == 0, "pending").when(number % 3 == 1, "approved").otherwise("ignored").alias("status"),
             F.lit(0).cast("long").alias("revision"),
-            chapter.alias("created_at"),
+            number.alias("created_at"),
         )
 
     @cached_property
     def insights(self) -> DataFrame:
-        return self.chunks.where(F.col("chapter_id") % 2 == 0).select(
+        """An insight for every chunk of a labelled document."""
+        labelled = self.table("labels").select(F.col("doc_id").alias("chapter_id"))
+        return self.chunks.join(labelled, "chapter_id", "left_semi").select(
             F.concat(F.lit("i"), F.col("chunk_id")).alias("insight_id"),
             "project_id",
             "chunk_id",
@@ -250,9 +252,9 @@ class Corpus:
 
     @cached_property
     def answers(self) -> DataFrame:
-        """One recorded answer per chapter, in eight kinds from valid to broken."""
-        first = self.chunks.where(F.col("chunk_index") == 0).select("chapter_id", "chunk_id", "content")
-        kind = F.col("chapter_id") % 8
+        """One recorded answer per chunk, in eight kinds from valid to broken."""
+        number = F.col("chapter_id") * 1000 + F.col("chunk_index")
+        kind = (F.col("chapter_id") + F.col("chunk_index")) % 8
         quote = F.substring("content", 3, 60)
 
         def claim(text: Column, source: Column, cited: Column) -> Column:
@@ -262,7 +264,7 @@ class Corpus:
             return F.to_json(F.struct(F.array(*claims).alias("claims")))
 
         good = claim(F.concat(F.lit("Klaim "), F.col("chapter_id").cast("string")), F.col("chunk_id"), quote)
-        number = claim(F.col("chapter_id"), F.col("chunk_id"), quote)
+        untyped = claim(F.col("chapter_id"), F.col("chunk_id"), quote)
         payload = (
             F.when(kind == 0, doc(good))
             .when(kind == 1, doc(good, claim(F.lit("Klaim"), F.lit("bukan sumber"), quote)))
@@ -271,15 +273,17 @@ class Corpus:
             .when(kind == 4, F.lit('{"claims": ['))
             .when(kind == 5, F.concat(F.lit("```json\n"), doc(good, good), F.lit("\n```")))
             .when(kind == 6, doc(*[good] * 7))
-            .otherwise(doc(number))
+            .otherwise(doc(untyped))
         )
-        return first.select(F.col("chapter_id").alias("answer_id"), payload.alias("payload"))
+        return self.chunks.select(number.alias("answer_id"), payload.alias("payload"))
 
     @cached_property
     def answer_sources(self) -> DataFrame:
-        """The retrieved set of each answer: the first chunks of its chapter."""
-        return self.chunks.where(F.col("chunk_index") < 6).select(
-            F.col("chapter_id").alias("answer_id"),
+        """The retrieved set of each answer: its chunk and the next one of the chapter."""
+        number = F.col("chapter_id") * 1000 + F.col("chunk_index")
+        uses = F.when(F.col("chunk_index") == 0, F.array(number)).otherwise(F.array(number, number - 1))
+        return self.chunks.select(
+            F.explode(uses).alias("answer_id"),
             F.col("chunk_id").alias("source_id"),
             "content",
             "chapter_id",
