@@ -25,6 +25,7 @@ from foliospark.operators import (
 from foliospark.plans.oracle import sql, words
 from foliospark.session import cut_lineage
 from foliospark.sources.fixtures import EPOCH_US, Corpus
+from foliospark.streaming import folds, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -689,6 +690,40 @@ def attempt_rate(c: Corpus) -> DataFrame:
     return quota.attempt_rates(c.requests, {"last_day": 86_400, "last_seconds": 10})
 
 
+# --- the same folds as streams ------------------------------------------------------------------------------
+
+
+def _event_stream(c: Corpus) -> DataFrame:
+    raw = replay.read_stream(c.spark, c.folder, c.table("events"), "events.parquet")
+    return c.shape_events(raw)
+
+
+@query(
+    "stream_revision_saves",
+    sql(
+        "SELECT event_id, revision_met, outcome = 'accepted' AS applied FROM save_outcomes WHERE outcome <> 'NOT_FOUND'",
+        "save_outcomes",
+    ),
+)
+def stream_revision_saves(c: Corpus) -> DataFrame:
+    saves = c.shape_saves(_event_stream(c))
+    return replay.drain(folds.stream_save_outcomes(saves, c.chapters, max_text=SMALL_TEXT))
+
+
+@query("stream_quota", ORACLES["quota_accept_tight"])
+def stream_quota(c: Corpus) -> DataFrame:
+    return replay.drain(folds.stream_decisions(_event_stream(c), limit=3, spacing_seconds=3600))
+
+
+@query(
+    "stream_debounce",
+    f"SELECT * FROM ({ORACLES['debounce_long_gap']}) WHERE due_us <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events)",
+)
+def stream_debounce(c: Corpus) -> DataFrame:
+    """Runs closed by the watermark, ten minutes behind the newest save."""
+    return replay.drain(folds.stream_debounce(c.shape_saves(_event_stream(c)), 21600))
+
+
 # --- context ------------------------------------------------------------------------------------------------
 
 
