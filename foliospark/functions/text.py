@@ -42,11 +42,6 @@ def md5_text(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words in order, no stemming and no stop words."""
-    return F.filter(F.transform(F.split(text, WORD_BREAK), lambda w: F.lower(w)), lambda w: w != "")
-
-
 def query_words(text: Column) -> Column:
     """The distinct words of a question that take part in retrieval, first occurrence first, 20 at most."""
     long_words = F.filter(F.split(text, WORD_BREAK), lambda w: F.length(w) > 2)

@@ -141,8 +141,9 @@ def decide_requests(
         .when(F.col("at_us") < F.col("day_block"), "AI_DAILY_LIMIT")
         .otherwise("AI_RATE_LIMIT")
     )
+    # Spark sizes the exploded hours by the rows before them, so it must not choose to broadcast them.
     return (
-        placed.join(spans, ["user_id", "hour"])
+        placed.join(spans.hint("merge"), ["user_id", "hour"])
         .where((request >= F.col("taken")) & (request < F.col("next")))
         .select("user_id", "event_id", "at_us", decision.alias("decision"))
     )

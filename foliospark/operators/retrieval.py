@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark import schemas as S
-from foliospark.functions.text import is_blank, query_words, strip_spaces, words
-from foliospark.operators.chunking import current_chunks
+from foliospark.functions.text import WORD_BREAK, is_blank, query_words, strip_spaces
+from foliospark.operators.chunking import chapter_versions_key
 from foliospark.operators.ranking import top_rows
 
 
@@ -32,11 +32,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
     ).select("query_id", "project_id", F.col("term_order").cast("long").alias("term_order"), "token")
 
 
+def exploded_words(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """One row per word, lower-cased, in plain generated code; no stemming and no stop words."""
+    cut = rows.select(*keep, F.explode(F.split(text, WORD_BREAK)).alias("_word"))
+    return cut.where(F.col("_word") != "").select(*keep, F.lower("_word").alias("token"))
+
+
 def token_positions(chunks: DataFrame, *carry: str) -> DataFrame:
     """One row per word of each chunk, with ``tf`` 1."""
-    return chunks.select(
-        "project_id", "chunk_id", *carry, F.explode(words(F.col("content"))).alias("token"), F.lit(1).alias("tf")
-    )
+    return exploded_words(chunks, "content", "project_id", "chunk_id", *carry).withColumn("tf", F.lit(1))
 
 
 def build_index(chunks: DataFrame) -> DataFrame:
@@ -48,43 +52,54 @@ def build_index(chunks: DataFrame) -> DataFrame:
     )
 
 
-def ready_chunks(chunks: DataFrame, chapters: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Chunks retrieval may use: of the present text, and of a chapter whose index job is ready."""
+def ready_chapters(chapters: DataFrame, jobs: DataFrame) -> DataFrame:
+    """What a chunk must agree with to be used: the present text of a chapter whose index job is ready."""
     ready = jobs.where(F.col("status") == "ready").select("chapter_id")
-    return current_chunks(chunks, chapters, "title", "position").join(ready, "chapter_id", "left_semi")
+    return (
+        chapter_versions_key(chapters, "title", "position")
+        .join(ready, "chapter_id", "left_semi")
+        .withColumnsRenamed({"current_revision": "source_revision", "current_hash": "source_hash"})
+    )
 
 
-DETAILS = ["chunk_id", "chapter_id", "title", "source_revision", "position", "chunk_index"]
+# Everything a hit carries from its chunk; fixed by the chunk, so grouping by it adds no groups.
+CHUNK_KEYS = ["chunk_id", "project_id", "chapter_id", "source_revision", "source_hash", "chunk_index"]
+HIT = ["chunk_id", "chapter_id", "title", "source_revision", "position", "chunk_index"]
 
 
-def _word_matches(terms: DataFrame, live: DataFrame) -> DataFrame:
+def _word_matches(terms: DataFrame, postings: DataFrame) -> DataFrame:
     """How many word positions of each chunk match each query.
 
-    The join is an equi join on (project, token); Spark broadcasts the query words while they are
-    below its size threshold and otherwise shuffles with skew splitting for frequent words.
+    The words are cut out where the chunk is read and joined on (project, token), so no text is shuffled while
+    the query words are below Spark's broadcast threshold. They are at most 20 short words per query, which
+    bounds what that threshold lets through. Beyond it Spark shuffles words and splits frequent ones.
     """
-    positions = token_positions(live, *[c for c in DETAILS if c != "chunk_id"])
     return (
-        positions.join(terms.select("query_id", "project_id", "token"), ["project_id", "token"])
-        .groupBy("query_id", *DETAILS)
+        postings.join(terms, ["project_id", "token"])
+        .groupBy("query_id", *CHUNK_KEYS)
         .agg(F.sum("tf").cast("long").alias("text_hits"))
     )
 
 
-def _fact_matches(terms: DataFrame, live: DataFrame, facts: DataFrame) -> DataFrame:
-    """The best approved fact per (query, chunk), among facts whose quote stands in the chunk."""
-    approved = facts.where(F.col("status") == "approved").select("fact_id", "project_id", "chunk_id", "claim", "quote")
-    grounded = (
-        live.join(approved, ["chunk_id", "project_id"])
-        .where(F.instr(F.col("content"), F.col("quote")) > 0)
-        .select("project_id", "fact_id", *DETAILS, F.explode(words(F.col("claim"))).alias("token"))
+def _fact_matches(terms: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """The best approved fact per (query, chunk), among facts whose quote stands in the chunk.
+
+    Claims meet the query words first, so only chunks with a matching fact have their text compared.
+    """
+    approved = exploded_words(
+        facts.where(F.col("status") == "approved"), "claim", "fact_id", "project_id", "chunk_id", "quote"
     )
     per_fact = (
-        grounded.join(terms.select("query_id", "project_id", "token"), ["project_id", "token"])
-        .groupBy("query_id", "fact_id", *DETAILS)
+        approved.join(terms, ["project_id", "token"])
+        .groupBy("query_id", "fact_id", "project_id", "chunk_id", "quote")
         .agg(F.count(F.lit(1)).alias("fact_hits"))
     )
-    return per_fact.groupBy("query_id", *DETAILS).agg(F.max("fact_hits").alias("fact_hits"))
+    return (
+        per_fact.join(chunks.select("content", *CHUNK_KEYS), ["chunk_id", "project_id"])
+        .where(F.instr(F.col("content"), F.col("quote")) > 0)
+        .groupBy("query_id", *CHUNK_KEYS)
+        .agg(F.max("fact_hits").alias("fact_hits"))
+    )
 
 
 def retrieve(
@@ -94,26 +109,33 @@ def retrieve(
     jobs: DataFrame,
     facts: DataFrame | None = None,
     limit: int = S.RETRIEVED_CHUNKS,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """The best chunks for every query: a tenth of a point for each matching word position, plus the best fact.
 
-    Text hits and fact hits are added with a union and one grouping, not an outer join.
+    ``index`` is a stored token index (project_id, token, chunk_id, tf); without it the chunks are read. Text
+    hits and fact hits are added with a union and one grouping, not an outer join, and freshness is joined to
+    the narrow hits at the end.
     """
     allowed, _ = checked_queries(queries)
-    terms = query_terms(allowed)
-    live = ready_chunks(chunks, chapters, jobs)
-    hits = _word_matches(terms, live).withColumn("fact_hits", F.lit(None).cast("long"))
+    terms = query_terms(allowed).select("query_id", "project_id", "token")
+    if index is None:
+        postings = token_positions(chunks, *[c for c in CHUNK_KEYS if c not in ("chunk_id", "project_id")])
+    else:
+        postings = index.join(chunks.select(CHUNK_KEYS), ["project_id", "chunk_id"])
+    hits = _word_matches(terms, postings).withColumn("fact_hits", F.lit(None).cast("long"))
     if facts is not None:
-        boosted = _fact_matches(terms, live, facts).withColumn("text_hits", F.lit(None).cast("long"))
+        boosted = _fact_matches(terms, chunks, facts).withColumn("text_hits", F.lit(None).cast("long"))
         hits = hits.unionByName(boosted)
     scored = (
-        hits.groupBy("query_id", *DETAILS)
+        hits.groupBy("query_id", *CHUNK_KEYS)
         .agg(F.sum("text_hits").alias("text_hits"), F.max("fact_hits").alias("fact_hits"))
         .withColumn("points", F.coalesce("text_hits", F.lit(0)) + F.coalesce("fact_hits", F.lit(0)))
         .withColumn("score", F.col("points").cast("double") / 10)
     )
+    fresh = scored.join(ready_chapters(chapters, jobs), ["chapter_id", "project_id", "source_revision", "source_hash"])
     order = [F.col("points").desc(), F.col("position"), F.col("chunk_index"), F.col("chapter_id")]
-    return top_rows(scored, ["query_id"], order, limit).select("query_id", "rank", *DETAILS, "score")
+    return top_rows(fresh, ["query_id"], order, limit).select("query_id", "rank", *HIT, "score")
 
 
 def attach_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:

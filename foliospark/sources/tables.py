@@ -56,19 +56,25 @@ def write_index(chunks: DataFrame, path: str, buckets: int = TOKEN_BUCKETS) -> N
 
 def read_index(spark: SparkSession, path: str, terms: DataFrame, buckets: int = TOKEN_BUCKETS) -> DataFrame:
     """Index rows of the given query words; the bucket equality prunes partitions at run time."""
-    keyed = terms.withColumn("token_bucket", F.pmod(F.xxhash64("project_id", "token"), F.lit(buckets)).cast("int"))
-    return spark.read.parquet(path).join(keyed, ["token_bucket", "project_id", "token"]).drop("token_bucket")
+    keyed = terms.select(
+        "project_id", "token", F.pmod(F.xxhash64("project_id", "token"), F.lit(buckets)).cast("int").alias("token_bucket")
+    )
+    return spark.read.parquet(path).join(keyed, ["token_bucket", "project_id", "token"], "left_semi").drop("token_bucket")
 
 
 def write_manuscripts(parts: DataFrame, path: str) -> None:
-    """Export as text files per project. Files in name order, and lines within them, follow the reading order."""
+    """Export as text files per project. Files in name order, and lines within them, follow the reading order.
+
+    Every piece ends with the line end the writer adds, so one line end is taken off the seam before it.
+    """
     order = ["project_id", "part", "position", "chapter_id"]
+    joined = F.when(F.col("part") == 1, F.substring("piece", 2, 2**31 - 1)).otherwise(F.regexp_replace("piece", "\n$", ""))
     (
-        parts.repartitionByRange(*order)
+        parts.withColumn("value", joined)
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select("project_id", F.col("piece").alias("value"))
+        .select("project_id", "value")
         .write.mode("overwrite")
         .partitionBy("project_id")
-        .option("lineSep", "")
         .text(path)
     )
