@@ -37,11 +37,10 @@ def _read_log(spark: SparkSession, folder: str, name: str, schema, before: int |
 def latest_jobs(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
     """The newest state of each job; a ready row beats the queued row of the same revision."""
     log = _read_log(spark, folder, "job_log", JOB, before)
-    newest = F.max(F.struct("source_revision", F.col("status") == "ready", "batch_id", *[c for c in log.columns if c != "chapter_id"]))
-    state = log.groupBy("chapter_id").agg(newest.alias("j"))
-    return state.select(
-        "chapter_id", *[F.col(f"j.{c}").alias(c) for c in ("project_id", "source_revision", "source_hash", "status", "attempts", "available_us")]
-    )
+    rest = [c for c in log.columns if c not in ("chapter_id", "batch_id")]
+    newness = F.struct(F.col("source_revision"), F.col("status") == "ready", F.col("batch_id"))
+    state = log.groupBy("chapter_id").agg(F.max_by(F.struct(*rest), newness).alias("j"))
+    return state.select("chapter_id", "j.*")
 
 
 def stored_chunks(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
