@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliospark import schemas as S
 from foliospark.functions.text import md5_text, retry_delay_seconds
-from foliospark.operators.ranking import last_seen
+from foliospark.operators.ranking import last_seen, top_rows
+from foliospark.session import cut_lineage
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
@@ -94,6 +95,39 @@ def due_jobs(jobs: DataFrame, now_us: int, batch: int = S.DISPATCH_BATCH, force:
     return jobs.where(is_due(F.lit(now_us), force)).orderBy("available_us", "chapter_id").limit(batch)
 
 
+def dispatch(jobs: DataFrame, chapters: DataFrame, now_us: int, batch: int = S.DISPATCH_BATCH) -> DataFrame:
+    """The chapters one tick indexes, in order: each time the project of the oldest due job gives its first due chapter.
+
+    Only the oldest few jobs and the first few chapters of their projects can be chosen, so the choice is a fold
+    over one short list.
+    """
+    due = jobs.where(is_due(F.lit(now_us))).select("chapter_id", "project_id", "available_us")
+    oldest = due.orderBy("available_us", "chapter_id").limit(batch)
+    placed = due.join(oldest.select("project_id").distinct(), "project_id", "left_semi").join(
+        chapters.select("chapter_id", "position"), "chapter_id"
+    )
+    by_age = [F.col("available_us"), F.col("chapter_id")]
+    by_place = [F.col("position"), F.col("chapter_id")]
+    few = (
+        top_rows(placed, ["project_id"], by_age, batch)
+        .unionByName(top_rows(placed, ["project_id"], by_place, batch))
+        .drop("rank")
+        .distinct()
+    )
+    listed = few.agg(F.collect_list(F.struct("available_us", "chapter_id", "position", "project_id")).alias("left"))
+    none = F.array().cast("array<bigint>")
+
+    def pick(done: Column, _: Column) -> Column:
+        left = F.filter("left", lambda j: ~F.array_contains(done, j["chapter_id"]))
+        project = F.array_min(F.transform(left, lambda j: F.struct(j["available_us"], j["chapter_id"], j["project_id"])))
+        mine = F.filter(left, lambda j: j["project_id"] == project["project_id"])
+        first = F.array_min(F.transform(mine, lambda j: F.struct(j["position"], j["chapter_id"])))
+        return F.when(F.size(left) > 0, F.array_append(done, first["chapter_id"])).otherwise(done)
+
+    order = F.aggregate(F.sequence(F.lit(1), F.lit(batch)), none, pick)
+    return listed.select(F.posexplode(order).alias("turn", "chapter_id")).select(F.col("turn").cast("long").alias("turn"), "chapter_id")
+
+
 def failed_once_more(jobs: DataFrame, now_us: int) -> DataFrame:
     """A failing run: one more attempt, due again after 30, 60, then 120 seconds."""
     return jobs.select(
@@ -132,6 +166,7 @@ def job_histories(events: DataFrame, segment_micros: int = HOUR) -> DataFrame:
     stamped = events.withColumn("_saved", F.when(F.col("kind") == "save", F.struct("at_us", "event_id")))
     placed = last_seen(stamped, ["chapter_id"], order, segment, "_saved", "_epoch").where(F.col("_epoch").isNotNull())
     keys = ["chapter_id", "saved_us", "save_id"]
+    placed = cut_lineage(placed)
     runs = placed.where(F.col("kind") != "save").select(
         "chapter_id",
         F.col("_epoch.at_us").alias("saved_us"),
@@ -147,20 +182,24 @@ def job_histories(events: DataFrame, segment_micros: int = HOUR) -> DataFrame:
         (F.col("at_us") + S.DEBOUNCE_SECONDS * SECOND).alias("available_us"),
     )
     for _ in range(S.MAX_ATTEMPTS):
-        eligible = (F.col("status") != "ready") & (F.col("run.at_us") >= F.col("available_us"))
-        met = (
-            state.join(runs, keys, "left")
-            .groupBy(*keys, "status", "attempts", "available_us")
-            .agg(F.min(F.when(eligible, F.col("run"))).alias("run"))
+        # An inner join, so that the runs after one save may be split over tasks when there are very many.
+        waiting = state.where(F.col("status") != "ready").select(*keys, "available_us")
+        first = (
+            runs.join(waiting, keys)
+            .where(F.col("run.at_us") >= F.col("available_us"))
+            .groupBy(*keys)
+            .agg(F.min("run").alias("run"))
         )
         failed = F.col("run.kind") == "fail"
-        state = met.select(
-            *keys,
-            F.when(failed, "failed").when(F.col("run").isNotNull(), "ready").otherwise(F.col("status")).alias("status"),
-            (F.col("attempts") + F.coalesce(failed.cast("long"), F.lit(0))).alias("attempts"),
-            F.when(failed, F.col("run.at_us") + retry_delay_seconds(F.col("attempts")) * SECOND)
-            .otherwise(F.col("available_us"))
-            .alias("available_us"),
+        state = cut_lineage(
+            state.join(first, keys, "left").select(
+                *keys,
+                F.when(failed, "failed").when(F.col("run").isNotNull(), "ready").otherwise(F.col("status")).alias("status"),
+                (F.col("attempts") + F.coalesce(failed.cast("long"), F.lit(0))).alias("attempts"),
+                F.when(failed, F.col("run.at_us") + retry_delay_seconds(F.col("attempts")) * SECOND)
+                .otherwise(F.col("available_us"))
+                .alias("available_us"),
+            )
         )
     dead = (F.col("status") == "failed") & (F.col("attempts") >= S.MAX_ATTEMPTS)
     return state.withColumn("dead_letter", dead)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark import schemas as S
-from foliospark.functions.text import MODEL_ID, strip_spaces
+from foliospark.functions.text import MODEL_ID, UUID, strip_spaces
 
 
 def _title(name: str) -> Column:
@@ -53,6 +53,8 @@ def rules() -> dict[str, dict[str, Column]]:
             "status": c("status").isin(*S.OUTLINE_STATUS),
         },
         "requests": {
+            "project_uuid": F.coalesce(c("project_id").rlike(UUID), F.lit(False)),
+            "chapter_uuid": c("chapter_id").rlike(UUID),
             "action": c("action").isin(*S.GENERATION_ACTION),
             "instruction": (strip_spaces(c("instruction")) != "") & (F.length("instruction") <= 2000),
             "selection_length": F.length("selection") <= 4000,

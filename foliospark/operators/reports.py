@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from foliospark import schemas as S
-from foliospark.functions.text import ASK_PREFIX, model_task, pseudonym
+from foliospark.functions.text import ASK_PREFIX, model_task, pseudonym, row_key
 from foliospark.operators.chunking import current_chunks, with_currency
 from foliospark.operators.ranking import top_rows
 
@@ -118,6 +118,32 @@ def next_positions(projects: DataFrame, chapters: DataFrame) -> DataFrame:
     )
 
 
+def new_projects(requests: DataFrame) -> DataFrame:
+    """A project per request (request_id, owner_id, title, genre); its first chapter comes from ``first_chapters``."""
+    return requests.select(
+        row_key(F.lit("project"), F.col("request_id")).alias("project_id"),
+        "owner_id",
+        F.trim("title").alias("title"),
+        F.lit("").alias("description"),
+        "genre",
+        F.lit("id").alias("manuscript_language"),
+    )
+
+
+def planning_list(rows: DataFrame, order: list[str], archived: bool = False) -> DataFrame:
+    """One view of a planning table: live rows or the archive, in the order it is shown."""
+    hidden = F.col("deleted_at").isNotNull()
+    return rows.where(hidden if archived else ~hidden).orderBy("project_id", *order)
+
+
+def project_list(projects: DataFrame) -> DataFrame:
+    return projects.orderBy(F.desc("created_at"), "project_id")
+
+
+def chapter_list(chapters: DataFrame) -> DataFrame:
+    return chapters.orderBy("project_id", "position", "chapter_id")
+
+
 def first_chapters(projects: DataFrame, chapters: DataFrame) -> DataFrame:
     """The default chapter of every project that has none."""
     empty = projects.join(chapters.select("project_id"), "project_id", "left_anti")

@@ -581,6 +581,29 @@ def due_jobs(c: Corpus) -> DataFrame:
     return jobs.due_jobs(c.jobs, NOW_US).select("chapter_id", "project_id", "status", "attempts", "available_us")
 
 
+def _dispatch_sql(turns: int) -> str:
+    """Turn by turn: the project of the oldest due job gives its first due chapter not yet taken."""
+    views = [
+        f""", due AS (SELECT j.chapter_id, j.project_id, j.available_us, c.position FROM jobs j JOIN chapters c USING (chapter_id)
+          WHERE j.status IN ('queued', 'failed') AND j.attempts < 3 AND j.available_us <= {NOW_US})"""
+    ]
+    taken = "SELECT CAST(NULL AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS chapter_id WHERE false"
+    for n in range(turns):
+        free = f"(SELECT d.* FROM due d ANTI JOIN ({taken}) t ON t.chapter_id = d.chapter_id)"
+        views.append(
+            f"""turn{n} AS (SELECT {n} AS turn, f.chapter_id FROM {free} f
+              JOIN (SELECT project_id FROM {free} ORDER BY available_us, chapter_id LIMIT 1) p ON p.project_id = f.project_id
+              ORDER BY f.position, f.chapter_id LIMIT 1)"""
+        )
+        taken = " UNION ALL ".join(f"SELECT turn, chapter_id FROM turn{i}" for i in range(n + 1))
+    return sql("", "jobs", "chapters") + ",\n".join(views) + f" SELECT CAST(turn AS BIGINT) AS turn, chapter_id FROM ({taken})"
+
+
+@query("dispatch_turns", _dispatch_sql(5))
+def dispatch_turns(c: Corpus) -> DataFrame:
+    return jobs.dispatch(c.jobs, c.chapters, NOW_US)
+
+
 @query(
     "job_backoff",
     sql(
@@ -910,16 +933,24 @@ def next_positions(c: Corpus) -> DataFrame:
 
 
 @query(
-    "first_chapters",
-    sql(
-        """SELECT s_name AS project_id, 'Bab 1' AS title, '{"type":"doc","content":[{"type":"paragraph"}]}' AS content_json, '' AS plain_text,
-           CAST(0 AS BIGINT) AS revision_number, CAST(0 AS BIGINT) AS position FROM supplier""",
-    ),
+    "new_projects",
+    """SELECT p.project_id, p.owner_id, p.title, p.genre, 'Bab 1' AS chapter_title, '{"type":"doc","content":[{"type":"paragraph"}]}' AS content_json,
+       '' AS plain_text, CAST(0 AS BIGINT) AS revision_number, CAST(0 AS BIGINT) AS position
+       FROM (SELECT sha256('project:' || s_suppkey) AS project_id, 'user' || (s_suppkey % 5) AS owner_id, trim(s_name) AS title, 'novel' AS genre FROM supplier) p""",
 )
-def first_chapters(c: Corpus) -> DataFrame:
-    """New projects, here one per supplier next to the existing ones, get their default chapter."""
-    new = c.table("supplier").select(F.col("s_name").alias("project_id"))
-    return reports.first_chapters(c.projects.select("project_id").unionByName(new), c.chapters)
+def new_projects(c: Corpus) -> DataFrame:
+    """A new project per supplier, beside the existing ones, each with its default chapter."""
+    key = F.col("s_suppkey")
+    wanted = c.table("supplier").select(
+        key.alias("request_id"),
+        F.concat(F.lit("user"), (key % 5).cast("string")).alias("owner_id"),
+        F.concat(F.lit(" "), F.col("s_name"), F.lit(" ")).alias("title"),
+        F.lit("novel").alias("genre"),
+    )
+    made = reports.new_projects(wanted)
+    every = c.projects.select("project_id").unionByName(made.select("project_id"))
+    first = reports.first_chapters(every, c.chapters).withColumnRenamed("title", "chapter_title")
+    return made.select("project_id", "owner_id", "title", "genre").join(first, "project_id")
 
 
 @query(
@@ -940,19 +971,36 @@ def manuscript_export(c: Corpus) -> DataFrame:
 @query(
     "planning_lists",
     sql(
-        """SELECT 'outline_items' AS kind, deleted_at IS NOT NULL AS archived, project_id, count(*) AS items, min(position) AS first_position FROM outline GROUP BY ALL
-           UNION ALL SELECT 'notes', deleted_at IS NOT NULL, project_id, count(*), min(created_at) FROM notes GROUP BY ALL""",
+        """SELECT 'outline_items' AS view, deleted_at IS NOT NULL AS archived, project_id, item_id AS row_id, title FROM outline
+           UNION ALL SELECT 'notes', deleted_at IS NOT NULL, project_id, note_id, title FROM notes
+           UNION ALL SELECT 'characters', deleted_at IS NOT NULL, project_id, character_id, name FROM characters""",
         "outline",
         "notes",
+        "characters",
     ),
 )
 def planning_lists(c: Corpus) -> DataFrame:
-    def listed(rows: DataFrame, kind: str, order: str) -> DataFrame:
-        return rows.groupBy(F.lit(kind).alias("kind"), F.col("deleted_at").isNotNull().alias("archived"), "project_id").agg(
-            count().alias("items"), F.min(order).alias("first_position")
+    """Both views, live and archived, of each planning table."""
+
+    def view(rows: DataFrame, name: str, key: str, title: str, order: list[str], archived: bool) -> DataFrame:
+        return reports.planning_list(rows, order, archived).select(
+            F.lit(name).alias("view"), F.lit(archived).alias("archived"), "project_id", F.col(key).alias("row_id"), F.col(title).alias("title")
         )
 
-    return listed(c.outline, "outline_items", "position").unionByName(listed(c.notes, "notes", "created_at"))
+    whole = None
+    for archived in (False, True):
+        for part in (
+            view(c.outline, "outline_items", "item_id", "title", ["position", "item_id"], archived),
+            view(c.notes, "notes", "note_id", "title", ["created_at", "note_id"], archived),
+            view(c.characters, "characters", "character_id", "name", ["created_at", "character_id"], archived),
+        ):
+            whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+@query("chapter_list", sql("SELECT project_id, position, chapter_id, title, revision_number FROM chapters", "chapters"))
+def chapter_list(c: Corpus) -> DataFrame:
+    return reports.chapter_list(c.chapters.select("project_id", "position", "chapter_id", "title", "revision_number"))
 
 
 # --- quality ------------------------------------------------------------------------------------------------

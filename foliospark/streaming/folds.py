@@ -48,21 +48,43 @@ class RevisionProcessor(StatefulProcessor):
         pass
 
 
+def stream_fold(events: DataFrame) -> DataFrame:
+    """The revision rule as a stream. ``events``: key, event_id, at_us, base_revision, initial, usable."""
+    use_rocksdb(events.sparkSession)
+    return events.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=RevisionProcessor(),
+        outputStructType="event_id long, revision_met long, applied boolean",
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
 def stream_save_outcomes(
     saves: DataFrame, chapters: DataFrame, max_text: int = S.MAX_TEXT_BYTES, max_content: int = S.MAX_CONTENT_BYTES
 ) -> DataFrame:
     """Outcome of every save of a known chapter. ``chapters`` is a static table with the revisions at the start."""
-    use_rocksdb(saves.sparkSession)
     too_large = (F.octet_length("plain_text") > max_text) | (F.octet_length("content_json") > max_content)
     is_doc = F.coalesce(F.get_json_object("content_json", "$.type") == "doc", F.lit(False))
-    known = saves.join(
-        chapters.select("chapter_id", F.col("revision_number").alias("initial")), "chapter_id"
-    ).select("chapter_id", "event_id", "at_us", "base_revision", "initial", (~too_large & is_doc).alias("usable"))
-    return known.groupBy("chapter_id").transformWithStateInPandas(
-        statefulProcessor=RevisionProcessor(),
-        outputStructType="event_id long, revision_met long, applied boolean",
-        outputMode="Append",
-        timeMode="None",
+    start = chapters.select("chapter_id", F.col("revision_number").alias("initial"))
+    return stream_fold(
+        saves.join(start, "chapter_id").select(
+            F.col("chapter_id").alias("key"), "event_id", "at_us", "base_revision", "initial", (~too_large & is_doc).alias("usable")
+        )
+    )
+
+
+def stream_review_outcomes(reviews: DataFrame, facts: DataFrame, sources: DataFrame) -> DataFrame:
+    """Outcome of every review of a known fact. ``sources`` is a static table of chunk_id and current."""
+    start = facts.select("fact_id", "chunk_id", F.col("revision").alias("initial")).join(sources.select("chunk_id", "current"), "chunk_id")
+    return stream_fold(
+        reviews.join(start, "fact_id").select(
+            F.col("fact_id").alias("key"),
+            "event_id",
+            "at_us",
+            "base_revision",
+            "initial",
+            ((F.col("status") != "approved") | F.col("current")).alias("usable"),
+        )
     )
 
 

@@ -56,21 +56,20 @@ def test_excerpt_and_paging(spark):
 
 
 def test_rules(spark):
+    known = "33333333-3333-4333-8333-333333333333"
     requests = spark.createDataFrame(
         [
-            (1, "chat", "Halo", "", True, "p", "s", 1400),
-            (2, "rewrite", "Halo", " ", True, "p", "s", 1400),
-            (3, "continue", "Halo", "", False, "p", "s", 1400),
-            (4, "ask", " ", "x" * 4001, True, "p" * 48000, "s", 2401),
+            (1, known, None, "chat", "Halo", "", True, "p", "s", 1400),
+            (2, known, known, "rewrite", "Halo", " ", True, "p", "s", 1400),
+            (3, known, None, "continue", "Halo", "", False, "p", "s", 1400),
+            (4, "P3", "x", "ask", " ", "x" * 4001, True, "p" * 48000, "s", 2401),
         ],
-        "id long, action string, instruction string, selection string, use_chapter boolean, prompt string, system string, max_output_tokens long",
+        "id long, project_id string, chapter_id string, action string, instruction string, selection string, "
+        "use_chapter boolean, prompt string, system string, max_output_tokens long",
     )
     found = {(r.row_key, r.rule) for r in quality.violations(requests, "requests", "id").collect()}
-    assert found == {
-        ("2", "rewrite_needs_selection"),
-        ("3", "continue_needs_chapter"),
-        *[("4", rule) for rule in ("action", "instruction", "selection_length", "budget", "output_tokens")],
-    }
+    broken = "project_uuid chapter_uuid action instruction selection_length budget output_tokens".split()
+    assert found == {("2", "rewrite_needs_selection"), ("3", "continue_needs_chapter"), *[("4", rule) for rule in broken]}
 
 
 def test_content_must_be_an_object(spark):

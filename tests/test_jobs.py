@@ -80,3 +80,15 @@ def test_upsert_keeps_one_job_per_chapter(spark):
     )
     got = {r.chapter_id: (r.source_revision, r.source_hash, r.status, r.attempts, r.error) for r in J.upsert_jobs(jobs, queued).collect()}
     assert got == {1: (3, "new", "queued", 0, None), 2: (4, "g", "ready", 0, None), 3: (1, "x", "queued", 0, None)}
+
+
+def test_dispatch_serves_the_project_of_the_oldest_job(spark):
+    jobs = spark.createDataFrame(
+        [(c, p, 1, "h", "queued", 0, t, None) for c, p, t in [(1, "a", 30), (2, "a", 10), (3, "a", 50), (4, "b", 20), (5, "b", 90), (6, "c", 5)]],
+        JOBS,
+    )
+    chapters = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 0), (5, 1), (6, 0)], "chapter_id long, position long")
+    # 6 is oldest; then 2 is oldest but 1 stands before it in its project; then 2 itself; then 4.
+    assert [r.chapter_id for r in J.dispatch(jobs, chapters, 60).orderBy("turn").collect()] == [6, 1, 2, 4, 3]
+    assert [r.chapter_id for r in J.dispatch(jobs, chapters, 60, batch=2).orderBy("turn").collect()] == [6, 1]
+    assert J.dispatch(jobs, chapters, 1).count() == 0

@@ -3,10 +3,11 @@ import random
 from pyspark.sql import functions as F
 
 from foliospark.operators import quota
-from foliospark.operators.chunking import chunk_chapters
+from foliospark.operators.chunking import chunk_chapters, with_currency
 from foliospark.operators.jobs import debounce
+from foliospark.operators.review import review_outcomes
 from foliospark.operators.revisions import save_outcomes
-from foliospark.session import run_folder
+from foliospark.session import cut_lineage, run_folder
 from foliospark.streaming import folds, refresh, replay
 
 SECOND = 1_000_000
@@ -31,6 +32,19 @@ def test_saves_in_many_batches_equal_one_batch(spark, corpus, tmp_path):
     )
 
 
+def test_reviews_in_many_batches_equal_one_batch(spark, corpus, tmp_path):
+    facts, chunks = cut_lineage(corpus.facts), corpus.chunks
+    reviews = cut_lineage(corpus.reviews.withColumn("at_us", F.col("at_us") - F.lit(1_704_067_200_000_000)))
+    _files(reviews, str(tmp_path), 3)
+    stream = replay.read_stream(spark, str(tmp_path), reviews, files_per_trigger=1)
+    sources = with_currency(chunks, corpus.chapters).select("chunk_id", "current")
+    got = replay.drain(folds.stream_review_outcomes(stream, facts, sources))
+    want = review_outcomes(reviews, facts, chunks, corpus.chapters).where("outcome <> 'NOT_FOUND'")
+    assert sorted((r.event_id, r.revision_met, r.applied) for r in got.collect()) == sorted(
+        (r.event_id, r.revision_met, r.outcome == "applied") for r in want.collect()
+    )
+
+
 def test_quota_in_many_batches_equals_one_batch(spark, corpus, tmp_path):
     requests = corpus.requests.withColumn("at_us", F.col("at_us") - F.lit(1_704_067_200_000_000))
     _files(requests, str(tmp_path), 3)
