@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark import schemas as S
 from foliospark.functions.text import md5_text, retry_delay_seconds
-from foliospark.operators.ranking import last_seen, top_rows
+from foliospark.operators.ranking import last_seen, runs, top_rows
 from foliospark.session import cut_lineage
 
 SECOND = 1_000_000
-HOUR = 3600 * SECOND
 
 
 def backfill_jobs(chapters: DataFrame) -> DataFrame:
@@ -25,36 +24,14 @@ def backfill_jobs(chapters: DataFrame) -> DataFrame:
     )
 
 
-def debounce(saves: DataFrame, gap_seconds: int = S.DEBOUNCE_SECONDS, segment_micros: int = HOUR) -> DataFrame:
+def debounce(saves: DataFrame, gap_seconds: int = S.DEBOUNCE_SECONDS) -> DataFrame:
     """Runs of saves with no pause longer than the gap; only the last save of a run is indexed.
 
-    ``saves``: chapter_id, at_us, event_id. The work on a busy chapter is split by time: each segment finds
-    its own pauses, and one summary row per segment carries the last save and the last run start onward.
+    ``saves``: chapter_id, at_us, event_id.
     """
     gap = gap_seconds * SECOND
-    parted = saves.withColumn("_segment", F.floor(F.col("at_us") / segment_micros))
-    inside = Window.partitionBy("chapter_id", "_segment").orderBy("at_us", "event_id")
-    local = parted.withColumn("_prev", F.lag("at_us").over(inside)).withColumn(
-        "_start", F.when(F.col("at_us") - F.col("_prev") > gap, F.col("at_us"))
-    )
-    along = Window.partitionBy("chapter_id").orderBy("_segment")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        local.groupBy("chapter_id", "_segment")
-        .agg(F.min("at_us").alias("_min"), F.max("at_us").alias("_max"), F.max("_start").alias("_own"))
-        .withColumn("_before", F.lag("_max").over(along))
-        .withColumn("_opens", F.coalesce(F.col("_min") - F.col("_before") > gap, F.lit(True)))
-        .withColumn("_latest", F.coalesce("_own", F.when(F.col("_opens"), F.col("_min"))))
-        .withColumn("_carry", F.when(F.col("_opens"), F.col("_min")).otherwise(F.max("_latest").over(earlier)))
-        .select("chapter_id", "_segment", "_carry")
-    )
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = (
-        local.withColumn("_local", F.max("_start").over(running))
-        .join(carried, ["chapter_id", "_segment"])
-        .withColumn("session_us", F.coalesce("_local", "_carry"))
-    )
-    return runs.groupBy("chapter_id", "session_us").agg(
+    placed = runs(saves.select("chapter_id", "at_us", "event_id"), ["chapter_id"], "at_us", "event_id", gap, "session_us")
+    return placed.groupBy("chapter_id", "session_us").agg(
         F.count(F.lit(1)).alias("saves"),
         F.max("at_us").alias("last_us"),
         F.max(F.struct("at_us", "event_id"))["event_id"].alias("last_event_id"),
@@ -154,7 +131,7 @@ def index_progress(jobs: DataFrame) -> DataFrame:
     )
 
 
-def job_histories(events: DataFrame, segment_micros: int = HOUR) -> DataFrame:
+def job_histories(events: DataFrame) -> DataFrame:
     """Final state of the job after each save. ``events``: chapter_id, at_us, event_id, kind (save, ok, fail).
 
     A save resets the job, so what follows it up to the next save stands alone. Runs before the due time do
@@ -162,12 +139,11 @@ def job_histories(events: DataFrame, segment_micros: int = HOUR) -> DataFrame:
     each one a grouped minimum that combines before the shuffle.
     """
     order = [F.col("at_us"), F.col("event_id")]
-    segment = F.floor(F.col("at_us") / segment_micros)
     stamped = events.withColumn("_saved", F.when(F.col("kind") == "save", F.struct("at_us", "event_id")))
-    placed = last_seen(stamped, ["chapter_id"], order, segment, "_saved", "_epoch").where(F.col("_epoch").isNotNull())
+    placed = last_seen(stamped, ["chapter_id"], order, "_saved", "_epoch").where(F.col("_epoch").isNotNull())
     keys = ["chapter_id", "saved_us", "save_id"]
     placed = cut_lineage(placed)
-    runs = placed.where(F.col("kind") != "save").select(
+    tries = placed.where(F.col("kind") != "save").select(
         "chapter_id",
         F.col("_epoch.at_us").alias("saved_us"),
         F.col("_epoch.event_id").alias("save_id"),
@@ -185,7 +161,7 @@ def job_histories(events: DataFrame, segment_micros: int = HOUR) -> DataFrame:
         # An inner join, so that the runs after one save may be split over tasks when there are very many.
         waiting = state.where(F.col("status") != "ready").select(*keys, "available_us")
         first = (
-            runs.join(waiting, keys)
+            tries.join(waiting, keys)
             .where(F.col("run.at_us") >= F.col("available_us"))
             .groupBy(*keys)
             .agg(F.min("run").alias("run"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark import schemas as S
 from foliospark.operators.ranking import running_sum
@@ -149,30 +149,27 @@ def decide_requests(
     )
 
 
-def attempt_rates(
-    requests: DataFrame, windows_seconds: dict[str, int], segment_micros: int = HOUR
-) -> DataFrame:
+def attempt_rates(requests: DataFrame, windows_seconds: dict[str, int]) -> DataFrame:
     """Earlier attempts of the same user inside each window, not counting one exactly a window old.
 
-    A count in a window is a difference of two running counts, and those are taken in time segments.
+    A count in a window is the difference of two running counts, so no window ever holds a user's rows.
     """
-    marks = [F.struct(F.col("at_us").alias("at"), F.lit(0).alias("side"), F.lit("now").alias("mark"), F.lit(0).alias("one"))]
-    marks.append(F.struct(F.col("at_us").alias("at"), F.lit(1).alias("side"), F.lit("event").alias("mark"), F.lit(1).alias("one")))
-    for name, seconds in windows_seconds.items():
-        edge = F.col("at_us") - seconds * SECOND
-        marks.append(F.struct(edge.alias("at"), F.lit(2).alias("side"), F.lit(name).alias("mark"), F.lit(0).alias("one")))
+
+    def point(at: Column, side: int, mark: str, one: int) -> Column:
+        return F.struct(at.alias("at"), F.lit(side).alias("side"), F.lit(mark).alias("mark"), F.lit(one).alias("one"))
+
+    # At one moment: what was seen before it, then the attempts, then what a window starting here leaves out.
+    marks = [point(F.col("at_us"), 0, "now", 0), point(F.col("at_us"), 1, "event", 1)]
+    marks += [point(F.col("at_us") - seconds * SECOND, 2, name, 0) for name, seconds in windows_seconds.items()]
     points = requests.select("user_id", "event_id", F.explode(F.array(*marks)).alias("p")).select(
         "user_id", "event_id", "p.*"
     )
-    counted = running_sum(
-        points,
-        ["user_id"],
-        [F.col("at"), F.col("side"), F.col("event_id")],
-        F.floor(F.col("at") / segment_micros),
-        "one",
-        "seen",
-    )
-    at = lambda mark: F.max(F.when(F.col("mark") == mark, F.col("seen")))
+    order = [F.col("at"), F.col("side"), F.col("event_id"), F.col("mark")]
+    counted = running_sum(points, ["user_id"], order, "one", "seen")
+
+    def seen(mark: str) -> Column:
+        return F.max(F.when(F.col("mark") == mark, F.col("seen")))
+
     return counted.groupBy("user_id", "event_id").agg(
-        *[(at("now") - at(name)).cast("long").alias(name) for name in windows_seconds]
+        *[(seen("now") - seen(name)).cast("long").alias(name) for name in windows_seconds]
     )

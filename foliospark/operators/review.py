@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliospark.operators.chunking import with_currency
 from foliospark.operators.revisions import fold_revisions
-from foliospark.session import cut_lineage
 
 
 def review_outcomes(reviews: DataFrame, facts: DataFrame, chunks: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -16,23 +15,19 @@ def review_outcomes(reviews: DataFrame, facts: DataFrame, chunks: DataFrame, cha
     """
     sources = with_currency(chunks, chapters).select("chunk_id", "current")
     known = facts.select("fact_id", "chunk_id", F.col("revision").alias("initial")).join(sources, "chunk_id")
-    known = cut_lineage(known)
-    judged = cut_lineage(
+    judged = (
         reviews.select("event_id", "fact_id", "at_us", "base_revision", "status")
-        .join(known.select("fact_id", "current"), "fact_id", "left")
-        .withColumn("stale", (F.col("status") == "approved") & ~F.col("current"))
-    )
-    folded = fold_revisions(
-        judged.withColumn("key", F.col("fact_id")).withColumn("usable", F.coalesce(~F.col("stale"), F.lit(False))),
-        known.select(F.col("fact_id").alias("key"), "initial"),
+        .join(known.drop("chunk_id"), "fact_id", "left")
+        .withColumn("stale", F.coalesce((F.col("status") == "approved") & ~F.col("current"), F.lit(False)))
+        .withColumn("usable", ~F.col("stale"))
     )
     outcome = (
-        F.when(F.col("current").isNull(), "NOT_FOUND")
+        F.when(F.col("initial").isNull(), "NOT_FOUND")
         .when(F.col("stale"), "STALE_SOURCE")
         .when(~F.col("applied"), "REVISION_CONFLICT")
         .otherwise("applied")
     )
-    return judged.join(folded, "event_id", "left").select(
+    return fold_revisions(judged, "fact_id").select(
         "event_id", "fact_id", "at_us", "base_revision", "status", "revision_met", outcome.alias("outcome")
     )
 
@@ -62,17 +57,14 @@ def edit_outcomes(edits: DataFrame, rows: DataFrame) -> DataFrame:
     ``edits``: event_id, row_id, project_id, at_us, base_revision; ``rows``: row_id, project_id, revision.
     """
     known = rows.select("row_id", F.col("project_id").alias("home"), F.col("revision").alias("initial"))
-    judged = cut_lineage(edits.join(known, "row_id", "left").withColumn("moved", F.col("project_id") != F.col("home")))
-    folded = fold_revisions(
-        judged.withColumn("key", F.col("row_id")).withColumn("usable", F.coalesce(~F.col("moved"), F.lit(False))),
-        known.select(F.col("row_id").alias("key"), "initial"),
-    )
+    moved = F.coalesce(F.col("project_id") != F.col("home"), F.lit(False))
+    judged = edits.join(known, "row_id", "left").withColumn("moved", moved).withColumn("usable", ~F.col("moved"))
     outcome = (
-        F.when(F.col("home").isNull(), "NOT_FOUND")
+        F.when(F.col("initial").isNull(), "NOT_FOUND")
         .when(F.col("base_revision") != F.col("revision_met"), "REVISION_CONFLICT")
         .when(F.col("moved"), "PROJECT_CANNOT_CHANGE")
         .otherwise("applied")
     )
-    return judged.join(folded, "event_id", "left").select(
+    return fold_revisions(judged, "row_id").select(
         "event_id", "row_id", "at_us", "base_revision", "revision_met", outcome.alias("outcome")
     )

@@ -2,7 +2,7 @@
 
 An event names the revision it was based on and is applied only while that is still the present one; each
 applied event adds one. Which events apply depends on all earlier ones of the same key, and one key may hold
-a third of the events, so a key is cut into time segments and handled in three passes:
+a third of the events, so the ordered events are cut into segments and handled in three passes:
 
 1. every (key, segment) on its own: which revision it would end with, for each revision it could start with.
    Only the bases named inside the segment matter; any other start passes through unchanged. Neighbouring
@@ -10,8 +10,7 @@ a third of the events, so a key is cut into time segments and handled in three p
 2. every key: walk its few segment summaries in order, which gives each segment its real start;
 3. every (key, segment) on its own again: replay it from the known start.
 
-The replay streams over sorted Arrow batches and holds one number per key. Texts take no part; they are
-joined back by event. The narrow event rows are written once, because all passes read them.
+The passes stream over sorted Arrow batches and hold the numbers of one segment. Texts take no part.
 """
 
 from __future__ import annotations
@@ -19,13 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from foliospark import schemas as S
-from foliospark.operators.ranking import full_rank
-from foliospark.session import cut_lineage
-
-HOUR_MICROS = 3_600_000_000
+from foliospark.operators.ranking import SEGMENT, full_rank, segmented
 
 
 def _ranges(ends: dict[int, int]) -> Iterator[tuple[int, int, int]]:
@@ -42,7 +38,7 @@ def _ranges(ends: dict[int, int]) -> Iterator[tuple[int, int, int]]:
         yield low, high, end
 
 
-SUMMARY = ["_key", "_segment", "low", "high", "end"]
+SUMMARY = ["_key", SEGMENT, "initial", "low", "high", "end"]
 # A summary row no start can fall into; it only says that the segment exists.
 EMPTY_RANGE = (-1, -1, -1)
 
@@ -56,11 +52,10 @@ def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         out = []
-        rows = zip(*(batch[c].tolist() for c in ("_key", "_segment", "base_revision", "usable")))
-        for key, segment, base, usable in rows:
-            if (key, segment) != place:
+        for *here, base, usable in zip(*(batch[c].tolist() for c in (*SUMMARY[:3], "_base", "usable"))):
+            if here != place:
                 out += finished()
-                place, ends = (key, segment), {}
+                place, ends = here, {}
             if usable:
                 ends[base] = ends.get(base + 1, base + 1)
         yield pd.DataFrame(out, columns=SUMMARY)
@@ -72,8 +67,7 @@ def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key_now, segment_now, start, end = None, None, None, None
     for batch in batches:
         out = []
-        rows = zip(*(batch[c].tolist() for c in ("_key", "_segment", "initial", "low", "high", "end")))
-        for key, segment, initial, low, high, stop in rows:
+        for key, segment, initial, low, high, stop in zip(*(batch[c].tolist() for c in SUMMARY)):
             if key != key_now:
                 key_now, segment_now, end = key, None, initial
             if segment != segment_now:
@@ -81,14 +75,14 @@ def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((key, segment, start))
             if low <= start <= high:
                 end = stop
-        yield pd.DataFrame(out, columns=["_key", "_segment", "start"])
+        yield pd.DataFrame(out, columns=["_key", SEGMENT, "start"])
 
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     place, now = None, None
     for batch in batches:
         met, applied = [], []
-        rows = zip(*(batch[c].tolist() for c in ("_key", "_segment", "start", "base_revision", "usable")))
+        rows = zip(*(batch[c].tolist() for c in ("_key", SEGMENT, "start", "_base", "usable")))
         for key, segment, start, base, usable in rows:
             if (key, segment) != place:
                 place, now = (key, segment), start
@@ -96,42 +90,50 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ok = usable and base == now
             applied.append(ok)
             now += ok
-        yield pd.DataFrame({"event_id": batch["event_id"], "revision_met": met, "applied": applied})
+        kept = batch.drop(columns=["_key", SEGMENT, "start", "_base"])
+        yield kept.assign(revision_met=met, applied=applied)
 
 
-def fold_revisions(events: DataFrame, initial: DataFrame, segment_micros: int = HOUR_MICROS) -> DataFrame:
-    """Which events apply. ``events``: key, at_us, event_id, base_revision, usable; ``initial``: key, initial.
+def fold_revisions(events: DataFrame, key: str) -> DataFrame:
+    """All events with the revision each one met and whether it was applied.
 
-    Events arrive in the order (at_us, event_id). ``usable`` is false for an event some other check refuses.
-    Gives event_id, the revision the event met and whether it was applied; events of unknown keys give no row.
+    ``events`` has the key, at_us, event_id, base_revision, usable and initial, and may have more narrow columns.
+    They arrive in the order (at_us, event_id). ``usable`` is false for an event another check refuses, and
+    ``initial`` is the key's revision before all events, null for an unknown key, whose events meet nothing.
     """
-    start_of = initial.select(F.col("key").cast("string").alias("_key"), F.col("initial").cast("long").alias("initial"))
-    placed = events.select(
-        F.col("key").cast("string").alias("_key"),
-        F.floor(F.col("at_us") / segment_micros).alias("_segment"),
-        "at_us",
-        "event_id",
-        F.coalesce(F.col("base_revision").cast("long"), F.lit(-1)).alias("base_revision"),
-        "usable",
-    ).join(start_of.select("_key"), "_key", "left_semi")
-    by_segment = ["_key", "_segment"]
+    order = [F.col("at_us"), F.col("event_id")]
+    placed = segmented(
+        events.withColumn("_key", F.col(key).cast("string"))
+        .withColumn("_base", F.coalesce(F.col("base_revision").cast("long"), F.lit(-1)))
+        .withColumn("initial", F.col("initial").cast("long")),
+        ["_key"],
+        order,
+    )
+    known = placed.where(F.col("initial").isNotNull())
+    by_segment = ["_key", SEGMENT]
     summaries = (
-        placed.repartition(*by_segment)
+        known.select(*SUMMARY[:3], "at_us", "event_id", "_base", "usable")
+        .repartition(*by_segment)
         .sortWithinPartitions(*by_segment, F.desc("at_us"), F.desc("event_id"))
-        .mapInPandas(_summarise, "_key string, _segment long, low long, high long, end long")
+        .mapInPandas(_summarise, f"_key string, {SEGMENT} long, initial long, low long, high long, end long")
     )
     starts = (
-        summaries.join(start_of, "_key")
-        .repartition("_key")
-        .sortWithinPartitions("_key", "_segment", "low")
-        .mapInPandas(_compose, "_key string, _segment long, start long")
+        summaries.repartition("_key")
+        .sortWithinPartitions(*by_segment, "low")
+        .mapInPandas(_compose, f"_key string, {SEGMENT} long, start long")
     )
-    return (
-        placed.join(starts, by_segment)
+    kept = placed.drop("_key", SEGMENT, "_base").schema
+    met = [T.StructField("revision_met", T.LongType()), T.StructField("applied", T.BooleanType())]
+    replayed = (
+        known.join(starts, by_segment)
         .repartition(*by_segment)
-        .sortWithinPartitions(*by_segment, "at_us", "event_id")
-        .mapInPandas(_replay, "event_id long, revision_met long, applied boolean")
+        .sortWithinPartitions(*by_segment, *order)
+        .mapInPandas(_replay, T.StructType(kept.fields + met))
+    )
+    unknown = placed.where(F.col("initial").isNull()).select(
+        *kept.names, F.lit(None).cast("long").alias("revision_met"), F.lit(False).alias("applied")
     )
+    return replayed.unionByName(unknown)
 
 
 def save_outcomes(
@@ -144,17 +146,18 @@ def save_outcomes(
 
     ``saves``: event_id, chapter_id, at_us, base_revision, title, content_json, plain_text.
     """
-    judged = cut_lineage(saves.select(
-        "event_id",
-        "chapter_id",
-        "at_us",
-        "base_revision",
-        ((F.octet_length("plain_text") > max_text) | (F.octet_length("content_json") > max_content)).alias("too_large"),
-        F.coalesce(F.get_json_object("content_json", "$.type") != "doc", F.lit(True)).alias("not_a_doc"),
-    ))
-    folded = fold_revisions(
-        judged.withColumn("key", F.col("chapter_id")).withColumn("usable", ~F.col("too_large") & ~F.col("not_a_doc")),
-        chapters.select(F.col("chapter_id").alias("key"), F.col("revision_number").alias("initial")),
+    start = chapters.select("chapter_id", F.col("revision_number").alias("initial"))
+    judged = (
+        saves.select(
+            "event_id",
+            "chapter_id",
+            "at_us",
+            "base_revision",
+            ((F.octet_length("plain_text") > max_text) | (F.octet_length("content_json") > max_content)).alias("too_large"),
+            F.coalesce(F.get_json_object("content_json", "$.type") != "doc", F.lit(True)).alias("not_a_doc"),
+        )
+        .join(start, "chapter_id", "left")
+        .withColumn("usable", ~F.col("too_large") & ~F.col("not_a_doc"))
     )
     outcome = (
         F.when(F.col("revision_met").isNull(), "NOT_FOUND")
@@ -163,7 +166,7 @@ def save_outcomes(
         .when(F.col("not_a_doc"), "INVALID_DOCUMENT")
         .otherwise("accepted")
     )
-    return judged.join(folded, "event_id", "left").select(
+    return fold_revisions(judged, "chapter_id").select(
         "event_id",
         "chapter_id",
         "at_us",
@@ -208,14 +211,9 @@ def present_chapters(states: DataFrame) -> DataFrame:
     return states.where(F.col("to_us").isNull())
 
 
-def version_pages(versions: DataFrame, page: int = S.VERSION_PAGE, segment: int = 1024) -> DataFrame:
-    """Newest first in pages of 25. ``has_next`` says that the page is full, so the next one is asked for.
-
-    Ranked in segments of the revision number, so a chapter with very many versions is not one task.
-    """
-    ranked = full_rank(
-        versions, ["chapter_id"], [F.desc("revision")], -F.floor(F.col("revision") / segment), "place"
-    )
+def version_pages(versions: DataFrame, page: int = S.VERSION_PAGE) -> DataFrame:
+    """Newest first in pages of 25. ``has_next`` says that the page is full, so the next one is asked for."""
+    ranked = full_rank(versions, ["chapter_id"], [F.desc("revision")], "place")
     paged = ranked.withColumn("page", F.floor((F.col("place") - 1) / page))
     full = paged.groupBy("chapter_id", "page").agg((F.count(F.lit(1)) == page).alias("has_next"))
     return paged.join(full, ["chapter_id", "page"])

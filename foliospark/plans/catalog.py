@@ -980,22 +980,24 @@ def manuscript_export(c: Corpus) -> DataFrame:
     ),
 )
 def planning_lists(c: Corpus) -> DataFrame:
-    """Both views, live and archived, of each planning table."""
-
-    def view(rows: DataFrame, name: str, key: str, title: str, order: list[str], archived: bool) -> DataFrame:
-        return reports.planning_list(rows, order, archived).select(
-            F.lit(name).alias("view"), F.lit(archived).alias("archived"), "project_id", F.col(key).alias("row_id"), F.col(title).alias("title")
+    """Both views, live and archived, of each planning table, in the order they are shown."""
+
+    def view(rows: DataFrame, name: str, key: str, title: str, order: str) -> DataFrame:
+        return rows.select(
+            F.lit(name).alias("view"),
+            F.col("deleted_at").isNotNull().alias("archived"),
+            "project_id",
+            F.col(order).alias("_order"),
+            F.col(key).alias("row_id"),
+            F.col(title).alias("title"),
         )
 
-    whole = None
-    for archived in (False, True):
-        for part in (
-            view(c.outline, "outline_items", "item_id", "title", ["position", "item_id"], archived),
-            view(c.notes, "notes", "note_id", "title", ["created_at", "note_id"], archived),
-            view(c.characters, "characters", "character_id", "name", ["created_at", "character_id"], archived),
-        ):
-            whole = part if whole is None else whole.unionByName(part)
-    return whole
+    whole = (
+        view(c.outline, "outline_items", "item_id", "title", "position")
+        .unionByName(view(c.notes, "notes", "note_id", "title", "created_at"))
+        .unionByName(view(c.characters, "characters", "character_id", "name", "created_at"))
+    )
+    return whole.orderBy("view", "archived", "project_id", "_order", "row_id").drop("_order")
 
 
 @query("chapter_list", sql("SELECT project_id, position, chapter_id, title, revision_number FROM chapters", "chapters"))
@@ -1141,7 +1143,5 @@ def request_checks(c: Corpus) -> DataFrame:
     ),
 )
 def attempt_ranks(c: Corpus) -> DataFrame:
-    ranked = ranking.full_rank(
-        c.requests, ["user_id"], [F.col("at_us"), F.col("event_id")], F.floor(F.col("at_us") / jobs.HOUR), "place"
-    )
+    ranked = ranking.full_rank(c.requests, ["user_id"], [F.col("at_us"), F.col("event_id")], "place")
     return ranked.select("user_id", "event_id", "place")

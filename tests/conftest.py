@@ -14,6 +14,8 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = build_session("tests", "local[8]", 8)
     session.sparkContext.setLogLevel("ERROR")
+    # Small test data would be merged into one partition; keep all, so that keys do lie in several segments.
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield session
     session.stop()
 

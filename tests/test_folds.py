@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tests import helpers
 
 SECOND = 1_000_000
-EVENTS = "key long, at_us long, event_id long, base_revision long, usable boolean"
+EVENTS = "key long, at_us long, event_id long, base_revision long, usable boolean, initial long"
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -30,13 +30,21 @@ def test_revisions_equal_plain_loop_with_one_hot_key(spark, seed):
             # Many events share a moment, and the hot key runs through many segments.
             rows.append((key, i * 40 // n * SECOND, event, base, usable))
             now += usable and base == now
-    initial = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 7)], "key long, initial long")
-    got = fold_revisions(spark.createDataFrame(rows, EVENTS), initial, segment_micros=3 * SECOND).collect()
+    frame = spark.createDataFrame([(*r, {1: 0, 2: 1, 4: 7}[r[0]]) for r in rows] + [(9, 1, 99999, 0, True, None)], EVENTS)
+    got = fold_revisions(frame, "key").collect()
     want = []
     for key, start in [(1, 0), (2, 1), (4, 7)]:
         want += helpers.fold([(e, t, b, u) for k, t, e, b, u in rows if k == key], start)
-    assert sorted((r.event_id, r.revision_met, r.applied) for r in got) == sorted(want)
     assert sum(ok for _, _, ok in want) > 200
+    assert {(r.event_id, r.revision_met, r.applied) for r in got} == {*want, (99999, None, False)}
+
+
+def test_a_hot_key_is_cut_into_segments(spark):
+    """Half of all rows in one key at one moment: no segment holds more than its share."""
+    df = spark.range(40000).selectExpr("if(id % 2 = 0, 0, id) as k", "if(id % 2 = 0, 5, id) as at", "id")
+    sizes = ranking.segmented(df, ["k"], [F.col("at"), F.col("id")]).groupBy("k", "_segment").count()
+    biggest = sizes.agg(F.max("count")).first()[0]
+    assert sizes.where("k = 0").count() >= 4 and biggest < 10000
 
 
 SAVES = "event_id long, chapter_id long, at_us long, base_revision long, title string, content_json string, plain_text string"
@@ -75,7 +83,7 @@ def test_save_outcomes_history_and_restore(spark):
 
 def test_version_pages(spark):
     rows = spark.createDataFrame([(1, r) for r in range(60)] + [(2, r) for r in range(25)], "chapter_id long, revision long")
-    got = version_pages(rows, segment=7).collect()
+    got = version_pages(rows).collect()
     one = sorted((r.place, r.revision, r.page, r.has_next) for r in got if r.chapter_id == 1)
     assert one[0] == (1, 59, 0, True) and one[25] == (26, 34, 1, True) and one[59] == (60, 0, 2, False)
     assert {r.has_next for r in got if r.chapter_id == 2} == {True}
@@ -121,7 +129,7 @@ def test_quota_of_a_user_without_pause_needs_few_rounds(spark, monkeypatch):
 
 def test_attempt_rate_excludes_the_far_edge(spark):
     rows = spark.createDataFrame([(1, t * SECOND, t) for t in (0, 5, 10, 20)], "user_id long, at_us long, event_id long")
-    got = {r.event_id: r.near for r in Q.attempt_rates(rows, {"near": 10}, segment_micros=7 * SECOND).collect()}
+    got = {r.event_id: r.near for r in Q.attempt_rates(rows, {"near": 10}).collect()}
     assert got == {0: 0, 5: 1, 10: 1, 20: 0}
 
 
@@ -129,9 +137,9 @@ def test_running_helpers_over_segments(spark):
     rng = random.Random(5)
     rows = [(k, rng.randrange(100), i, rng.randrange(5)) for i, k in enumerate([1] * 300 + [2] * 30)]
     df = spark.createDataFrame(rows, "k long, at long, id long, v long")
-    order, segment = [F.col("at"), F.col("id")], F.floor(F.col("at") / 9)
-    ranks = {r.id: r.rank for r in ranking.full_rank(df, ["k"], order, segment).collect()}
-    sums = {r.id: r.s for r in ranking.running_sum(df, ["k"], order, segment, "v", "s").collect()}
+    order = [F.col("at"), F.col("id")]
+    ranks = {r.id: r["rank"] for r in ranking.full_rank(df, ["k"], order).collect()}
+    sums = {r.id: r.s for r in ranking.running_sum(df, ["k"], order, "v", "s").collect()}
     for k in (1, 2):
         total = 0
         for n, row in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])), 1):
