@@ -30,7 +30,7 @@ from foliospark.streaming import folds, replay
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# The moment "now" for due-work queries: half of the jobs of the small corpus are due by then.
+# The moment "now" for due-work queries: half of the jobs are due by then.
 NOW_US = EPOCH_US + 500 * 1_000_000
 # A small byte limit, so that the size rule decides something in the corpus.
 SMALL_TEXT = 17

@@ -41,7 +41,7 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT chapter_id, project_id, revision_number AS source_revision, text_hash AS source_hash,
            CASE WHEN chapter_id % 10 = 0 THEN 'failed' WHEN chapter_id % 10 = 1 THEN 'queued' ELSE 'ready' END AS status,
            CASE WHEN chapter_id % 10 = 0 THEN chapter_id % 4 ELSE 0 END AS attempts,
-           {_EPOCH} + chapter_id * 1000000 AS available_us,
+           {_EPOCH} + chapter_id % 1000 * 1000000 AS available_us,
            CASE WHEN chapter_id % 10 = 0 THEN 'INDEX_FAILED' END AS error FROM chapters""",
     ),
     "span": (
@@ -109,7 +109,7 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
     "bibles": (
         (),
         """SELECT CAST(n_nationkey AS BIGINT) AS bible_id, 'src' || n_nationkey AS project_id, n_name AS premise, '' AS synopsis,
-           '' AS themes, '' AS tone, '' AS style_instructions, '' AS world_rules FROM nation WHERE n_nationkey < 20""",
+           '' AS themes, '' AS tone, '' AS style_instructions, '' AS world_rules FROM nation""",
     ),
     "notes": (
         (),

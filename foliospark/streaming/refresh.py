@@ -1,95 +1,74 @@
 """Keeping the index up to date: accepted saves in, chunks of due chapters out.
 
+The debounce is the queue. An open run of saves keeps only its latest text in the state store; once the run is
+over, that text is chunked. Nothing scans what was indexed before, so a micro-batch costs what it brings.
+
 Three tables grow by one folder per micro-batch, and a repeated batch overwrites its own folder, so a restart
-repeats nothing: ``saved_chapters`` (texts), ``job_log`` (job states) and ``story_chunks``.
+repeats nothing: ``indexed_chapters`` (texts), ``story_chunks`` and ``job_log``. Chunks of replaced revisions stay
+as history; freshness decides at read time.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliospark import schemas as S
 from foliospark.functions.text import md5_text
-from foliospark.operators.chunking import append_chunks, chunk_chapters
-from foliospark.operators.jobs import SECOND, is_due
+from foliospark.operators.chunking import chunk_chapters
 from foliospark.schemas import TABLES
 
 SAVED = "chapter_id long, project_id string, revision_number long, plain_text string, at_us long"
-JOB = "chapter_id long, project_id string, source_revision long, source_hash string, status string, attempts long, available_us long"
-
-
-def _table(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+INDEXED = "chapter_id long, due_us long, project_id string, revision_number long, plain_text string"
 
 
-def _read_log(spark: SparkSession, folder: str, name: str, schema, before: int | None = None) -> DataFrame:
-    rows = _table(spark, f"{folder}/{name}", f"{schema}, batch_id long")
-    return rows if before is None else rows.where(F.col("batch_id") < before)
+def due_chapters(saves: DataFrame, gap_seconds: int = S.DEBOUNCE_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """The latest text of every run of saves that is over, once the watermark has passed its end."""
+    timed = saves.withColumn("ts", F.timestamp_micros("at_us")).withWatermark("ts", delay)
+    latest = F.max_by(F.struct("project_id", "revision_number", "plain_text"), "revision_number")
+    runs = timed.groupBy("chapter_id", F.session_window("ts", f"{gap_seconds} seconds").alias("run")).agg(latest.alias("save"))
+    return runs.select("chapter_id", F.unix_micros("run.end").alias("due_us"), "save.*")
 
 
-def latest_jobs(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The newest state of each job; a ready row beats the queued row of the same revision."""
-    log = _read_log(spark, folder, "job_log", JOB, before)
-    rest = [c for c in log.columns if c not in ("chapter_id", "batch_id")]
-    newness = F.struct(F.col("source_revision"), F.col("status") == "ready", F.col("batch_id"))
-    state = log.groupBy("chapter_id").agg(F.max_by(F.struct(*rest), newness).alias("j"))
-    return state.select("chapter_id", "j.*")
-
-
-def stored_chunks(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    rows = _table(spark, f"{folder}/story_chunks", TABLES["story_chunks"].add("batch_id", "long"))
-    return (rows if before is None else rows.where(F.col("batch_id") < before)).drop("batch_id")
+def index_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
+    """Store the texts of one micro-batch once, then chunk them and record their jobs."""
+    spark = batch.sparkSession
 
+    def place(name: str) -> str:
+        return f"{folder}/{name}/batch_id={batch_id}"
 
-def refresh_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
-    """One micro-batch: store texts, queue their chapters, then index every job that is due by the newest save."""
-    spark = batch.sparkSession
-    place = lambda name: f"{folder}/{name}/batch_id={batch_id}"
-    batch.select("chapter_id", "project_id", "revision_number", "plain_text", "at_us").write.mode("overwrite").parquet(
-        place("saved_chapters")
-    )
-    saved = _table(spark, place("saved_chapters"), SAVED)
-    now = saved.agg(F.max("at_us")).first()[0]
-    if now is None:
-        return
-    queued = saved.select(
+    batch.write.mode("overwrite").parquet(place("indexed_chapters"))
+    texts = spark.read.schema(INDEXED).parquet(place("indexed_chapters"))
+    chunk_chapters(texts).write.mode("overwrite").parquet(place("story_chunks"))
+    texts.select(
         "chapter_id",
         "project_id",
         F.col("revision_number").alias("source_revision"),
         md5_text(F.col("plain_text")).alias("source_hash"),
-        F.lit("queued").alias("status"),
-        F.lit(0).cast("long").alias("attempts"),
-        (F.col("at_us") + S.DEBOUNCE_SECONDS * SECOND).alias("available_us"),
-    )
-    queued.write.mode("overwrite").parquet(place("job_log_queued"))
-    earlier = latest_jobs(spark, folder, batch_id)
-    fresh = _table(spark, place("job_log_queued"), JOB)
-    replaced = fresh.groupBy("chapter_id").agg(F.max("source_revision").alias("newest"))
-    waiting = fresh.join(
-        replaced, (fresh["chapter_id"] == replaced["chapter_id"]) & (fresh["source_revision"] == replaced["newest"]), "left_semi"
-    ).unionByName(earlier.join(replaced.select("chapter_id"), "chapter_id", "left_anti").select(fresh.columns))
-    due = waiting.where(is_due(F.lit(now)))
-    texts = _read_log(spark, folder, "saved_chapters", SAVED).where(F.col("batch_id") <= batch_id)
-    todo = texts.join(
-        due.select("chapter_id", F.col("source_revision").alias("revision_number")), ["chapter_id", "revision_number"], "left_semi"
-    ).dropDuplicates(["chapter_id", "revision_number"])
-    append_chunks(stored_chunks(spark, folder, batch_id), chunk_chapters(todo)).write.mode("overwrite").parquet(place("story_chunks"))
-    ready = due.withColumn("status", F.lit("ready"))
-    fresh.unionByName(ready).write.mode("overwrite").parquet(place("job_log"))
-
-
-def refresh_index(saves: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+        F.lit("ready").alias("status"),
+        F.col("due_us").alias("available_us"),
+    ).write.mode("overwrite").parquet(place("job_log"))
+
+
+def refresh_index(
+    saves: DataFrame, folder: str, checkpoint: str, gap_seconds: int = S.DEBOUNCE_SECONDS, delay: str = "10 minutes", **trigger
+) -> StreamingQuery:
     """Start the refresh; ``trigger`` as for a stream writer, such as processingTime="1 minute"."""
     return (
-        saves.writeStream.foreachBatch(lambda batch, batch_id: refresh_batch(batch, batch_id, folder))
+        due_chapters(saves, gap_seconds, delay)
+        .writeStream.foreachBatch(lambda batch, batch_id: index_batch(batch, batch_id, folder))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def latest_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest job of each chapter from the log."""
+    log = spark.read.parquet(f"{folder}/job_log")
+    rest = [c for c in log.columns if c not in ("chapter_id", "batch_id")]
+    return log.groupBy("chapter_id").agg(F.max_by(F.struct(*rest), "source_revision").alias("j")).select("chapter_id", "j.*")
+
+
+def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(TABLES["story_chunks"]).parquet(f"{folder}/story_chunks")

@@ -74,25 +74,28 @@ def test_refresh_indexes_due_chapters_once(spark, tmp_path):
         (1, "p", 1, "Aurel bekerja.", 0),
         (1, "p", 2, "Aurel pindah ke Bandung.", 20 * SECOND),
         (2, "p", 1, "Kenan menulis.", 30 * SECOND),
-        (3, "p", 1, "Baru saja disimpan.", 100 * SECOND),
+        (2, "p", 2, "Kenan menulis lagi.", 200 * SECOND),
+        (3, "p", 1, "Baru saja disimpan.", 400 * SECOND),
     ]
     saves = spark.createDataFrame(rows, refresh.SAVED)
     source, tables = str(tmp_path / "in"), str(tmp_path / "tables")
     _files(saves, source, 4)
-    stream = replay.read_stream(spark, source, saves, files_per_trigger=1)
     state = run_folder(spark, "refresh")
-    refresh.refresh_index(stream, tables, state).awaitTermination()
+
+    def run():
+        stream = replay.read_stream(spark, source, saves, files_per_trigger=1)
+        refresh.refresh_index(stream, tables, state, delay="0 seconds").awaitTermination()
+        return sorted((r.chapter_id, r.source_revision, r.content) for r in refresh.stored_chunks(spark, tables).collect())
+
+    # The first text of chapter 1 was replaced before it was due; chapter 3 is still open.
+    want = [(1, 2, "Aurel pindah ke Bandung."), (2, 1, "Kenan menulis."), (2, 2, "Kenan menulis lagi.")]
+    assert run() == want
     jobs = {r.chapter_id: (r.status, r.source_revision) for r in refresh.latest_jobs(spark, tables).collect()}
-    assert jobs == {1: ("ready", 2), 2: ("ready", 1), 3: ("queued", 1)}
-    chunks = refresh.stored_chunks(spark, tables)
-    assert sorted((r.chapter_id, r.source_revision, r.content) for r in chunks.collect()) == [
-        (1, 2, "Aurel pindah ke Bandung."),
-        (2, 1, "Kenan menulis."),
-    ]
-    # A restart with nothing new adds nothing; repeating the last batch overwrites its own folder.
-    refresh.refresh_index(replay.read_stream(spark, source, saves, files_per_trigger=1), tables, state).awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "tables" / "story_chunks").glob("batch_id=*"))
-    refresh.refresh_batch(saves.where("chapter_id = 3"), last, tables)
-    assert refresh.stored_chunks(spark, tables).count() == 2
-    whole = chunk_chapters(saves.where("revision_number = 2"))
-    assert refresh.append_chunks(refresh.stored_chunks(spark, tables), whole).count() == 0
+    assert jobs == {1: ("ready", 2), 2: ("ready", 2)}
+    # A restart with nothing new adds nothing, and a repeated batch overwrites its own folder.
+    assert run() == want
+    batch = next(p for p in (tmp_path / "tables" / "indexed_chapters").glob("batch_id=*") if spark.read.parquet(str(p)).count())
+    refresh.index_batch(spark.read.schema(refresh.INDEXED).parquet(str(batch)).cache(), int(batch.name.split("=")[1]), tables + "-copy")
+    refresh.index_batch(spark.read.schema(refresh.INDEXED).parquet(str(batch)).cache(), int(batch.name.split("=")[1]), tables + "-copy")
+    once = refresh.stored_chunks(spark, tables + "-copy").count()
+    assert once == spark.read.parquet(str(batch)).count()
