@@ -18,26 +18,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark import schemas as S
-from foliospark.operators.ranking import running_sum
+from foliospark.operators.ranking import record_batch, running_sum
 from foliospark.session import cut_lineage
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
 CELLS_PER_OCTAVE = 8
 OPEN_END = 2**62
-WALK_SCHEMA = "user_id long, at_us long, event_id long, not_before long, day_block long, next_us long, next_event long"
+STEP = pa.schema([(c, pa.int64()) for c in ("user_id", "at_us", "event_id", "not_before", "day_block", "next_us", "next_event")])
+STEP_DDL = ", ".join(f"{name} long" for name in STEP.names)
 
 
 def _walker(limit: int, window: int, spacing: int):
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Candidates of each user in order; holds the last ``limit`` accepted times of one user.
 
         An accepted row says from which moment it was allowed, until when the day rule blocks after it, and
-        which accepted time follows. The row with a null event is the user's last, still open moment.
+        which accepted request follows. The row with a null event is the user's last, still open moment.
         """
         user_now, recent, moment, last = None, [], 0, None
 
@@ -48,10 +49,9 @@ def _walker(limit: int, window: int, spacing: int):
             open_step = (user_now, OPEN_END, None, moment, 0, OPEN_END, OPEN_END)
             return closed(OPEN_END, OPEN_END) + [open_step] if last else []
 
-        columns = [c.split()[0] for c in WALK_SCHEMA.split(", ")]
         for batch in batches:
             out = []
-            for user, at, event in zip(batch["user_id"].tolist(), batch["at_us"].tolist(), batch["event_id"].tolist()):
+            for user, at, event in zip(*(batch.column(c).to_pylist() for c in ("user_id", "at_us", "event_id"))):
                 if user != user_now:
                     out += tail()
                     user_now, recent, moment, last = user, [], at, None
@@ -62,8 +62,8 @@ def _walker(limit: int, window: int, spacing: int):
                 block = recent[0] + window if len(recent) == limit else 0
                 last = (user, at, event, moment, block)
                 moment = max(at + spacing, block)
-            yield pd.DataFrame(out, columns=columns).astype({"event_id": "Int64"})
-        yield pd.DataFrame(tail(), columns=columns).astype({"event_id": "Int64"})
+            yield record_batch(out, STEP)
+        yield record_batch(tail(), STEP)
 
     return walk
 
@@ -85,7 +85,7 @@ def accepted_chain(
         chain = cut_lineage(
             candidates.repartition("user_id")
             .sortWithinPartitions("user_id", "at_us", "event_id")
-            .mapInPandas(walk, WALK_SCHEMA)
+            .mapInArrow(walk, STEP_DDL)
         )
         first_slot = F.floor(F.col("from_us") / slot)
         probes = chain.select(

@@ -11,6 +11,7 @@ A key may hold a third of all rows, so a plain window over it would be one huge
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliospark.session import cut_lineage
@@ -51,6 +52,12 @@ def segmented(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return cut_lineage(ranged.withColumn(SEGMENT, F.spark_partition_id().cast("long")))
 
 
+def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of a walk as one Arrow batch."""
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def _inside(keys: list[str], order: list[Column]):
     return Window.partitionBy(*keys, SEGMENT).orderBy(*order)
 

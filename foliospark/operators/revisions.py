@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from foliospark import schemas as S
-from foliospark.operators.ranking import SEGMENT, full_rank, segmented
+from foliospark.operators.ranking import SEGMENT, full_rank, record_batch, segmented
 
 
 def _ranges(ends: dict[int, int]) -> Iterator[tuple[int, int, int]]:
@@ -38,12 +38,17 @@ def _ranges(ends: dict[int, int]) -> Iterator[tuple[int, int, int]]:
         yield low, high, end
 
 
-SUMMARY = ["_key", SEGMENT, "initial", "low", "high", "end"]
+SUMMARY = pa.schema([("_key", pa.string()), (SEGMENT, pa.int64()), *[(c, pa.int64()) for c in ("initial", "low", "high", "end")]])
+STARTS = pa.schema([("_key", pa.string()), (SEGMENT, pa.int64()), ("start", pa.int64())])
 # A summary row no start can fall into; it only says that the segment exists.
 EMPTY_RANGE = (-1, -1, -1)
 
 
-def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in columns))
+
+
+def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segment by segment, latest event first: starting at an event's base means going on from base + 1."""
     place, ends = None, {}
 
@@ -52,22 +57,22 @@ def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         out = []
-        for *here, base, usable in zip(*(batch[c].tolist() for c in (*SUMMARY[:3], "_base", "usable"))):
+        for *here, base, usable in _rows(batch, "_key", SEGMENT, "initial", "_base", "usable"):
             if here != place:
                 out += finished()
                 place, ends = here, {}
             if usable:
                 ends[base] = ends.get(base + 1, base + 1)
-        yield pd.DataFrame(out, columns=SUMMARY)
-    yield pd.DataFrame(finished(), columns=SUMMARY)
+        yield record_batch(out, SUMMARY)
+    yield record_batch(finished(), SUMMARY)
 
 
-def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk the summaries of each key in order and give every segment its start."""
     key_now, segment_now, start, end = None, None, None, None
     for batch in batches:
         out = []
-        for key, segment, initial, low, high, stop in zip(*(batch[c].tolist() for c in SUMMARY)):
+        for key, segment, initial, low, high, stop in _rows(batch, *SUMMARY.names):
             if key != key_now:
                 key_now, segment_now, end = key, None, initial
             if segment != segment_now:
@@ -75,23 +80,29 @@ def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((key, segment, start))
             if low <= start <= high:
                 end = stop
-        yield pd.DataFrame(out, columns=["_key", SEGMENT, "start"])
-
-
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    place, now = None, None
-    for batch in batches:
-        met, applied = [], []
-        rows = zip(*(batch[c].tolist() for c in ("_key", SEGMENT, "start", "_base", "usable")))
-        for key, segment, start, base, usable in rows:
-            if (key, segment) != place:
-                place, now = (key, segment), start
-            met.append(now)
-            ok = usable and base == now
-            applied.append(ok)
-            now += ok
-        kept = batch.drop(columns=["_key", SEGMENT, "start", "_base"])
-        yield kept.assign(revision_met=met, applied=applied)
+        yield record_batch(out, STARTS)
+
+
+def _replay(kept: list[str]):
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each segment begins with the row that brings its start; the events follow in order."""
+        now = None
+        for batch in batches:
+            events, met, applied = [], [], []
+            for place, (start, base, usable) in enumerate(_rows(batch, "start", "_base", "usable")):
+                if start is not None:
+                    now = start
+                    continue
+                ok = usable and base == now
+                events.append(place)
+                met.append(now)
+                applied.append(ok)
+                now += ok
+            body = batch.take(pa.array(events, pa.int64()))
+            columns = [body.column(c) for c in kept] + [pa.array(met, pa.int64()), pa.array(applied, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "revision_met", "applied"])
+
+    return replay
 
 
 def fold_revisions(events: DataFrame, key: str) -> DataFrame:
@@ -112,23 +123,24 @@ def fold_revisions(events: DataFrame, key: str) -> DataFrame:
     known = placed.where(F.col("initial").isNotNull())
     by_segment = ["_key", SEGMENT]
     summaries = (
-        known.select(*SUMMARY[:3], "at_us", "event_id", "_base", "usable")
+        known.select(*by_segment, "initial", "at_us", "event_id", "_base", "usable")
         .repartition(*by_segment)
         .sortWithinPartitions(*by_segment, F.desc("at_us"), F.desc("event_id"))
-        .mapInPandas(_summarise, f"_key string, {SEGMENT} long, initial long, low long, high long, end long")
+        .mapInArrow(_summarise, f"_key string, {SEGMENT} long, initial long, low long, high long, end long")
     )
     starts = (
         summaries.repartition("_key")
         .sortWithinPartitions(*by_segment, "low")
-        .mapInPandas(_compose, f"_key string, {SEGMENT} long, start long")
+        .mapInArrow(_compose, f"_key string, {SEGMENT} long, start long")
     )
     kept = placed.drop("_key", SEGMENT, "_base").schema
     met = [T.StructField("revision_met", T.LongType()), T.StructField("applied", T.BooleanType())]
+    # The starts travel as rows in front of their segments, which saves a join and its shuffle.
     replayed = (
-        known.join(starts, by_segment)
+        known.unionByName(starts, allowMissingColumns=True)
         .repartition(*by_segment)
-        .sortWithinPartitions(*by_segment, *order)
-        .mapInPandas(_replay, T.StructType(kept.fields + met))
+        .sortWithinPartitions(*by_segment, F.col("start").isNull(), *order)
+        .mapInArrow(_replay(kept.names), T.StructType(kept.fields + met))
     )
     unknown = placed.where(F.col("initial").isNull()).select(
         *kept.names, F.lit(None).cast("long").alias("revision_met"), F.lit(False).alias("applied")

@@ -38,7 +38,7 @@ def test_query(spark, duck, name):
         df.explain()
     plan = text.getvalue()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "BatchEvalPython" not in plan
-    assert name in PYTHON or "MapInPandas" not in plan
+    assert name in PYTHON or "MapInArrow" not in plan and "MapInPandas" not in plan
     got = df.collect()
     sql = entry.oracle_sql().get(name)
     if sql is None:
