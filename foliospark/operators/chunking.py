@@ -9,7 +9,7 @@ from foliospark.functions.text import let, md5_text, row_key
 
 # A page holds this many characters plus one chunk span, so every slice lies in one page and
 # cutting it never scans the text from its beginning. Long texts stay linear.
-PAGE = 65_536
+PAGE = 16_384
 SHORTEST_ADVANCE = S.CHUNK_SPAN - S.BREAK_WINDOW - S.CHUNK_OVERLAP
 
 UP_TO_LAST_BREAK = rf"(?s)^(.*[{S.BREAK_CHARACTERS}])"

@@ -44,9 +44,13 @@ def token_positions(chunks: DataFrame, *carry: str) -> DataFrame:
 
 
 def build_index(chunks: DataFrame) -> DataFrame:
-    """(project, token, chunk, tf); word counts combine on the map side before the shuffle."""
+    """(project, token, chunk, tf).
+
+    Chunks are spread by their id before they are cut into words. The words of a chunk then lie in one task, so
+    the count needs no shuffle of its own, and what is moved is the text once instead of a row for every word.
+    """
     return (
-        token_positions(chunks)
+        token_positions(chunks.select("project_id", "chunk_id", "content").repartition("chunk_id"))
         .groupBy("project_id", "token", "chunk_id")
         .agg(F.sum("tf").cast("long").alias("tf"))
     )
