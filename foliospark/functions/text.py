@@ -119,6 +119,3 @@ def retry_delay_seconds(attempts: Column) -> Column:
     """Seconds until the next try, from the number of attempts before this failure."""
     return (F.lit(S.BACKOFF_SECONDS) * F.pow(F.lit(2), attempts)).cast("long")
 
-
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from foliospark import schemas as S
-from foliospark.functions.text import ASK_PREFIX, model_task, pseudonym, row_key
+from foliospark.functions.text import ASK_PREFIX, contains_literal, model_task, pseudonym, row_key
 from foliospark.operators.chunking import current_chunks, with_currency
 from foliospark.operators.ranking import top_rows
 
@@ -103,7 +103,7 @@ def usage_report(generations: DataFrame) -> DataFrame:
 
 
 def title_matches(projects: DataFrame, query: str) -> DataFrame:
-    return projects.where(F.instr(F.lower("title"), F.lit(query.lower())) > 0)
+    return projects.where(contains_literal(F.col("title"), F.lit(query)))
 
 
 def next_positions(projects: DataFrame, chapters: DataFrame) -> DataFrame:

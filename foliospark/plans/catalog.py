@@ -985,19 +985,25 @@ def planning_lists(c: Corpus) -> DataFrame:
     def view(rows: DataFrame, name: str, key: str, title: str, order: str) -> DataFrame:
         return rows.select(
             F.lit(name).alias("view"),
-            F.col("deleted_at").isNotNull().alias("archived"),
             "project_id",
-            F.col(order).alias("_order"),
+            "deleted_at",
+            F.col(order).alias("order"),
             F.col(key).alias("row_id"),
             F.col(title).alias("title"),
         )
 
-    whole = (
+    every = (
         view(c.outline, "outline_items", "item_id", "title", "position")
         .unionByName(view(c.notes, "notes", "note_id", "title", "created_at"))
         .unionByName(view(c.characters, "characters", "character_id", "name", "created_at"))
     )
-    return whole.orderBy("view", "archived", "project_id", "_order", "row_id").drop("_order")
+    shown = [
+        reports.planning_list(every, ["view", "order", "row_id"], archived).select(
+            "view", F.lit(archived).alias("archived"), "project_id", "row_id", "title"
+        )
+        for archived in (False, True)
+    ]
+    return shown[0].unionByName(shown[1])
 
 
 @query("chapter_list", sql("SELECT project_id, position, chapter_id, title, revision_number FROM chapters", "chapters"))

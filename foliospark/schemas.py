@@ -89,10 +89,12 @@ TABLES = {
     "memory_insights": _struct("insight_id:s project_id:s chunk_id:s generation_id:s summary:s created_at:t"),
     "story_facts": _struct("fact_id:s project_id:s chunk_id:s claim:s quote:s status:s revision:l created_at:t"),
     "ai_generations": _struct(
-        "generation_id:l user_id:s project_id:s action:s prompt:s result:s model:s status:s context_sources:a token_usage:s estimated_cost_usd:d created_at:t"
+        "generation_id:l user_id:s project_id:s action:s prompt:s result:s model:s status:s context_sources:a "
+        "token_usage:s estimated_cost_usd:d created_at:t"
     ),
     "characters": _struct(
-        "character_id:l project_id:s name:s aliases:a role:s attributes:m description:s include_in_ai_context:b revision:l deleted_at:t created_at:t"
+        "character_id:l project_id:s name:s aliases:a role:s attributes:m description:s include_in_ai_context:b "
+        "revision:l deleted_at:t created_at:t"
     ),
     "story_bibles": _struct("bible_id:l project_id:s premise:s synopsis:s themes:s tone:s style_instructions:s world_rules:s"),
     "notes": _struct("note_id:l project_id:s title:s note_type:s plain_text:s include_in_ai_context:b revision:l deleted_at:t created_at:t"),

@@ -9,7 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from foliospark.functions.text import md5_text, row_key
+from foliospark.functions.text import md5_text
 from foliospark.operators.chunking import chunk_chapters
 from foliospark.session import cut_lineage
 
@@ -241,7 +241,11 @@ class Corpus:
             F.col("event_id").alias("generation_id"),
             "user_id",
             F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("project_id"),
-            F.when(kind == "click", "rewrite").when(kind == "signup", "continue").when(kind == "purchase", "brainstorm").otherwise("chat").alias("action"),
+            F.when(kind == "click", "rewrite")
+            .when(kind == "signup", "continue")
+            .when(kind == "purchase", "brainstorm")
+            .otherwise("chat")
+            .alias("action"),
             F.when(kind == "view", F.concat(F.lit("[Ask My Story] "), F.col("props"))).otherwise(F.col("props")).alias("prompt"),
             F.concat(F.lit("Jawaban "), F.col("props")).alias("result"),
             F.when(kind == "click", "other/model").otherwise(F.concat(F.lit("nvidia/nemotron-"), F.col("k").cast("string"))).alias("model"),
