@@ -8,9 +8,9 @@ one the first request at or after that moment, and almost no request takes part
 * Per (user, slot of 10 s) only the first request is a candidate. That is a grouped minimum, and the number of
   candidates depends on time, not on traffic.
 * The chain is walked over the candidates, then each step is checked against all requests in the 10 seconds
-  after its moment. Where a request was passed over, it becomes a candidate together with some that follow it,
-  close ones densely and far ones sparsely, and the walk is repeated. Each round divides the error of later
-  steps by ten or so; when no step passes over anything, the chain is exact.
+  after its moment. Where a request was passed over, it becomes a candidate, and with it requests around every
+  moment of that user, close ones densely and far ones sparsely; then the walk is repeated. When no step passes
+  over anything, the chain is exact.
 * Every other request is refused; the accepted one before it tells by which rule.
 """
 
@@ -27,7 +27,7 @@ from foliospark.session import cut_lineage
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
-CELLS_PER_OCTAVE = 8
+CELLS_PER_OCTAVE = 64
 OPEN_END = 2**62
 STEP = pa.schema([(c, pa.int64()) for c in ("user_id", "at_us", "event_id", "not_before", "day_block", "next_us", "next_event")])
 STEP_DDL = ", ".join(f"{name} long" for name in STEP.names)
@@ -92,21 +92,25 @@ def accepted_chain(
             "user_id",
             F.col("not_before").alias("from_us"),
             F.struct("at_us", F.coalesce("event_id", F.lit(OPEN_END)).alias("event_id")).alias("taken"),
-        ).withColumn("slot", F.explode(F.array(first_slot, first_slot + 1)))
+        ).withColumn("slot", F.explode(F.array(first_slot - 1, first_slot, first_slot + 1)))
         behind = F.col("at_us") - F.col("from_us")
-        near = slotted.join(probes, ["user_id", "slot"]).where((behind >= 0) & (behind < slot))
+        near = slotted.join(probes, ["user_id", "slot"]).where(F.abs(behind) < slot)
         request = F.struct("at_us", "event_id")
         missing = cut_lineage(
-            near.groupBy("user_id", "from_us", "taken")
+            near.where(behind >= 0)
+            .groupBy("user_id", "from_us", "taken")
             .agg(F.min(request).alias("first"))
             .where(F.col("first") < F.col("taken"))
-            .select("user_id", "from_us")
+            .select("user_id")
+            .distinct()
         )
         if missing.isEmpty():
             return chain.where(F.col("event_id").isNotNull())
+        # A passed-over request makes all later moments of the user come too late, so the right ones lie before them.
+        distance = F.floor(F.log2(F.abs(behind) + 1) * CELLS_PER_OCTAVE)
         finer = (
-            near.join(missing, ["user_id", "from_us"], "left_semi")
-            .groupBy("user_id", "from_us", F.floor(F.log2(behind + 1) * CELLS_PER_OCTAVE).alias("cell"))
+            near.join(missing, "user_id", "left_semi")
+            .groupBy("user_id", "from_us", (behind >= 0).alias("ahead"), distance.alias("cell"))
             .agg(F.min(request).alias("first"))
             .select("user_id", "first.at_us", "first.event_id")
         )
