@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,16 +30,15 @@ def build_session(name: str = "foliospark", master: str | None = None, shuffle_p
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it in spark.checkpoint.dir.
 
-    Only a local-master session without that setting gets a folder of its own.
+    A session on a local master without that setting, as in tests, gets a folder of its own; any other gets an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="foliospark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def run_folder(spark: SparkSession, label: str) -> str:

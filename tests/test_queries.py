@@ -30,7 +30,7 @@ def rows(values, names):
     return sorted(repr([v[i] for i in order]) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SMALL)
     text = io.StringIO()
