@@ -200,17 +200,15 @@ def remove_repeats(documents: DataFrame, threshold: int = THRESHOLD, with_text:
     rows are repeats of each other, whatever their doc_id. An empty table gives an empty table. Columns named like the
     added ones are replaced.
     """
-    keyed = documents.withColumn("_key", common.row_key("doc_id", "text"))
+    added = ("n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256")
+    kept = [c for c in documents.columns if c not in added] if with_text else ["doc_id"]
+    # Input columns travel under numbers, so no name of theirs can clash.
+    numbered = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)]
+    keyed = documents.select(common.row_key("doc_id", "text").alias("key"), F.col("text"), *numbered)
     found = common.stored(
-        repeated_ranges(keyed.select(F.col("_key").alias("key"), "text"), threshold)
-        .groupBy(F.col("key").alias("_key"))
-        .agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+        repeated_ranges(keyed.select("key", "text"), threshold).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     )
-    added = ("n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256", "ranges")
-    kept = [c for c in documents.columns if c not in added] if with_text else ["doc_id"]
-    copied = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)]
-    rows = keyed.select("_key", *copied, "text").join(found, "_key", "left")
-    rows = rows.select(*(f"_{i}" for i in range(len(kept))), "text", "ranges")
+    rows = keyed.join(found, "key", "left").drop("key")
     shape = T.StructType(
         [f for f in rows.schema.fields if f.name not in ("text", "ranges")]
         + [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
