@@ -22,6 +22,16 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("cut-"):
+                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark's cleaner drop shuffle files of finished steps now, not at its next periodic run."""
     gc.collect()

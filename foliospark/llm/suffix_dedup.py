@@ -36,7 +36,9 @@ RUN = 8
 SLICE = 1 << 20
 MASK24 = np.uint64((1 << 24) - 1)
 
+#: Row, first window, number of windows, place of the gram after the first window, rank of the core, rank of the whole.
 CLASSES = "key long, s int, l int, o int, g long, c long"
+RUNS = "key long, s int, l int, o int, parent int, g long, c long"
 
 
 def sample_windows(prints: common.Fingerprints, raw: np.ndarray, begins: np.ndarray, threshold: int, gram: int):
@@ -117,16 +119,22 @@ def _splitter(threshold: int, run_length: int):
 
 
 def _decide(classes: DataFrame, extra: list[str], threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Repeated byte ranges among the classes, and one class per different string where a core is still shared."""
-    shared = classes.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    """Repeated byte ranges among the classes, and one class per different string where a core is still shared.
+
+    The sides of each join are stored tables, so that Spark can split the rows of a core that a large part has.
+    """
+    shared = common.stored(classes.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"))
     alive = common.stored(classes.join(shared, "g"))
+    common.discard(classes, shared)
     strings = common.stored(
         alive.groupBy("g", "c").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("key", "s", "l", "o", *extra)))
     )
     equal = strings.filter("n > 1").select("g", "c")
-    found = alive.join(equal, ["g", "c"]).select("key", "s", (F.col("s") + F.col("l") - 1 + threshold).alias("e"))
-    several = strings.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    return found, strings.join(several, "g").select("key", "s", "l", "o", *extra)
+    found = common.stored(alive.join(equal, ["g", "c"]).select("key", "s", (F.col("s") + F.col("l") - 1 + threshold).alias("e")))
+    several = common.stored(strings.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"))
+    undecided = common.stored(strings.join(several, "g").select("key", "s", "l", "o", *extra))
+    common.discard(alive, strings, several)
+    return found, undecided
 
 
 def repeated_ranges(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -140,14 +148,14 @@ def repeated_ranges(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     whole, undecided = _decide(classes, [], threshold)
     piece = F.substring(F.col("text").cast("binary"), F.col("s") + 1, F.col("l") + threshold - 1)
     pieces = common.stored(undecided.join(windows, "key").select("key", "s", "l", "o", piece.alias("piece")))
-    run = min(RUN, threshold)
-    runs = common.stored(pieces.mapInArrow(_splitter(threshold, run), "key long, s int, l int, o int, parent int, g long, c long"))
+    runs = common.stored(pieces.mapInArrow(_splitter(threshold, min(RUN, threshold)), RUNS))
     in_runs, open_runs = _decide(runs, ["parent"], threshold)
     parents = pieces.select("key", F.col("s").alias("parent"), "piece")
     inner = F.substring("piece", F.col("s") - F.col("parent") + 1, F.col("l") + threshold - 1)
     narrow = open_runs.join(parents, ["key", "parent"]).select("key", "s", "l", "o", inner.alias("piece"))
-    single = common.stored(narrow.mapInArrow(_splitter(threshold, 1), "key long, s int, l int, o int, parent int, g long, c long"))
-    equal = single.groupBy("g", "c").agg(F.count("*").alias("n")).filter("n > 1").select("g", "c")
+    single = common.stored(narrow.mapInArrow(_splitter(threshold, 1), RUNS))
+    common.discard(undecided, open_runs, pieces)
+    equal = common.stored(single.groupBy("g", "c").agg(F.count("*").alias("n")).filter("n > 1").select("g", "c"))
     last = single.join(equal, ["g", "c"]).select("key", "s", (F.col("s") + threshold).alias("e"))
     return reduce(DataFrame.unionByName, (whole, in_runs, last))
 
