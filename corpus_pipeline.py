@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import common, simhash_gph, suffix_dedup
+from foliospark.llm import common, decontaminate, mixing, simhash_gph, suffix_dedup
 from foliospark.session import cut_lineage
 
 STAGES = [
     ("simhash_near_dedup", simhash_gph.stage),
     ("suffix_dedup", suffix_dedup.stage),
+    ("benchmark_decontamination", decontaminate.stage),
+    ("source_mix", mixing.stage),
 ]
 #: Trained scores, connected components and byte-wise repeats have no plain SQL; tests compare with brute force.
 ORACLE_SQL = None

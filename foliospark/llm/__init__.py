@@ -1,7 +1,7 @@
 """Operators for preparing training text at scale. Nothing else in the library imports this package."""
 
-from foliospark.llm import simhash_gph, suffix_dedup
+from foliospark.llm import decontaminate, mixing, simhash_gph, suffix_dedup, topk_search, url_filter
 
-MODULES = (suffix_dedup, simhash_gph)
+MODULES = (decontaminate, url_filter, suffix_dedup, mixing, simhash_gph, topk_search)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
