@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import common, decontaminate, mixing, simhash_gph, suffix_dedup
+from foliospark.llm import common, decontaminate, mixing, simhash_gph, suffix_dedup, toxicity
 from foliospark.session import cut_lineage
 
 STAGES = [
+    ("toxicity", toxicity.stage),
     ("simhash_near_dedup", simhash_gph.stage),
     ("suffix_dedup", suffix_dedup.stage),
     ("benchmark_decontamination", decontaminate.stage),
