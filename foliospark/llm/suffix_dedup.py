@@ -33,7 +33,7 @@ GRAM = 32
 #: Windows per class on the second length.
 RUN = 8
 #: Bytes handled at once inside a task.
-SLICE = 1 << 20
+SLICE = 1 << 18
 MASK24 = np.uint64((1 << 24) - 1)
 
 #: Row, first window, number of windows, place of the gram after the first window, rank of the core, rank of the whole.
@@ -160,6 +160,20 @@ def repeated_ranges(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return reduce(DataFrame.unionByName, (whole, in_runs, last))
 
 
+def merged(starts: np.ndarray, counts: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges [s, e) of rows laid end to end, ``counts`` of them in each, as maximal runs: row, first byte, past-last byte."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    # One place more between rows keeps their ranges apart.
+    first, past = starts[row] + row + s, starts[row] + row + e
+    order = np.argsort(first, kind="stable")
+    row, first, past = row[order], first[order], np.maximum.accumulate(past[order])
+    new = np.ones(len(row), bool)
+    new[1:] = first[1:] > past[:-1]
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(row))[: len(head)] - 1
+    return row[head], first[head] - row[head], past[tail] - row[head]
+
+
 def _cutter(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,23 +181,20 @@ def _cutter(with_text: bool):
             ranges = batch.column("ranges")
             counts = np.asarray(ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
             flat = ranges.flatten()
-            base = np.repeat(starts[:-1], counts)
-            step = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(step, base + flat.field("s").to_numpy(), 1)
-            np.add.at(step, base + flat.field("e").to_numpy(), -1)
-            gone = np.cumsum(step[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(gone)])
-            rising = gone.copy()
-            rising[1:] &= ~gone[:-1]
-            heads = starts[:-1][starts[:-1] < starts[1:]]
-            rising[heads] = gone[heads]
-            spans = np.concatenate([[0], np.cumsum(rising)])
-            kept, kept_starts = raw[~gone], starts - total[starts]
-            data = kept.tobytes()
-            cut = [data[a:b] for a, b in zip(kept_starts[:-1].tolist(), kept_starts[1:].tolist(), strict=True)]
+            row, first, past = merged(starts, counts, flat.field("s").to_numpy(), flat.field("e").to_numpy())
+            n = len(starts) - 1
+            removed = np.bincount(row, past - first, n).astype(np.int64)
+            spans = np.bincount(row, minlength=n)
+            data = raw.tobytes()
+            cut = [data[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            begin = np.searchsorted(row, np.arange(n + 1))
+            for i in np.flatnonzero(spans).tolist():
+                own = slice(begin[i], begin[i + 1])
+                edges = zip([0, *(past[own] - starts[i]).tolist()], [*(first[own] - starts[i]).tolist(), len(cut[i])], strict=True)
+                cut[i] = b"".join([cut[i][a:b] for a, b in edges])
             rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name not in ("text", "ranges")]
             names = [name for name in batch.schema.names if name not in ("text", "ranges")]
-            rest += [pa.array(np.diff(starts)), pa.array(np.diff(total[starts])), pa.array(np.diff(spans[starts]))]
+            rest += [pa.array(np.diff(starts)), pa.array(removed), pa.array(spans)]
             names += ["n_bytes", "n_removed", "n_spans"]
             if with_text:
                 rest.append(pa.array([x.decode("utf-8", "ignore") for x in cut], pa.string()))
