@@ -267,20 +267,20 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not called toxic, unchanged; learned from the labels of the documents given."""
     model = fit(docs, common.table(spark, sf_dir, "labels"))
     names = [f"_{i}" for i in range(len(docs.columns))]
-    numbered = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col("text"))
+    numbered = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(docs.columns, names, strict=True))
-    judged = numbered.mapInArrow(_judge_rows(model), schema)
+    judged = numbered.mapInArrow(_judge_rows(model, docs.columns.index("text")), schema)
     return judged.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
-def _judge_rows(model: Model):
+def _judge_rows(model: Model, text: int):
+    """Keeps the rows whose text, in the column of that number, is not called toxic."""
     judge = _judge(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (scored,) = judge(iter([batch]))
-            keep = pa.array(scored.column("score").to_numpy() < CUT)
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(keep)
+            (scored,) = judge(iter([batch.select([text])]))
+            yield batch.filter(pa.array(scored.column("score").to_numpy() < CUT))
 
     return run
 
