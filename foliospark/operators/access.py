@@ -25,9 +25,9 @@ def visible_counts(rows: DataFrame, projects: DataFrame) -> DataFrame:
     return with_owner(per_project, projects).groupBy("owner_id").agg(F.sum("n").alias("visible_rows"))
 
 
-def leaked_rows(rows: DataFrame, projects: DataFrame, key: str) -> DataFrame:
-    """Row keys visible to more than one owner. Must be empty."""
-    seen = with_owner(rows, projects).groupBy(key).agg(
-        F.min("owner_id").alias("first_owner"), F.max("owner_id").alias("last_owner")
-    )
-    return seen.where(F.col("first_owner") != F.col("last_owner"))
+def leaked_rows(rows: DataFrame, parents: DataFrame, projects: DataFrame, key: str) -> DataFrame:
+    """Rows that their owner sees although their parent (by ``key``) is another owner's, or nobody's. Must be empty."""
+    owners = projects.select("project_id", F.col("owner_id").alias("parent_owner"))
+    above = parents.select(key, "project_id").join(owners, "project_id").select(key, "parent_owner")
+    seen = with_owner(rows, projects).join(above, key, "left")
+    return seen.where(~F.col("owner_id").eqNullSafe(F.col("parent_owner")))

@@ -111,10 +111,13 @@ def chapter_versions_key(chapters: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def with_currency(rows: DataFrame, chapters: DataFrame, *extra: str) -> DataFrame:
-    """Add ``current``: does the row's source revision and hash equal the chapter's present text."""
+def with_currency(rows: DataFrame, chapters: DataFrame, *extra: str, how: str = "inner") -> DataFrame:
+    """Add ``current``: does the row's source revision and hash equal the chapter's present text.
+
+    Rows of deleted chapters go, or with ``how="left"`` stay with a null.
+    """
     now = chapter_versions_key(chapters, *extra)
-    joined = rows.join(now, ["chapter_id", "project_id"])
+    joined = rows.join(now, ["chapter_id", "project_id"], how)
     fresh = (F.col("source_revision") == F.col("current_revision")) & (F.col("source_hash") == F.col("current_hash"))
     return joined.withColumn("current", fresh).drop("current_revision", "current_hash")
 

@@ -79,22 +79,39 @@ def packed(parts: Column, budget: int = S.CONTEXT_BUDGET) -> Column:
     return F.aggregate(parts, zero, add)
 
 
+def with_chapter(requests: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Each request with its chapter's columns, null where it names none or one that is not there."""
+    texts = chapters.select("project_id", "chapter_id", "title", "revision_number", "plain_text")
+    return requests.join(texts, ["project_id", "chapter_id"], "left")
+
+
+def refusal() -> Column:
+    """Why a request with its chapter is refused; null if it is not."""
+    asked = F.col("use_chapter") & F.col("chapter_id").isNotNull()
+    return F.when(asked & F.col("title").isNull(), "CONTEXT_UNAVAILABLE").when((F.col("action") == "continue") & ~asked, "CHAPTER_REQUIRED")
+
+
+def context_rejects(requests: DataFrame, chapters: DataFrame) -> DataFrame:
+    """request_id and code of the requests that get no context."""
+    return with_chapter(requests, chapters).select("request_id", refusal().alias("code")).where(F.col("code").isNotNull())
+
+
 def assemble_context(
     requests: DataFrame, chapters: DataFrame, bibles: DataFrame, characters: DataFrame, notes: DataFrame
 ) -> DataFrame:
     """``requests``: request_id, project_id, chapter_id, action, use_chapter, use_bible, use_characters, use_notes.
 
-    A request has at most 32 parts, so packing is a fold inside its row and needs no shuffle of its own.
+    The chapter is optional; ``context_rejects`` has the requests that are refused for lack of it. A request has at most 32 parts, so packing is a fold inside its row and needs no shuffle of its own.
     """
-    texts = chapters.select("project_id", "chapter_id", "title", "revision_number", "plain_text")
     none = F.array().cast(f"array<{PART}>")
 
     def wanted(flag: str, parts: Column) -> Column:
         return F.when(F.col(flag), F.coalesce(parts, none)).otherwise(none)
 
-    chapter = F.array(chapter_part(F.col("action")))
+    chapter = F.when(F.col("title").isNotNull(), F.array(chapter_part(F.col("action"))))
     joined = (
-        requests.join(texts, ["project_id", "chapter_id"])
+        with_chapter(requests, chapters)
+        .where(refusal().isNull())
         .select(*requests.columns, chapter.alias("chapter"))
         .join(project_parts(bibles, characters, notes), "project_id", "left")
     )

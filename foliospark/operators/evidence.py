@@ -101,11 +101,11 @@ def assemble_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def void_stale(outcomes: DataFrame, cited: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Re-check after answering: one changed source voids the answer. ``cited`` lists all retrieved sources."""
+    """Re-check after answering: one changed or deleted source voids the answer. ``cited`` lists all retrieved sources."""
     stale = (
-        with_currency(cited, chapters)
+        with_currency(cited, chapters, how="left")
         .groupBy("answer_id")
-        .agg(F.bool_or(~F.col("current")).alias("changed"))
+        .agg(F.bool_or(~F.coalesce("current", F.lit(False))).alias("changed"))
     )
     return outcomes.join(stale, "answer_id", "left").withColumn(
         "outcome",

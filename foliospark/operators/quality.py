@@ -21,6 +21,12 @@ def _json_type(name: str) -> Column:
     return F.regexp_extract(F.schema_of_variant(F.try_parse_json(name)), r"^[A-Z]+", 0)
 
 
+def _model(name: str) -> Column:
+    """Stored as provider:id; one provider takes any id, the other binds it to a pattern."""
+    provider, rest = F.substring_index(name, ":", 1), F.substring(name, 8, 1 << 20)
+    return F.when(provider == "nebius", rest.rlike(MODEL_ID)).otherwise((provider == "gateway") & (F.length(rest) > 1))
+
+
 def rules() -> dict[str, dict[str, Column]]:
     """Per table the conditions a row must meet. A condition that is null counts as met, as a check does."""
     c = F.col
@@ -43,7 +49,7 @@ def rules() -> dict[str, dict[str, Column]]:
             "action": c("action").isin(*S.GENERATION_ACTION),
             "status": c("status").isin(*S.GENERATION_STATUS),
             "prompt_length": F.length("prompt") <= 6000,
-            "model_id": c("model").rlike(MODEL_ID),
+            "model_id": _model("model"),
         },
         "characters": {"name_length": _title("name")},
         "notes": {"title_length": _title("title")},

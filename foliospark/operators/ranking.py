@@ -19,7 +19,6 @@ from foliospark.session import cut_lineage
 # Up to this many rows per key and map task, one merge of all map outputs of a key stays small.
 ONE_MERGE = 50
 MERGES = 512
-LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -28,9 +27,6 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank:
     Every map task passes on n rows per key at most. For a larger n those are merged in two steps, first
     the tasks of one group, then the groups, so that even a key present in all tasks stays bounded.
     """
-    conf = df.sparkSession.conf
-    if n > int(conf.get(LIMIT_SETTING)):
-        conf.set(LIMIT_SETTING, str(n))
     if n > ONE_MERGE:
         group = Window.partitionBy(*keys, "_group").orderBy(*order)
         df = (
@@ -70,6 +66,14 @@ def _so_far(keys: list[str], order: list[Column]):
     return _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def _carried(parted: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with what came before its segment; null is a key like any other."""
+    names = [*keys, SEGMENT]
+    other = before.select(*(F.col(k).alias(f"_at{i}") for i, k in enumerate(names)), *(c for c in before.columns if c not in names))
+    same = [F.col(k).eqNullSafe(F.col(f"_at{i}")) for i, k in enumerate(names)]
+    return parted.join(other, same).drop(*(f"_at{i}" for i in range(len(names))))
+
+
 def full_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
     """Row number of every row in its key."""
     parted = segmented(df, keys, order)
@@ -81,7 +85,7 @@ def full_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str = "
     )
     return (
         parted.withColumn("_local", F.row_number().over(_inside(keys, order)))
-        .join(offsets, [*keys, SEGMENT])
+        .transform(_carried, offsets, keys)
         .withColumn(rank, (F.col("_before") + F.col("_local")).cast("long"))
         .drop(SEGMENT, "_local", "_before")
     )
@@ -98,7 +102,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
     )
     return (
         parted.withColumn("_local", F.sum(value).over(_so_far(keys, order)))
-        .join(offsets, [*keys, SEGMENT])
+        .transform(_carried, offsets, keys)
         .withColumn(out, F.col("_before") + F.col("_local"))
         .drop(SEGMENT, "_local", "_before")
     )
@@ -115,7 +119,7 @@ def last_seen(df: DataFrame, keys: list[str], order: list[Column], value: str, o
     )
     return (
         parted.withColumn("_local", F.max(value).over(_so_far(keys, order)))
-        .join(carried, [*keys, SEGMENT])
+        .transform(_carried, carried, keys)
         .withColumn(out, F.coalesce("_local", "_before"))
         .drop(SEGMENT, "_local", "_before")
     )
@@ -139,7 +143,7 @@ def runs(df: DataFrame, keys: list[str], at: str, tie: str, gap: int, out: str)
     )
     return (
         local.withColumn("_local", F.max("_start").over(_so_far(keys, order)))
-        .join(carried, [*keys, SEGMENT])
+        .transform(_carried, carried, keys)
         .withColumn(out, F.coalesce("_local", "_carry"))
         .drop(SEGMENT, "_prev", "_start", "_local", "_carry")
     )

@@ -32,8 +32,6 @@ ORACLES: dict[str, str] = {}
 
 # The moment "now" for due-work queries: half of the jobs are due by then.
 NOW_US = EPOCH_US + 500 * 1_000_000
-# A small byte limit, so that the size rule decides something in the corpus.
-SMALL_TEXT = 17
 
 
 def query(name: str, oracle: str | None = None):
@@ -270,16 +268,18 @@ def tenant_scope(c: Corpus) -> DataFrame:
 @query(
     "tenant_leaks",
     sql(
-        """SELECT p.owner_id, count(*) AS visible_rows, CAST(0 AS BIGINT) AS leaked_rows
-           FROM chunks s JOIN projects p USING (project_id) GROUP BY 1""",
+        """SELECT p.owner_id, count(*) AS visible_rows, count(*) FILTER (WHERE q.owner_id IS DISTINCT FROM p.owner_id) AS leaked_rows
+           FROM chunks s JOIN projects p USING (project_id) LEFT JOIN chapters c USING (chapter_id) LEFT JOIN projects q ON q.project_id = c.project_id
+           GROUP BY 1""",
         "chunks",
+        "chapters",
         "projects",
     ),
 )
 def tenant_leaks(c: Corpus) -> DataFrame:
-    leaked = access.leaked_rows(c.chunks, c.projects, "chunk_id").groupBy("first_owner").agg(count().alias("leaked"))
+    leaked = access.leaked_rows(c.chunks, c.chapters, c.projects, "chapter_id").groupBy("owner_id").agg(count().alias("leaked"))
     visible = access.visible_counts(c.chunks, c.projects)
-    return visible.join(leaked, F.col("owner_id") == F.col("first_owner"), "left").select(
+    return visible.join(leaked, "owner_id", "left").select(
         "owner_id", "visible_rows", F.coalesce("leaked", F.lit(0)).cast("long").alias("leaked_rows")
     )
 
@@ -317,8 +317,8 @@ def answer_assembly(c: Corpus) -> DataFrame:
     "staleness_recheck",
     sql(
         """SELECT o.answer_id, CASE WHEN s.changed AND o.outcome IN ('accepted', 'abstained') THEN 'STALE_SOURCE' ELSE o.outcome END AS outcome
-           FROM answer_outcomes o LEFT JOIN (SELECT a.answer_id, bool_or(a.source_revision <> c.revision_number OR a.source_hash <> c.text_hash) AS changed
-             FROM answer_sources a JOIN chapters c ON c.chapter_id = a.chapter_id GROUP BY 1) s USING (answer_id)""",
+           FROM answer_outcomes o LEFT JOIN (SELECT a.answer_id, bool_or(a.source_revision IS DISTINCT FROM c.revision_number OR a.source_hash IS DISTINCT FROM c.text_hash) AS changed
+             FROM answer_sources a LEFT JOIN chapters c ON c.chapter_id = a.chapter_id GROUP BY 1) s USING (answer_id)""",
         "answer_outcomes",
     ),
 )
@@ -403,7 +403,7 @@ def fact_state(c: Corpus) -> DataFrame:
 
 
 def _save_outcomes(c: Corpus) -> DataFrame:
-    return revisions.save_outcomes(c.saves, c.chapters, max_text=SMALL_TEXT)
+    return revisions.save_outcomes(c.saves, c.chapters)
 
 
 def _states(c: Corpus) -> DataFrame:
@@ -730,7 +730,7 @@ def _event_stream(c: Corpus) -> DataFrame:
 )
 def stream_revision_saves(c: Corpus) -> DataFrame:
     saves = c.shape_saves(_event_stream(c))
-    return replay.drain(folds.stream_save_outcomes(saves, c.chapters, max_text=SMALL_TEXT))
+    return replay.drain(folds.stream_save_outcomes(saves, c.chapters))
 
 
 @query("stream_quota", ORACLES["quota_accept_tight"])
@@ -765,11 +765,31 @@ def context_pack(c: Corpus) -> DataFrame:
     )
 
 
-@query("request_payload")
+@query(
+    "context_rejects",
+    sql("SELECT request_id, 'CHAPTER_REQUIRED' AS code FROM asked WHERE action = 'continue' AND NOT with_chapter", "asked"),
+)
+def context_rejects(c: Corpus) -> DataFrame:
+    return context.context_rejects(c.context_requests, c.chapters)
+
+
+@query(
+    "request_payload",
+    sql(
+        """SELECT request_id, action, 'Lanjutkan.' AS instruction, '' AS selected_text, t.truncated AS context_truncated, t.place, t.label, md5(t.text) AS text_hash
+           FROM allowed JOIN context t USING (request_id)""",
+        "allowed",
+        "context",
+    ),
+)
 def request_payload(c: Corpus) -> DataFrame:
-    """No SQL: JSON text differs in escapes between engines. The parts themselves are checked by context_pack."""
+    """The payload as its reader parses it: JSON text differs in escapes between engines, fields do not."""
     made = context.request_payload(_contexts(c), F.lit("Lanjutkan."), F.lit(""))
-    return made.select("request_id", digest("payload").alias("payload_hash"))
+    shape = "action string, instruction string, selected_text string, context array<struct<label:string,text:string>>, context_truncated boolean"
+    read = made.select("request_id", F.from_json("payload", shape).alias("p")).select("request_id", "p.*")
+    return read.select("*", F.posexplode("context").alias("place", "part")).select(
+        "request_id", "action", "instruction", "selected_text", "context_truncated", F.col("place").cast("long").alias("place"), "part.label", digest("part.text").alias("text_hash")
+    )
 
 
 @query(
@@ -1019,7 +1039,8 @@ def chapter_list(c: Corpus) -> DataFrame:
     sql(
         """SELECT table_name, rule, count(*) AS violations FROM (
              SELECT 'outline_items' AS table_name, 'item_type' AS rule FROM outline WHERE item_type NOT IN ('act', 'part', 'chapter', 'scene', 'beat', 'custom')
-             UNION ALL SELECT 'ai_generations', 'model_id' FROM generations WHERE NOT regexp_matches(model, '(?i)^nvidia/[a-z0-9._-]*nemotron[a-z0-9._-]*$')
+             UNION ALL SELECT 'ai_generations', 'model_id' FROM generations WHERE NOT (starts_with(model, 'gateway:') AND length(model) > 8
+               OR starts_with(model, 'nebius:') AND regexp_matches(substring(model, 8), '(?i)^nvidia/[a-z0-9._-]*nemotron[a-z0-9._-]*$'))
              UNION ALL SELECT 'story_facts', 'quote_length' FROM facts WHERE length(quote) NOT BETWEEN 1 AND 1000
              UNION ALL SELECT 'story_facts', 'claim_length' FROM facts WHERE length(claim) NOT BETWEEN 1 AND 1000
              UNION ALL SELECT 'notes', 'title_length' FROM notes WHERE length(trim(title)) NOT BETWEEN 1 AND 200

@@ -91,7 +91,7 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
            CASE WHEN s.chapter_id % 5 = 4 THEN 'tidak ada ' || s.chapter_id ELSE substring(s.content, 1, 60) END AS quote,
            CASE s.number % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' ELSE 'ignored' END AS status,
            CAST(0 AS BIGINT) AS revision, s.number AS created_at
-           FROM (SELECT *, chapter_id * 1000 + chunk_index AS number FROM chunks) s JOIN benchmark b ON b.item_id = s.chapter_id % 40""",
+           FROM (SELECT *, chapter_id * 1000 + chunk_index AS number FROM chunks) s JOIN benchmark b ON b.item_id = s.chapter_id % (SELECT count(*) FROM benchmark)""",
     ),
     "insights": (
         ("chunks",),
@@ -138,7 +138,7 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "save_steps": (
         ("saves", "chapters"),
-        """SELECT s.*, c.revision_number AS initial, strlen(s.plain_text) > 17 AS too_large, s.content_json NOT LIKE '%"doc"%' AS not_a_doc,
+        """SELECT s.*, c.revision_number AS initial, strlen(s.plain_text) > 2000000 AS too_large, s.content_json NOT LIKE '%"doc"%' AS not_a_doc,
            row_number() OVER (PARTITION BY s.chapter_id ORDER BY at_us, event_id) AS n
            FROM saves s JOIN chapters c ON c.chapter_id = s.chapter_id""",
     ),
@@ -154,7 +154,7 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
         ("saves", "save_fold"),
         """SELECT s.event_id, s.chapter_id, s.at_us, s.base_revision, f.met AS revision_met,
            CASE WHEN f.met IS NULL THEN 'NOT_FOUND' WHEN s.base_revision <> f.met THEN 'REVISION_CONFLICT'
-             WHEN strlen(s.plain_text) > 17 THEN 'CHAPTER_TOO_LARGE'
+             WHEN strlen(s.plain_text) > 2000000 THEN 'CHAPTER_TOO_LARGE'
              WHEN s.content_json NOT LIKE '%"doc"%' THEN 'INVALID_DOCUMENT' ELSE 'accepted' END AS outcome,
            CASE WHEN f.after > f.met THEN f.after END AS new_revision
            FROM saves s LEFT JOIN save_fold f ON f.event_id = s.event_id""",
@@ -176,7 +176,7 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT event_id AS generation_id, user_id, 'src' || (user_id % 20) AS project_id,
            CASE event_type WHEN 'click' THEN 'rewrite' WHEN 'signup' THEN 'continue' WHEN 'purchase' THEN 'brainstorm' ELSE 'chat' END AS action,
            CASE WHEN event_type = 'view' THEN '[Ask My Story] ' || props ELSE props END AS prompt, 'Jawaban ' || props AS result,
-           CASE WHEN event_type = 'click' THEN 'other/model' ELSE 'nvidia/nemotron-' || k END AS model,
+           CASE event_type WHEN 'click' THEN 'nebius:other/model' WHEN 'view' THEN 'gateway:any/model-' || k ELSE 'nebius:nvidia/nemotron-' || k END AS model,
            CASE WHEN event_type = 'error' THEN 'error' ELSE 'complete' END AS status, k AS total_tokens, value AS latency_ms,
            at_us AS created_us FROM ev""",
     ),
@@ -319,22 +319,28 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
            CASE WHEN item_id % 2 = 0 THEN substring(text, 4, 3) ELSE substring(text, 1, 14) END AS query,
            CASE WHEN item_id % 4 = 0 THEN 20 ELSE 0 END AS page_offset FROM benchmark""",
     ),
+    "asked": (
+        ("chapters",),
+        """SELECT chapter_id AS request_id, project_id, CASE chapter_id % 4 WHEN 0 THEN 'chat' WHEN 1 THEN 'rewrite' WHEN 2 THEN 'continue' ELSE 'brainstorm' END AS action,
+           chapter_id % 10 <> 9 AND chapter_id % 7 <> 0 AS with_chapter FROM chapters""",
+    ),
+    "allowed": (("asked",), "SELECT *, request_id AS chapter_id FROM asked WHERE action <> 'continue' OR with_chapter"),
     "context_parts": (
-        ("chapters", "bibles", "characters", "notes"),
-        """SELECT chapter_id AS request_id, 0 AS kind, CAST(0 AS BIGINT) AS ord, 'Bab: ' || title || ' (versi ' || revision_number || ')' AS label,
-             CASE WHEN chapter_id % 4 = 2 THEN right(plain_text, 12000) ELSE plain_text END AS text FROM chapters
+        ("allowed", "chapters", "bibles", "characters", "notes"),
+        """SELECT a.request_id, 0 AS kind, CAST(0 AS BIGINT) AS ord, 'Bab: ' || title || ' (versi ' || revision_number || ')' AS label,
+             CASE WHEN action = 'continue' THEN right(plain_text, 12000) ELSE plain_text END AS text FROM allowed a JOIN chapters USING (chapter_id) WHERE with_chapter
            UNION ALL
            SELECT c.chapter_id, 1, 0, 'Story Bible', CAST(to_json({'premise': b.premise, 'synopsis': b.synopsis, 'themes': b.themes, 'tone': b.tone,
              'style_instructions': b.style_instructions, 'world_rules': b.world_rules}) AS VARCHAR)
-             FROM chapters c JOIN bibles b USING (project_id) WHERE c.chapter_id % 2 = 0
+             FROM allowed c JOIN bibles b USING (project_id) WHERE c.chapter_id % 2 = 0
            UNION ALL
            SELECT c.chapter_id, 2, k.n, 'Karakter: ' || k.name, CAST(to_json({'name': k.name, 'aliases': k.aliases, 'role': k.role,
              'description': k.description, 'attributes': k.attributes}) AS VARCHAR)
-             FROM chapters c JOIN (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at, character_id) AS n
+             FROM allowed c JOIN (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at, character_id) AS n
                FROM characters WHERE include_in_ai_context AND deleted_at IS NULL) k USING (project_id) WHERE k.n <= 20
            UNION ALL
            SELECT c.chapter_id, 3, k.n, 'Catatan: ' || k.title, k.plain_text
-             FROM chapters c JOIN (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at, note_id) AS n
+             FROM allowed c JOIN (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at, note_id) AS n
                FROM notes WHERE include_in_ai_context AND deleted_at IS NULL) k USING (project_id)
              WHERE k.n <= 10 AND c.chapter_id % 3 <> 0""",
     ),

@@ -16,13 +16,6 @@ from foliospark.session import cut_lineage
 SECOND = 1_000_000
 # 2024-01-01 00:00:00 UTC.
 EPOCH_US = 1_704_067_200_000_000
-QUESTION_CYCLE = 40
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a table sits in fewer row groups than there are cores; large tables are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _at(seconds: Column) -> Column:
@@ -41,7 +34,7 @@ class Corpus:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return spread(self.table("documents").select("doc_id", "source", "text"))
+        return self.table("documents").select("doc_id", "source", "text")
 
     @cached_property
     def projects(self) -> DataFrame:
@@ -103,10 +96,10 @@ class Corpus:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """One fact per chunk; those of every fifth chapter quote something that is not there."""
+        """One fact per chunk, over all items in turn; those of every fifth chapter quote something that is not there."""
         claims = self.benchmark.select(F.col("item_id").alias("_item"), F.col("text").alias("claim"))
         chapter, number = F.col("chapter_id"), F.col("chapter_id") * 1000 + F.col("chunk_index")
-        return self.chunks.withColumn("_item", chapter % QUESTION_CYCLE).join(claims, "_item").select(
+        return self.chunks.withColumn("_item", chapter % self.benchmark.count()).join(claims, "_item").select(
             F.concat(F.lit("f"), F.col("chunk_id")).alias("fact_id"),
             "project_id",
             "chunk_id",
@@ -248,7 +241,10 @@ class Corpus:
             .alias("action"),
             F.when(kind == "view", F.concat(F.lit("[Ask My Story] "), F.col("props"))).otherwise(F.col("props")).alias("prompt"),
             F.concat(F.lit("Jawaban "), F.col("props")).alias("result"),
-            F.when(kind == "click", "other/model").otherwise(F.concat(F.lit("nvidia/nemotron-"), F.col("k").cast("string"))).alias("model"),
+            F.when(kind == "click", "nebius:other/model")
+            .when(kind == "view", F.concat(F.lit("gateway:any/model-"), F.col("k").cast("string")))
+            .otherwise(F.concat(F.lit("nebius:nvidia/nemotron-"), F.col("k").cast("string")))
+            .alias("model"),
             F.when(kind == "error", "error").otherwise("complete").alias("status"),
             F.to_json(F.struct(F.col("k").alias("totalTokens"), F.col("value").alias("latency_ms"))).alias("token_usage"),
             F.col("at_us").alias("created_us"),
@@ -347,14 +343,15 @@ class Corpus:
 
     @cached_property
     def context_requests(self) -> DataFrame:
+        """Some name no chapter, some have its switch off; "continue" is refused then."""
         key = F.col("chapter_id")
         action = F.when(key % 4 == 0, "chat").when(key % 4 == 1, "rewrite").when(key % 4 == 2, "continue").otherwise("brainstorm")
         return self.chapters.select(
             key.alias("request_id"),
             "project_id",
-            "chapter_id",
+            F.when(key % 10 != 9, key).alias("chapter_id"),
             action.alias("action"),
-            F.lit(True).alias("use_chapter"),
+            (key % 7 != 0).alias("use_chapter"),
             (key % 2 == 0).alias("use_bible"),
             F.lit(True).alias("use_characters"),
             (key % 3 != 0).alias("use_notes"),
