@@ -1,30 +1,39 @@
+import json
+
 from foliospark.operators import evidence as E
 from tests.helpers import chapters
 from foliospark.operators.chunking import chunk_chapters
 
-SOURCE = "Aurel bekerja di kantor BUMN di Duri."
-GOOD = '{"text":"Aurel bekerja di Duri.","source_id":"s1","quote":"kantor BUMN di Duri"}'
+SOURCE = "Nadir menaruh peta laut di loteng; kuncinya dibawa Wening ke pasar ikan."
+MAP = {"text": "Peta ada di loteng.", "source_id": "k7", "quote": "peta laut di loteng"}
+KEY = {"text": "Wening membawa kunci.", "source_id": "k7", "quote": "kuncinya dibawa Wening"}
+
+
+def answer(*claims):
+    return json.dumps({"claims": list(claims)})
+
 
 CASES = {
-    1: ('{"claims":[%s]}' % GOOD, "accepted", 1),
-    2: ('{"claims":[{"text":"Aurel di Bandung","source_id":"s2","quote":"kantor BUMN"}]}', "UNSUPPORTED_CITATION", 1),
-    3: ('{"claims":[{"text":"Aurel di Bandung","source_id":"s1","quote":"Aurel di Bandung"}]}', "UNSUPPORTED_CITATION", 1),
-    4: ('{"claims":[]}', "abstained", 0),
-    5: ('{"claims":[{"text":"No source"}]}', "UNSUPPORTED_CITATION", 1),
-    6: ('```json\n{"claims":[]}\n```', "abstained", 0),
-    7: ('{"claims":[%s]}' % ",".join([GOOD] * 7), "INVALID_ANSWER", 0),
-    8: ("{", "INVALID_ANSWER", 0),
-    9: ('{"claims":{}}', "INVALID_ANSWER", 0),
-    10: ('{"claims":[%s,{"text":" \\n","source_id":"s1","quote":"kantor BUMN"}]}' % GOOD, "UNSUPPORTED_CITATION", 2),
-    11: ('{"claims":[{"text":"x","source_id":"s1","quote":"BUMN"}]}', "UNSUPPORTED_CITATION", 1),
-    12: ('{"claims":[{"text":5,"source_id":"s1","quote":"kantor BUMN"}]}', "UNSUPPORTED_CITATION", 1),
-    13: ('{"claims":[%s,%s]}' % (GOOD, GOOD), "accepted", 2),
+    1: ("not json", "INVALID_ANSWER", 0),
+    2: ('{"claims":"none"}', "INVALID_ANSWER", 0),
+    3: (answer(*[MAP, KEY] * 3, MAP), "INVALID_ANSWER", 0),
+    4: (answer(), "abstained", 0),
+    5: ("```\n%s\n```" % answer(), "abstained", 0),
+    6: (answer(MAP), "accepted", 1),
+    7: (answer(KEY, MAP, KEY), "accepted", 3),
+    8: (answer(*[MAP, KEY] * 3), "accepted", 6),
+    9: (answer(MAP | {"source_id": "k8"}), "UNSUPPORTED_CITATION", 1),
+    10: (answer(KEY, MAP | {"quote": "peta laut di gudang"}), "UNSUPPORTED_CITATION", 2),
+    11: (answer(MAP | {"quote": "peta"}), "UNSUPPORTED_CITATION", 1),
+    12: (answer(MAP | {"text": "\t "}), "UNSUPPORTED_CITATION", 1),
+    13: (answer(MAP | {"text": 17}), "UNSUPPORTED_CITATION", 1),
+    14: (answer({"quote": "peta laut di loteng"}), "UNSUPPORTED_CITATION", 1),
 }
 
 
 def _frames(spark):
     answers = spark.createDataFrame([(k, v[0]) for k, v in CASES.items()], "answer_id long, payload string")
-    sources = spark.createDataFrame([(k, "s1", SOURCE) for k in CASES], "answer_id long, source_id string, content string")
+    sources = spark.createDataFrame([(k, "k7", SOURCE) for k in CASES], "answer_id long, source_id string, content string")
     return answers, sources
 
 
@@ -35,35 +44,39 @@ def test_answers(spark):
 
 def test_assembly(spark):
     got = {r.answer_id: r for r in E.assemble_answers(*_frames(spark)).collect()}
-    assert set(got) == {1, 4, 6, 13}
-    assert got[13].answer == "Aurel bekerja di Duri. [1]\n\nAurel bekerja di Duri. [2]" and got[13].citations == "1:s1,2:s1"
-    assert got[4].abstained and got[4].answer == E.NO_EVIDENCE
+    assert set(got) == {k for k, v in CASES.items() if v[1] in ("accepted", "abstained")}
+    assert got[7].answer == "Wening membawa kunci. [1]\n\nPeta ada di loteng. [2]\n\nWening membawa kunci. [3]"
+    assert got[7].citations == "1:k7,2:k7,3:k7" and not got[7].abstained
+    assert got[5].abstained and got[5].answer == E.NO_EVIDENCE and got[5].citations == ""
 
 
 def test_analyses(spark):
-    df = chapters(spark, ("p", 1, "Bab 1", SOURCE, 0))
+    df = chapters(spark, ("p", 1, "Loteng", SOURCE, 0))
     chunks = chunk_chapters(df)
     chunk = chunks.first().chunk_id
-    facts = '[{"claim":"Kerja di Duri","quote":"kantor BUMN di Duri"},{"claim":"Kerja di Bandung","quote":"Bandung"}]'
-    many = "[%s]" % ",".join(['{"claim":"x","quote":"kantor BUMN"}'] * 9)
+    fact = {"claim": "Kunci ada pada Wening", "quote": "kuncinya dibawa Wening"}
+    made_up = {"claim": "Peta terbakar", "quote": "peta itu terbakar"}
     payloads = [
-        ("first", chunk, 2, '{"summary":"Ringkasan","facts":%s}' % facts, "saved"),
-        ("second", chunk, 3, '{"summary":"Lagi","facts":[]}', "existing"),
-        ("blank", chunk, 1, '{"summary":"","facts":[]}', "INVALID_INSIGHTS"),
-        ("many", chunk, 1, '{"summary":"x","facts":%s}' % many, "INVALID_INSIGHTS"),
-        ("no facts", chunk, 1, '{"summary":"x"}', "INVALID_INSIGHTS"),
-        ("unknown", "?", 1, '{"summary":"x","facts":[]}', "NOT_FOUND"),
+        ("too many", chunk, 4, json.dumps({"summary": "s", "facts": [fact] * 9}), "INVALID_INSIGHTS"),
+        ("no list", chunk, 4, json.dumps({"summary": "s"}), "INVALID_INSIGHTS"),
+        ("later", chunk, 9, json.dumps({"summary": "Terlambat", "facts": [fact]}), "existing"),
+        ("earlier", chunk, 5, json.dumps({"summary": "Peta dan kunci", "facts": [made_up, fact]}), "saved"),
+        ("no summary", chunk, 4, json.dumps({"summary": "", "facts": []}), "INVALID_INSIGHTS"),
+        ("no chunk", "nowhere", 4, json.dumps({"summary": "s", "facts": []}), "NOT_FOUND"),
     ]
     analyses = spark.createDataFrame([p[:4] for p in payloads], "analysis_id string, chunk_id string, created_at long, payload string")
     outcomes = E.analysis_outcomes(analyses, chunks, df, spark.createDataFrame([], "chunk_id string"))
     assert {r.analysis_id: r.outcome for r in outcomes.collect()} == {p[0]: p[4] for p in payloads}
-    assert [f.claim for f in E.accepted_facts(outcomes).collect()] == ["Kerja di Duri"]
-    assert [i.summary for i in E.accepted_insights(outcomes).collect()] == ["Ringkasan"]
+    assert [f.claim for f in E.accepted_facts(outcomes).collect()] == [fact["claim"]]
+    assert [i.summary for i in E.accepted_insights(outcomes).collect()] == ["Peta dan kunci"]
 
 
-def test_changed_source_voids_an_answer(spark):
-    df = chapters(spark, ("p", 1, "Bab 1", SOURCE, 0))
+def test_changed_or_deleted_source_voids_an_answer(spark):
+    df = chapters(spark, ("p", 1, "Loteng", SOURCE, 0))
     cited = chunk_chapters(df).selectExpr("1L as answer_id", "*")
-    outcomes = spark.createDataFrame([(1, "accepted")], "answer_id long, outcome string")
-    assert E.void_stale(outcomes, cited, df).first().outcome == "accepted"
-    assert E.void_stale(outcomes, cited, chapters(spark, ("p", 1, "Bab 1", SOURCE, 1))).first().outcome == "STALE_SOURCE"
+    outcomes = spark.createDataFrame([(1, "accepted"), (2, "accepted")], "answer_id long, outcome string")
+    after = lambda now: {r.answer_id: r.outcome for r in E.void_stale(outcomes, cited, now).collect()}
+    assert after(df) == {1: "accepted", 2: "accepted"}
+    assert after(chapters(spark, ("p", 1, "Loteng", SOURCE + " Tamat.", 0))) == {1: "STALE_SOURCE", 2: "accepted"}
+    assert after(chapters(spark, ("p", 1, "Loteng", SOURCE, 4))) == {1: "STALE_SOURCE", 2: "accepted"}
+    assert after(df.limit(0)) == {1: "STALE_SOURCE", 2: "accepted"}

@@ -4,100 +4,94 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import access, retrieval as R
 from foliospark.operators.chunking import chunk_chapters
-from foliospark.operators.evidence import accepted_facts, analysis_outcomes
+from foliospark.operators.evidence import analysis_outcomes
 from foliospark.operators.review import review_outcomes, reviewed_facts
 from foliospark.sources.tables import read_index, write_index
 from tests.helpers import chapters, ready_jobs
 from tests.test_chunking import LONG
 
-AUREL = "Aurel bekerja di kantor BUMN di Duri. Kenan menghubungi Aurel untuk jastip skincare."
+LOFT = "Nadir menaruh peta laut di loteng. Wening menjual ikan asin kepada Nadir tiap Rabu."
 
 
 @pytest.fixture(scope="module")
 def story(spark):
     df = chapters(
         spark,
-        ("P3", 4, "Bab 1", AUREL, 0),
-        ("P3", 6, "Bab panjang", LONG, 0),
-        ("P5", 7, "Proyek lain", "ZafirOmega berada di proyek lain.", 0),
+        ("north", 11, "Loteng", LOFT, 2),
+        ("north", 12, "Dermaga", LONG, 0),
+        ("south", 13, "Pasar", "Penjaga pasar hafal kata MerpatiSenja sejak kecil.", 0),
     ).cache()
     return df, chunk_chapters(df).cache()
 
 
-def ask(spark, story, text, project="P3", facts=None, chapters_df=None, chunks=None):
+def ask(spark, story, text, project="north", facts=None, chapters_df=None, chunks=None):
     df = story[0] if chapters_df is None else chapters_df
     q = spark.createDataFrame([(1, project, text)], "query_id long, project_id string, query string")
     return R.retrieve(q, story[1] if chunks is None else chunks, df, ready_jobs(df), facts).orderBy("rank").collect()
 
 
-def test_finds_the_right_chunks(spark, story):
-    assert ask(spark, story, "Di mana Aurel bekerja?")[0].chapter_id == 4
-    assert [(r.chapter_id, r.chunk_index) for r in ask(spark, story, "ZafirOmega")] == [(6, 208)]
-    assert ask(spark, story, "XyzTidakAda") == []
-    assert ask(spark, story, "apa yang di") == []
-    assert ask(spark, story, "x" * 2001) == []
+@pytest.mark.parametrize(
+    "project, text, found",
+    [("north", "MerpatiSenja", {12}), ("south", "merpatisenja!", {13}), ("north", "siapa menjual ikan?", {11}), ("south", "loteng", set()), ("north", "y" * 2001, set()), ("north", "dan yang itu", set())],
+)
+def test_chunks_of_the_own_project_are_found(spark, story, project, text, found):
+    assert {r.chapter_id for r in ask(spark, story, text, project)} == found
 
 
-def test_score_is_a_tenth_per_matching_word(spark, story):
-    top = ask(spark, story, "Aurel aurel KENAN")[0]
-    assert top.score == 0.3
+def test_each_matching_word_counts_a_tenth(spark, story):
+    assert ask(spark, story, "NADIR peta")[0].score == pytest.approx(0.3)
 
 
-def test_only_ready_jobs_count(spark, story):
-    q = spark.createDataFrame([(1, "P3", "Aurel")], "query_id long, project_id string, query string")
-    queued = story[0].select("chapter_id", F.lit("queued").alias("status"))
-    assert R.retrieve(q, story[1], story[0], queued).count() == 0
+def test_text_that_is_not_indexed_yet_is_not_found(spark, story):
+    q = spark.createDataFrame([(1, "north", "Wening")], "query_id long, project_id string, query string")
+    for status, hits in (("processing", 0), ("failed", 0), ("ready", 1)):
+        jobs = story[0].select("chapter_id", F.lit(status).alias("status"))
+        assert R.retrieve(q, story[1], story[0], jobs).count() == hits
 
 
 def test_facts_help_only_when_approved_current_and_grounded(spark, story):
     df, chunks = story
-    chunk = chunks.where("chapter_id = 4").first().chunk_id
-    analysis = spark.createDataFrame(
-        [
-            (
-                "a1",
-                chunk,
-                1,
-                '{"summary":"Aurel bekerja di Duri.","facts":[{"claim":"Aurel bekerja di Duri","quote":"kantor BUMN di Duri"},'
-                '{"claim":"Tidak berdasar","quote":"kutipan tidak ada"}]}',
-            )
-        ],
-        "analysis_id string, chunk_id string, created_at long, payload string",
+    chunk = chunks.where("chapter_id = 11").first().chunk_id
+    facts = spark.createDataFrame(
+        [("f1", "north", chunk, "Pedagang keliling langganan", "menjual ikan asin", "pending", 0), ("f2", "north", chunk, "Saudagar rempah", "menjual rempah", "approved", 0)],
+        "fact_id string, project_id string, chunk_id string, claim string, quote string, status string, revision long",
     )
-    none = spark.createDataFrame([], "chunk_id string")
-    facts = accepted_facts(analysis_outcomes(analysis, chunks, df, none)).withColumn(
-        "claim", F.lit("Pegawai korporasi Nusantara")
-    )
-    facts = facts.cache()
-    assert [f.status for f in facts.collect()] == ["pending"]
-    assert ask(spark, story, "Nusantara", facts=facts) == []
-    fact = facts.first().fact_id
-    steps = [(1, fact, 1, 0, "approved"), (2, fact, 2, 1, "ignored"), (3, fact, 3, 2, "approved")]
+    # Refused, approved, back to pending, approved again; one review comes too late and names an old revision.
+    steps = [(1, 0, "ignored"), (2, 1, "approved"), (3, 1, "ignored"), (4, 2, "pending"), (5, 3, "approved")]
 
     def after(n, chapters_df=df):
         reviews = spark.createDataFrame(
-            [(*s, "Pegawai korporasi Nusantara") for s in steps[:n]],
+            [(i, "f1", i, base, status, "Pedagang keliling langganan") for i, base, status in steps[:n]],
             "event_id long, fact_id string, at_us long, base_revision long, status string, claim string",
         )
         outcomes = review_outcomes(reviews, facts, chunks, chapters_df)
-        return outcomes, reviewed_facts(facts, reviews, outcomes)
-
-    assert ask(spark, story, "Nusantara", facts=after(1)[1])[0].chunk_id == chunk
-    assert ask(spark, story, "Nusantara", facts=after(2)[1]) == []
-    _, approved = after(3)
-    assert approved.first().revision == 3
-    moved = chapters(spark, ("P3", 4, "Bab 1", "Aurel pindah ke Bandung.", 1))
-    assert ask(spark, story, "Nusantara BUMN Duri", facts=approved, chapters_df=moved) == []
-    assert [r.outcome for r in after(1, moved)[0].collect()] == ["STALE_SOURCE"]
-    assert [r.outcome for r in analysis_outcomes(analysis, chunks, moved, none).collect()] == ["STALE_SOURCE"]
-    assert len(ask(spark, story, "Bandung", chapters_df=moved, chunks=chunk_chapters(moved))) == 1
-
-
-def test_owner_scope(spark, story):
-    projects = spark.createDataFrame([("P3", "U1"), ("P5", "U1")], "project_id string, owner_id string")
-    assert access.scoped(story[1], projects, "U1").count() == story[1].count()
-    assert access.scoped(story[1], projects, "U2").count() == 0
-    assert access.leaked_rows(story[1], projects, "chunk_id").count() == 0
+        return outcomes, reviewed_facts(facts, reviews, outcomes).cache()
+
+    found = [bool(ask(spark, story, "pedagang keliling", facts=after(n)[1])) for n in (1, 2, 3, 4, 5)]
+    assert found == [False, True, True, False, True]
+    # An approved claim whose quote is not in the chunk helps nobody.
+    assert ask(spark, story, "saudagar", facts=facts) == []
+    outcomes, approved = after(5)
+    assert [r.outcome for r in outcomes.orderBy("event_id").collect()].count("applied") == 4
+    rewritten = chapters(spark, ("north", 11, "Loteng", "Loteng itu kini kosong.", 3))
+    assert ask(spark, story, "pedagang ikan asin", facts=approved, chapters_df=rewritten) == []
+    assert {r.outcome for r in after(2, rewritten)[0].where("status = 'approved'").collect()} == {"STALE_SOURCE"}
+    payload = '{"summary":"s","facts":[]}'
+    analysis = spark.createDataFrame([("a", chunk, 1, payload)], "analysis_id string, chunk_id string, created_at long, payload string")
+    assert analysis_outcomes(analysis, chunks, rewritten, spark.createDataFrame([], "chunk_id string")).first().outcome == "STALE_SOURCE"
+    assert [r.chapter_id for r in ask(spark, story, "kosong", chapters_df=rewritten, chunks=chunk_chapters(rewritten))] == [11]
+
+
+def test_owner_scope_and_planted_leak(spark, story):
+    df, chunks = story
+    projects = spark.createDataFrame([("north", "ana"), ("south", "ben"), ("west", "ana")], "project_id string, owner_id string")
+    seen = {o: {r.chapter_id for r in access.scoped(chunks, projects, o).collect()} for o in ("ana", "ben", "eve")}
+    assert seen == {"ana": {11, 12}, "ben": {13}, "eve": set()}
+    leaks = lambda rows: {r.chapter_id for r in access.leaked_rows(rows, df, projects, "chapter_id").collect()}
+    assert leaks(chunks) == set()
+    moved = lambda at: chunks.withColumn("project_id", F.when(F.col("chapter_id") == 11, at).otherwise(F.col("project_id")))
+    assert leaks(moved("south")) == {11} and leaks(moved("west")) == set()
+    assert leaks(chunks.withColumn("chapter_id", F.col("chapter_id") + F.when(F.col("chapter_id") == 13, 100).otherwise(0))) == {113}
 
 
 def test_neighbours_are_compared_with_the_raw_list(spark):
