@@ -14,6 +14,13 @@ def scoped(rows: DataFrame, projects: DataFrame, owner_id: str) -> DataFrame:
     return rows.join(owned_projects(projects, owner_id), "project_id", "left_semi")
 
 
+def with_right(requests: DataFrame, projects: DataFrame) -> DataFrame:
+    """Requests (project_id, asker) with ``owned``: whether the asker owns the project; false for one that is not there."""
+    owners = projects.select("project_id", F.col("owner_id").alias("_owner"))
+    joined = requests.join(owners, "project_id", "left")
+    return joined.withColumn("owned", F.coalesce(F.col("_owner") == F.col("asker"), F.lit(False))).drop("_owner")
+
+
 def with_owner(rows: DataFrame, projects: DataFrame) -> DataFrame:
     """Scope for all owners at once: each row with the one owner who may see it."""
     return rows.join(projects.select("project_id", "owner_id"), "project_id")

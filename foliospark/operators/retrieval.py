@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark import schemas as S
 from foliospark.functions.text import WORD_BREAK, is_blank, query_words, strip_spaces
+from foliospark.operators.access import with_right
 from foliospark.operators.chunking import chapter_versions_key
 from foliospark.operators.ranking import top_rows
 
@@ -25,6 +26,25 @@ def question_code(question: Column) -> Column:
     return F.when(bad, F.lit("INVALID_QUESTION"))
 
 
+def refused_questions(questions: DataFrame, projects: DataFrame) -> DataFrame:
+    """query_id and code of the questions (with ``asker``) that are not asked: their text first, then the right to ask."""
+    code = F.coalesce(question_code(F.coalesce("query", F.lit(""))), F.when(~F.col("owned"), F.lit("NOT_FOUND")))
+    return with_right(questions, projects).select("query_id", code.alias("code")).where(F.col("code").isNotNull())
+
+
+def asked_by_owners(questions: DataFrame, projects: DataFrame) -> DataFrame:
+    """The questions (with ``asker``) that ``refused_questions`` does not name."""
+    return with_right(questions, projects).where(F.col("owned") & question_code(F.coalesce("query", F.lit(""))).isNull()).drop("owned")
+
+
+def answers_to(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row per question asked: how many sources it has, and whether to abstain for want of any."""
+    found = evidence.groupBy("query_id").agg(F.count(F.lit(1)).alias("sources"))
+    return questions.select("query_id").join(found, "query_id", "left").select(
+        "query_id", F.coalesce("sources", F.lit(0)).cast("long").alias("sources"), F.col("sources").isNull().alias("abstained")
+    )
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """One row per (query, distinct word); a query without usable words gives none."""
     return queries.select(

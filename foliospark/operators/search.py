@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark import schemas as S
 from foliospark.functions.text import excerpt
+from foliospark.operators.access import with_right
 from foliospark.operators.ranking import top_rows
 
 
@@ -63,6 +64,17 @@ def search_code(query: Column, offset: Column) -> Column:
     return F.when(bad, F.lit("INVALID_SEARCH"))
 
 
+def refused_searches(requests: DataFrame, projects: DataFrame) -> DataFrame:
+    """request_id and code of the searches (with ``asker``) that are not run: the search itself first, then the right to it."""
+    code = F.coalesce(search_code(F.col("query"), F.col("offset")), F.when(~F.col("owned"), F.lit("NOT_FOUND")))
+    return with_right(requests, projects).select("request_id", code.alias("code")).where(F.col("code").isNotNull())
+
+
+def searches_by_owners(requests: DataFrame, projects: DataFrame) -> DataFrame:
+    """The searches (with ``asker``) that ``refused_searches`` does not name."""
+    return with_right(requests, projects).where(F.col("owned") & search_code(F.col("query"), F.col("offset")).isNull()).drop("owned")
+
+
 def matches(requests: DataFrame, texts: DataFrame) -> DataFrame:
     """Every hit of every valid request (request_id, project_id, query, offset).
 

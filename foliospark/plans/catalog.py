@@ -203,6 +203,41 @@ def ask_evidence(c: Corpus) -> DataFrame:
     return found.select("query_id", "evidence_rank", "chunk_id", "chapter_id", "title", "source_revision", "chunk_index", "score")
 
 
+_OWN = "item_id % 6 <> 0"
+_SOUND = "item_id % 9 <> 4 AND item_id % 11 <> 5"
+
+
+@query(
+    "ask_answers",
+    _asked_sql(
+        f"""SELECT b.item_id AS query_id, coalesce(n, 0) AS sources, n IS NULL AS abstained
+            FROM (SELECT item_id FROM benchmark WHERE {_OWN} AND {_SOUND}) b
+            LEFT JOIN (SELECT query_id, count(*) AS n FROM {_EVIDENCE} WHERE evidence_rank <= 6 GROUP BY 1) e ON e.query_id = b.item_id"""
+    ),
+)
+def ask_answers(c: Corpus) -> DataFrame:
+    """Only owners are answered; a question without evidence has a row that says so."""
+    own = retrieval.asked_by_owners(c.asked, c.projects)
+    return retrieval.answers_to(own, retrieval.ask(own, c.characters, c.chunks, c.chapters, c.jobs, c.facts))
+
+
+@query(
+    "query_rejects",
+    f"SELECT item_id AS query_id, CASE WHEN {_SOUND} THEN 'NOT_FOUND' ELSE 'INVALID_QUESTION' END AS code FROM benchmark WHERE NOT ({_OWN} AND {_SOUND})",
+)
+def query_rejects(c: Corpus) -> DataFrame:
+    return retrieval.refused_questions(c.asked, c.projects)
+
+
+@query(
+    "search_rejects",
+    f"""SELECT item_id AS request_id, CASE WHEN item_id % 7 <> 3 AND item_id % 13 <> 6 THEN 'NOT_FOUND' ELSE 'INVALID_SEARCH' END AS code
+        FROM benchmark WHERE NOT ({_OWN} AND item_id % 7 <> 3 AND item_id % 13 <> 6)""",
+)
+def search_rejects(c: Corpus) -> DataFrame:
+    return search.refused_searches(c.asked_searches, c.projects)
+
+
 @query(
     "evidence_labels",
     _asked_sql(

@@ -94,6 +94,27 @@ class Corpus:
             F.col("text").alias("query"),
         )
 
+    @cached_property
+    def asked(self) -> DataFrame:
+        """The questions with who asks: some by others than the owner, some blank, some too long."""
+        key = F.col("query_id")
+        asker = F.concat(F.lit("user"), ((key + F.when(key % 6 == 0, 1).otherwise(0)) % 5).cast("string"))
+        text = F.when(key % 9 == 4, "  ").when(key % 11 == 5, F.rpad("query", 1501, "x")).otherwise(F.col("query"))
+        return self.questions.select("query_id", "project_id", text.alias("query"), asker.alias("asker"))
+
+    @cached_property
+    def asked_searches(self) -> DataFrame:
+        """The searches with who asks; some needles are too short, some pages too deep."""
+        key = F.col("request_id")
+        asker = F.concat(F.lit("user"), ((key + F.when(key % 6 == 0, 1).otherwise(0)) % 5).cast("string"))
+        return self.searches.select(
+            "request_id",
+            "project_id",
+            F.when(key % 7 == 3, F.substring("query", 1, 1)).otherwise(F.col("query")).alias("query"),
+            F.when(key % 13 == 6, 1_000_000).otherwise(F.col("offset")).cast("long").alias("offset"),
+            asker.alias("asker"),
+        )
+
     @cached_property
     def facts(self) -> DataFrame:
         """One fact per chunk, over all items in turn; those of every fifth chapter quote something that is not there."""
