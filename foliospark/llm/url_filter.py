@@ -12,6 +12,8 @@ from foliospark.llm import common
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: The filter has blocks of four 64-bit words, eight bits set per key and about this many bits a key.
 WORDS, PROBES, BITS_PER_KEY = 4, 8, 24
+#: Blocks (of 40 bytes) up to which the filter is sent to all executors; beyond, candidates are shuffled to their blocks.
+BROADCAST_BLOCKS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -46,7 +48,8 @@ def possible(candidates: DataFrame, keys: DataFrame, blocks: int) -> DataFrame:
     """The candidates (key string, any others) that the filter of ``keys`` passes; none that is listed is lost."""
     probes = candidates.select("*", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), *(m.alias(f"m{i}") for i, m in enumerate(_words(F.col("key")))))
     hit = reduce(Column.__and__, (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(WORDS)))
-    return probes.join(bloom_blocks(keys, blocks), "block").filter(hit).select(*candidates.columns)
+    filter_rows = bloom_blocks(keys, blocks)
+    return probes.join(F.broadcast(filter_rows) if blocks <= BROADCAST_BLOCKS else filter_rows, "block").filter(hit).select(*candidates.columns)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -67,6 +70,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     parts = pages.select("*", host.alias("_host"), path.alias("_path")).drop("host", "path", "rule", "verdict")
     places = parts.select(F.col("_host").alias("host"), F.col("_path").alias("path")).filter("host <> ''").distinct()
+    # Few bytes, but much to work out for each: not to be merged into few partitions by size.
+    places = places.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("host", "path"))
     labels = F.split("host", r"\.")
     endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     starts = F.filter(F.array(*(F.lit(n) for n in sorted(lengths))), lambda n: n <= F.length("path"))
