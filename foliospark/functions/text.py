@@ -32,6 +32,9 @@ UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 # Fixed value: the prefix that marks a question to the memory.
 ASK_PREFIX = "[Ask My Story]"
 
+# Fixed value: the prefix that marks the analysis of a chunk.
+ANALYZE_PREFIX = "[Memory]"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``."""
@@ -59,6 +62,28 @@ def is_blank(text: Column) -> Column:
     return strip_spaces(text) == ""
 
 
+# One word of a sorted line and its repeats. The last loop gives nothing back, so long runs need no stack.
+RUN_OF_WORD = r"(\S++)(?: \1(?= |$))*+"
+
+
+def word_runs(text: Column) -> Column:
+    """The words of a text in lower case and sorted order, equal ones in one string, parted by single spaces.
+
+    Words are brought together inside the row, so that counting a whole table moves nothing, and without lambdas, so
+    that it stays in generated code.
+    """
+    words = F.split(F.lower(F.array_join(F.split(text, WORD_BREAK), " ")), " ")
+    return F.regexp_extract_all(F.ltrim(F.array_join(F.sort_array(words), " ")), F.lit(RUN_OF_WORD), F.lit(0))
+
+
+def run_word(run: Column) -> Column:
+    return F.substring_index(run, " ", 1)
+
+
+def run_length(run: Column) -> Column:
+    return ((F.length(run) + 1) / (F.length(run_word(run)) + 1)).cast("long")
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
 
@@ -115,6 +140,15 @@ def model_task(action: Column) -> Column:
     )
 
 
+def workflow(prompt: Column) -> Column:
+    """Which part of the product made a generation, from the mark its prompt begins with."""
+    return (
+        F.when(prompt.startswith(ASK_PREFIX), "memory-ask")
+        .when(prompt.startswith(ANALYZE_PREFIX), "memory-analyze")
+        .otherwise("krya-assistant")
+    )
+
+
 def retry_delay_seconds(attempts: Column) -> Column:
     """Seconds until the next try, from the number of attempts before this failure."""
     return (F.lit(S.BACKOFF_SECONDS) * F.pow(F.lit(2), attempts)).cast("long")

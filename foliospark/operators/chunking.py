@@ -78,13 +78,18 @@ def chunk_spans(text: Column) -> Column:
     return let(_pages(text), lambda pages: let(F.length(text), lambda total: walk(pages, total)))
 
 
+def text_hash(chapters: DataFrame) -> Column:
+    """The hash stored with the text; a table without one is hashed here."""
+    return F.col("text_hash") if "text_hash" in chapters.columns else md5_text(F.col("plain_text"))
+
+
 def chunk_chapters(chapters: DataFrame) -> DataFrame:
     """One row per chunk of each chapter's present text, numbered in order without gaps."""
     spans = chapters.select(
         "project_id",
         "chapter_id",
         F.col("revision_number").alias("source_revision"),
-        md5_text(F.col("plain_text")).alias("source_hash"),
+        text_hash(chapters).alias("source_hash"),
         F.posexplode(chunk_spans(F.col("plain_text"))).alias("chunk_index", "span"),
     )
     return spans.select(
@@ -101,12 +106,12 @@ def chunk_chapters(chapters: DataFrame) -> DataFrame:
 
 
 def chapter_versions_key(chapters: DataFrame, *extra: str) -> DataFrame:
-    """What a chunk must agree with to be current; the text is hashed once per chapter."""
+    """What a chunk must agree with to be current. With a stored hash no text is read."""
     return chapters.select(
         "chapter_id",
         "project_id",
         F.col("revision_number").alias("current_revision"),
-        md5_text(F.col("plain_text")).alias("current_hash"),
+        text_hash(chapters).alias("current_hash"),
         *extra,
     )
 

@@ -100,6 +100,23 @@ def assemble_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def citation_list(answers: DataFrame, sources: DataFrame, chapters: DataFrame) -> DataFrame:
+    """The numbered citations of accepted answers: quote, source, chapter, title and revision of each.
+
+    An answer is accepted if all its claims are valid, so the claims alone decide and are checked once.
+    """
+    checked = check_claims(answers, sources)
+    accepted = checked.groupBy("answer_id").agg(F.bool_and("valid").alias("ok")).where("ok").select("answer_id")
+    where = sources.select("answer_id", "source_id", "chapter_id", "source_revision")
+    titles = chapters.select("chapter_id", "title")
+    return (
+        checked.join(accepted, "answer_id")
+        .join(where, ["answer_id", "source_id"])
+        .join(titles, "chapter_id", "left")
+        .select("answer_id", F.col("claim_no").alias("number"), "quote", "source_id", "chapter_id", "title", F.col("source_revision").alias("revision"))
+    )
+
+
 def void_stale(outcomes: DataFrame, cited: DataFrame, chapters: DataFrame) -> DataFrame:
     """Re-check after answering: one changed or deleted source voids the answer. ``cited`` lists all retrieved sources."""
     stale = (
@@ -136,20 +153,37 @@ def parse_analyses(analyses: DataFrame) -> DataFrame:
     )
 
 
-def analysis_outcomes(analyses: DataFrame, chunks: DataFrame, chapters: DataFrame, insights: DataFrame) -> DataFrame:
-    """Decide each analysis: NOT_FOUND, STALE_SOURCE, INVALID_INSIGHTS, existing, or saved (first per chunk)."""
+def _own_generation(analyses: DataFrame, generations: DataFrame | None) -> DataFrame:
+    """Add the project of the generation that made each analysis, if its user is the one who asks."""
+    if generations is None:
+        return analyses.withColumn("_made_for", F.lit(None).cast("string"))
+    made = generations.select("generation_id", "user_id", F.col("project_id").alias("_made_for"))
+    return analyses.join(made, ["generation_id", "user_id"], "left")
+
+
+def analysis_outcomes(
+    analyses: DataFrame, chunks: DataFrame, chapters: DataFrame, insights: DataFrame, generations: DataFrame | None = None
+) -> DataFrame:
+    """Decide each analysis: NOT_FOUND, STALE_SOURCE, existing, INVALID_INSIGHTS, or saved (first per chunk).
+
+    With ``generations``, an analysis names its generation_id and user_id; a generation that does not exist, is
+    somebody else's or of another project than the chunk gives NOT_FOUND too.
+    """
+    strange = F.lit(False) if generations is None else ~F.coalesce(F.col("_made_for") == F.col("project_id"), F.lit(False))
+    made_by = F.col("generation_id") if "generation_id" in analyses.columns else F.lit(None).cast("string").alias("generation_id")
     currency = with_currency(chunks, chapters).select("chunk_id", "project_id", "content", "current")
     known = insights.select("chunk_id").distinct().withColumn("has_insight", F.lit(True))
     judged = (
-        parse_analyses(analyses)
+        _own_generation(parse_analyses(analyses), generations)
         .join(currency, "chunk_id", "left")
         .join(known, "chunk_id", "left")
         .withColumn(
             "outcome",
             F.when(F.col("current").isNull(), "NOT_FOUND")
             .when(~F.col("current"), "STALE_SOURCE")
-            .when(F.col("code").isNotNull(), F.col("code"))
             .when(F.coalesce("has_insight", F.lit(False)), "existing")
+            .when(strange, "NOT_FOUND")
+            .when(F.col("code").isNotNull(), F.col("code"))
             .otherwise("saved"),
         )
     )
@@ -166,13 +200,13 @@ def analysis_outcomes(analyses: DataFrame, chunks: DataFrame, chapters: DataFram
                 F.col("outcome")
             ),
         )
-        .select("analysis_id", "chunk_id", "project_id", "created_at", "summary", "facts", "content", "outcome")
+        .select("analysis_id", "chunk_id", "project_id", made_by, "created_at", "summary", "facts", "content", "outcome")
     )
 
 
 def accepted_insights(outcomes: DataFrame) -> DataFrame:
     return outcomes.where(F.col("outcome") == "saved").select(
-        row_key(F.lit("insight"), F.col("chunk_id")).alias("insight_id"), "project_id", "chunk_id", "summary", "created_at"
+        row_key(F.lit("insight"), F.col("chunk_id")).alias("insight_id"), "project_id", "chunk_id", "generation_id", "summary", "created_at"
     )
 
 

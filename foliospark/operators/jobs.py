@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark import schemas as S
-from foliospark.functions.text import md5_text, retry_delay_seconds
+from foliospark.functions.text import retry_delay_seconds
+from foliospark.operators.chunking import text_hash
 from foliospark.operators.ranking import last_seen, runs, top_rows
 from foliospark.session import cut_lineage
 
@@ -18,7 +19,7 @@ def backfill_jobs(chapters: DataFrame) -> DataFrame:
         "chapter_id",
         "project_id",
         F.col("revision_number").alias("source_revision"),
-        md5_text(F.col("plain_text")).alias("source_hash"),
+        text_hash(chapters).alias("source_hash"),
         F.lit("queued").alias("status"),
         F.lit(0).cast("long").alias("attempts"),
     )

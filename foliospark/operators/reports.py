@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from foliospark import schemas as S
-from foliospark.functions.text import ASK_PREFIX, contains_literal, model_task, pseudonym, row_key
+from foliospark.functions.text import ASK_PREFIX, contains_literal, model_task, pseudonym, row_key, workflow
 from foliospark.operators.chunking import current_chunks, with_currency
 from foliospark.operators.ranking import top_rows
 
@@ -31,11 +31,17 @@ def newest_with_source(
     rows: DataFrame, key: str, chunks: DataFrame, chapters: DataFrame, limit: int
 ) -> DataFrame:
     """The newest insights or facts of each project with title and whether their source is still current."""
-    sources = with_currency(chunks, chapters, "title").select(
-        "chunk_id", "project_id", "title", "chunk_index", "source_revision", "current"
-    )
-    newest = top_rows(rows, ["project_id"], [F.desc("created_at"), F.col(key)], limit)
-    return newest.join(sources, ["chunk_id", "project_id"])
+    return _with_source(_newest(rows, key, limit), chunks, chapters)
+
+
+def _newest(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    return top_rows(rows, ["project_id"], [F.desc("created_at"), F.col(key)], limit)
+
+
+def _with_source(newest: DataFrame, chunks: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Rows already cut to the newest meet their chunks, and only those chunks are compared with the chapters."""
+    source = chunks.select("chunk_id", "project_id", "chapter_id", "chunk_index", "source_revision", "source_hash")
+    return with_currency(newest.join(source, ["chunk_id", "project_id"]), chapters, "title").drop("chapter_id", "source_hash")
 
 
 def overview(
@@ -47,18 +53,26 @@ def overview(
         .groupBy("project_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "title", "chunk_index", "analyzed"))).alias("chunks"))
     )
-    i = (
-        newest_with_source(insights, "insight_id", chunks, chapters, S.OVERVIEW_INSIGHTS)
-        .groupBy("project_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "insight_id", "title", "summary", "current"))).alias("insights"))
+    # Both lists are cut first and look up their sources together.
+    text = lambda name, kind: F.lit(kind).alias(name)
+    newest = (
+        _newest(insights, "insight_id", S.OVERVIEW_INSIGHTS)
+        .select("project_id", "chunk_id", "rank", text("kind", "insight"), F.col("insight_id").alias("row_id"), F.col("summary").alias("text"), F.lit(None).cast("string").alias("status"))
+        .unionByName(
+            _newest(facts, "fact_id", S.OVERVIEW_FACTS).select(
+                "project_id", "chunk_id", "rank", text("kind", "fact"), F.col("fact_id").alias("row_id"), F.col("claim").alias("text"), "status"
+            )
+        )
     )
-    f = (
-        newest_with_source(facts, "fact_id", chunks, chapters, S.OVERVIEW_FACTS)
+    insight = F.when(F.col("kind") == "insight", F.struct("rank", F.col("row_id").alias("insight_id"), "title", F.col("text").alias("summary"), "current"))
+    fact = F.when(F.col("kind") == "fact", F.struct("rank", F.col("row_id").alias("fact_id"), "title", F.col("text").alias("claim"), "status", "current"))
+    n = (
+        _with_source(newest, chunks, chapters)
         .groupBy("project_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "fact_id", "title", "claim", "status", "current"))).alias("facts"))
+        .agg(F.array_sort(F.collect_list(insight)).alias("insights"), F.array_sort(F.collect_list(fact)).alias("facts"))
     )
     projects = jobs.select("project_id").distinct()
-    joined = projects.join(c, "project_id", "left").join(i, "project_id", "left").join(f, "project_id", "left")
+    joined = projects.join(c, "project_id", "left").join(n, "project_id", "left")
     for name in ("chunks", "insights", "facts"):
         joined = joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))
     return joined
@@ -74,7 +88,9 @@ def ask_history(generations: DataFrame, limit: int = 10) -> DataFrame:
     return newest_generations(asked, limit)
 
 
-USAGE = T.StructType([T.StructField("totalTokens", T.LongType()), T.StructField("latency_ms", T.DoubleType())])
+USAGE = T.StructType(
+    [T.StructField(name, T.LongType()) for name in ("inputTokens", "outputTokens", "totalTokens")] + [T.StructField("latency_ms", T.DoubleType())]
+)
 
 
 def usage_facts(generations: DataFrame) -> DataFrame:
@@ -84,12 +100,20 @@ def usage_facts(generations: DataFrame) -> DataFrame:
         "generation_id",
         pseudonym(F.col("project_id")).alias("project"),
         pseudonym(F.col("user_id").cast("string")).alias("user"),
+        workflow(F.col("prompt")).alias("workflow"),
+        F.substring_index("model", ":", 1).alias("provider"),
+        F.regexp_replace("model", "^[^:]*:", "").alias("model"),
         model_task(F.col("action")).alias("task"),
+        F.coalesce(F.size("context_sources"), F.lit(0)).cast("long").alias("retrieved_memory_count"),
+        F.lit(False).alias("content_logging"),
         (F.col("status") == "complete").alias("success"),
         F.length("prompt").cast("long").alias("input_characters"),
         F.when(F.col("status") == "complete", F.length("result")).otherwise(0).cast("long").alias("output_characters"),
+        usage["inputTokens"].alias("input_tokens"),
+        usage["outputTokens"].alias("output_tokens"),
         usage["totalTokens"].alias("total_tokens"),
         usage["latency_ms"].alias("latency_ms"),
+        F.when(F.col("status") == "error", "AI_GENERATION_FAILED").alias("error"),
     )
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark import schemas as S
-from foliospark.functions.text import WORD_BREAK, is_blank, query_words, strip_spaces
+from foliospark.functions.text import WORD_BREAK, is_blank, query_words, run_length, run_word, strip_spaces, word_runs
 from foliospark.operators.access import with_right
 from foliospark.operators.chunking import chapter_versions_key
 from foliospark.operators.ranking import top_rows
@@ -63,17 +65,11 @@ def token_positions(chunks: DataFrame, *carry: str) -> DataFrame:
     return exploded_words(chunks, "content", "project_id", "chunk_id", *carry).withColumn("tf", F.lit(1))
 
 
-def build_index(chunks: DataFrame) -> DataFrame:
-    """(project, token, chunk, tf).
-
-    Chunks are spread by their id before they are cut into words. The words of a chunk then lie in one task, so
-    the count needs no shuffle of its own, and what is moved is the text once instead of a row for every word.
-    """
-    return (
-        token_positions(chunks.select("project_id", "chunk_id", "content").repartition("chunk_id"))
-        .groupBy("project_id", "token", "chunk_id")
-        .agg(F.sum("tf").cast("long").alias("tf"))
-    )
+def build_index(chunks: DataFrame, *carry: str) -> DataFrame:
+    """(project, token, chunk, tf) and, of the chunk, the columns of ``carry``; no shuffle."""
+    words = chunks.select("project_id", "chunk_id", *carry, F.explode(word_runs(F.col("content"))).alias("_run"))
+    run = F.col("_run")
+    return words.select("project_id", run_word(run).alias("token"), "chunk_id", *carry, run_length(run).alias("tf"))
 
 
 def ready_chapters(chapters: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -88,6 +84,7 @@ def ready_chapters(chapters: DataFrame, jobs: DataFrame) -> DataFrame:
 
 # Everything a hit carries from its chunk; fixed by the chunk, so grouping by it adds no groups.
 CHUNK_KEYS = ["chunk_id", "project_id", "chapter_id", "source_revision", "source_hash", "chunk_index"]
+CARRIED = [c for c in CHUNK_KEYS if c not in ("chunk_id", "project_id")]
 HIT = ["chunk_id", "chapter_id", "title", "source_revision", "position", "chunk_index"]
 
 
@@ -137,16 +134,13 @@ def retrieve(
 ) -> DataFrame:
     """The best chunks for every query: a tenth of a point for each matching word position, plus the best fact.
 
-    ``index`` is a stored token index (project_id, token, chunk_id, tf); without it the chunks are read. Text
+    ``index`` is a stored token index with the chunk keys in each row; without it the chunks are read. Text
     hits and fact hits are added with a union and one grouping, not an outer join, and freshness is joined to
     the narrow hits at the end.
     """
     allowed, _ = checked_queries(queries)
     terms = query_terms(allowed).select("query_id", "project_id", "token")
-    if index is None:
-        postings = token_positions(chunks, *[c for c in CHUNK_KEYS if c not in ("chunk_id", "project_id")])
-    else:
-        postings = index.join(chunks.select(CHUNK_KEYS), ["project_id", "chunk_id"])
+    postings = token_positions(chunks, *CARRIED) if index is None else index
     hits = _word_matches(terms, postings).withColumn("fact_hits", F.lit(None).cast("long"))
     if facts is not None:
         boosted = _fact_matches(terms, chunks, facts).withColumn("text_hits", F.lit(None).cast("long"))
@@ -235,8 +229,23 @@ def ask(
     chapters: DataFrame,
     jobs: DataFrame,
     facts: DataFrame | None = None,
+    index: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Evidence for every valid question. A question without a row here is one to abstain from."""
+    """Evidence for every valid question. A question without a row here is one to abstain from.
+
+    ``index`` gives the stored index rows of a table of query words.
+    """
     valid = questions.where(question_code(F.col("query")).isNull() & ~is_blank(F.col("query")))
     expanded = expand_with_aliases(valid, characters)
-    return without_neighbours(retrieve(expanded, chunks, chapters, jobs, facts))
+    found = index(query_terms(checked_queries(expanded)[0])) if index else None
+    return without_neighbours(retrieve(expanded, chunks, chapters, jobs, facts, index=found))
+
+
+def question_payload(questions: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id and the JSON text that is sent for it: the question and its sources in rank order, six at most."""
+    source = F.struct("evidence_rank", "chunk_id", "chapter_id", "title", "source_revision", "chunk_index", "content")
+    listed = attach_text(evidence, chunks).groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))
+    shown = F.transform("sources", lambda s: s.dropFields("evidence_rank"))
+    return questions.select("query_id", "query").join(listed, "query_id").select(
+        "query_id", F.to_json(F.struct(F.col("query").alias("question"), shown.alias("sources"))).alias("payload")
+    )

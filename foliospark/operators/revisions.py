@@ -224,8 +224,11 @@ def present_chapters(states: DataFrame) -> DataFrame:
 
 
 def version_pages(versions: DataFrame, page: int = S.VERSION_PAGE) -> DataFrame:
-    """Newest first in pages of 25. ``has_next`` says that the page is full, so the next one is asked for."""
-    ranked = full_rank(versions, ["chapter_id"], [F.desc("revision")], "place")
+    """Newest first in pages of 25. ``has_next`` says that the page is full, so the next one is asked for.
+
+    Texts are no part of a list, so none are sorted or written.
+    """
+    ranked = full_rank(versions.drop("content_json", "plain_text"), ["chapter_id"], [F.desc("revision")], "place")
     paged = ranked.withColumn("page", F.floor((F.col("place") - 1) / page))
     full = paged.groupBy("chapter_id", "page").agg((F.count(F.lit(1)) == page).alias("has_next"))
     return paged.join(full, ["chapter_id", "page"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -23,9 +24,9 @@ from foliospark.operators import (
     search,
 )
 from foliospark.plans.oracle import sql, words
-from foliospark.session import cut_lineage
+from foliospark.session import cut_lineage, run_folder
 from foliospark.sources.fixtures import EPOCH_US, Corpus
-from foliospark.streaming import folds, replay
+from foliospark.streaming import folds, refresh, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,12 +87,13 @@ def chunk_offset_check(c: Corpus) -> DataFrame:
     "token_index",
     sql(
         f"""SELECT project_id, token, chunk_id, count(*) AS tf
-            FROM (SELECT project_id, chunk_id, unnest({words('content')}) AS token FROM fresh_chunks) GROUP BY ALL""",
-        "fresh_chunks",
+            FROM (SELECT project_id, chunk_id, unnest({words('content')}) AS token FROM chunks) GROUP BY ALL""",
+        "chunks",
     ),
 )
 def token_index(c: Corpus) -> DataFrame:
-    return retrieval.build_index(c.fresh_chunks)
+    """The index of the stored chunks."""
+    return retrieval.build_index(c.chunks)
 
 
 @query(
@@ -117,7 +119,7 @@ def chunk_append(c: Corpus) -> DataFrame:
     ),
 )
 def chunk_currency(c: Corpus) -> DataFrame:
-    return chunking.with_currency(c.chunks, c.chapters, "title").select("chunk_id", "chapter_id", "title", "current")
+    return chunking.with_currency(c.chunks, c.chapter_keys, "title").select("chunk_id", "chapter_id", "title", "current")
 
 
 # --- retrieval ----------------------------------------------------------------------------------------------
@@ -147,7 +149,7 @@ _RANKED = """SELECT query_id, rank, chunk_id, chapter_id, title, source_revision
 
 @query("retrieve_topk", sql(_RANKED.replace("hits h", "(SELECT query_id, chunk_id, hits AS points FROM word_hits) h"), "word_hits"))
 def retrieve_topk(c: Corpus) -> DataFrame:
-    return retrieval.retrieve(c.questions, c.chunks, c.chapters, c.jobs)
+    return retrieval.retrieve(c.questions, c.chunks, c.chapter_keys, c.jobs, index=c.index_for(c.questions))
 
 
 _BOOSTED = """(SELECT query_id, chunk_id, coalesce(w.hits, 0) + coalesce(f.hits, 0) AS points
@@ -156,7 +158,7 @@ _BOOSTED = """(SELECT query_id, chunk_id, coalesce(w.hits, 0) + coalesce(f.hits,
 
 @query("retrieve_fact_boost", sql(_RANKED.replace("hits h", _BOOSTED), "word_hits", "fact_hits"))
 def retrieve_fact_boost(c: Corpus) -> DataFrame:
-    return retrieval.retrieve(c.questions, c.chunks, c.chapters, c.jobs, c.facts)
+    return retrieval.retrieve(c.questions, c.chunks, c.chapter_keys, c.jobs, c.facts, index=c.index_for(c.questions))
 
 
 def _asked_sql(body: str) -> str:
@@ -199,7 +201,7 @@ _EVIDENCE = (
     ),
 )
 def ask_evidence(c: Corpus) -> DataFrame:
-    found = retrieval.ask(c.questions, c.characters, c.chunks, c.chapters, c.jobs, c.facts)
+    found = retrieval.ask(c.questions, c.characters, c.chunks, c.chapter_keys, c.jobs, c.facts, c.index)
     return found.select("query_id", "evidence_rank", "chunk_id", "chapter_id", "title", "source_revision", "chunk_index", "score")
 
 
@@ -218,7 +220,7 @@ _SOUND = "item_id % 9 <> 4 AND item_id % 11 <> 5"
 def ask_answers(c: Corpus) -> DataFrame:
     """Only owners are answered; a question without evidence has a row that says so."""
     own = retrieval.asked_by_owners(c.asked, c.projects)
-    return retrieval.answers_to(own, retrieval.ask(own, c.characters, c.chunks, c.chapters, c.jobs, c.facts))
+    return retrieval.answers_to(own, retrieval.ask(own, c.characters, c.chunks, c.chapter_keys, c.jobs, c.facts, c.index))
 
 
 @query(
@@ -246,10 +248,29 @@ def search_rejects(c: Corpus) -> DataFrame:
     ),
 )
 def evidence_labels(c: Corpus) -> DataFrame:
-    found = retrieval.ask(c.questions, c.characters, c.chunks, c.chapters, c.jobs, c.facts)
+    found = retrieval.ask(c.questions, c.characters, c.chunks, c.chapter_keys, c.jobs, c.facts, c.index)
     return context.evidence_labels(found).select("query_id", F.array_join("labels", "; ").alias("labels"))
 
 
+@query(
+    "question_payload",
+    _asked_sql(
+        f"""SELECT e.query_id, md5(q.query) AS question_hash, e.evidence_rank AS place, e.chunk_id, e.chapter_id, e.title, e.source_revision, e.chunk_index,
+              md5(s.content) AS text_hash
+            FROM {_EVIDENCE} e JOIN chunks s USING (chunk_id) JOIN (SELECT item_id AS query_id, text AS query FROM benchmark) q ON q.query_id = e.query_id
+            WHERE e.evidence_rank <= 6"""
+    ),
+)
+def question_payload(c: Corpus) -> DataFrame:
+    """What is sent for each question, as its reader parses it."""
+    found = retrieval.ask(c.questions, c.characters, c.chunks, c.chapter_keys, c.jobs, c.facts, c.index)
+    made = retrieval.question_payload(c.questions, found, c.chunks)
+    source = "chunk_id string, chapter_id bigint, title string, source_revision bigint, chunk_index bigint, content string"
+    read = made.select("query_id", F.from_json("payload", "question string, sources array<struct<" + ",".join(":".join(f.split()) for f in source.split(", ")) + ">>").alias("p"))
+    parts = read.select("query_id", digest("p.question").alias("question_hash"), F.posexplode("p.sources").alias("n", "s"))
+    return parts.select("query_id", "question_hash", (F.col("n") + 1).cast("long").alias("place"), "s.*").withColumn("text_hash", digest("content")).drop("content")
+
+
 # --- literal search -----------------------------------------------------------------------------------------
 
 _SEARCH = """SELECT request_id, n - page_offset AS place, kind, source_id, heading, excerpt, n > page_offset + 20 AS look_ahead FROM (
@@ -348,6 +369,21 @@ def answer_assembly(c: Corpus) -> DataFrame:
     return evidence.assemble_answers(c.answers, c.answer_sources)
 
 
+@query(
+    "answer_citations",
+    sql(
+        """SELECT c.answer_id, c.claim_no AS number, md5(c.quote) AS quote_hash, c.source_id, s.chapter_id, h.title, s.source_revision AS revision
+           FROM claims c JOIN answer_outcomes o ON o.answer_id = c.answer_id AND o.outcome = 'accepted'
+           JOIN answer_sources s ON s.answer_id = c.answer_id AND s.source_id = c.source_id LEFT JOIN chapters h ON h.chapter_id = s.chapter_id""",
+        "answer_outcomes",
+        "chapters",
+    ),
+)
+def answer_citations(c: Corpus) -> DataFrame:
+    cited = evidence.citation_list(c.answers, c.answer_sources, c.chapters)
+    return cited.select("answer_id", "number", digest("quote").alias("quote_hash"), "source_id", "chapter_id", "title", "revision")
+
+
 @query(
     "staleness_recheck",
     sql(
@@ -359,12 +395,12 @@ def answer_assembly(c: Corpus) -> DataFrame:
 )
 def staleness_recheck(c: Corpus) -> DataFrame:
     outcomes = evidence.answer_outcomes(c.answers, c.answer_sources)
-    return evidence.void_stale(outcomes, c.answer_sources, c.chapters).select("answer_id", "outcome")
+    return evidence.void_stale(outcomes, c.answer_sources, c.chapter_keys).select("answer_id", "outcome")
 
 
 @query("insight_outcomes", sql("SELECT analysis_id, outcome FROM analysis_outcomes", "analysis_outcomes"))
 def insight_outcomes(c: Corpus) -> DataFrame:
-    return evidence.analysis_outcomes(c.analyses, c.chunks, c.chapters, c.insights).select("analysis_id", "outcome")
+    return evidence.analysis_outcomes(c.analyses, c.chunks, c.chapter_keys, c.insights, c.analysis_generations).select("analysis_id", "outcome")
 
 
 @query(
@@ -377,7 +413,7 @@ def insight_outcomes(c: Corpus) -> DataFrame:
     ),
 )
 def fact_accept(c: Corpus) -> DataFrame:
-    outcomes = evidence.analysis_outcomes(c.analyses, c.chunks, c.chapters, c.insights)
+    outcomes = evidence.analysis_outcomes(c.analyses, c.chunks, c.chapter_keys, c.insights, c.analysis_generations)
     return evidence.accepted_facts(outcomes).select(
         "fact_id", "project_id", "chunk_id", "claim", digest("quote").alias("quote_hash"), "status", "revision"
     )
@@ -386,13 +422,13 @@ def fact_accept(c: Corpus) -> DataFrame:
 @query(
     "insight_accept",
     sql(
-        """SELECT sha256('insight:' || chunk_id) AS insight_id, project_id, chunk_id, summary FROM analysis_outcomes WHERE outcome = 'saved'""",
+        """SELECT sha256('insight:' || chunk_id) AS insight_id, project_id, chunk_id, 'g' || chunk_id AS generation_id, summary FROM analysis_outcomes WHERE outcome = 'saved'""",
         "analysis_outcomes",
     ),
 )
 def insight_accept(c: Corpus) -> DataFrame:
-    outcomes = evidence.analysis_outcomes(c.analyses, c.chunks, c.chapters, c.insights)
-    return evidence.accepted_insights(outcomes).select("insight_id", "project_id", "chunk_id", "summary")
+    outcomes = evidence.analysis_outcomes(c.analyses, c.chunks, c.chapter_keys, c.insights, c.analysis_generations)
+    return evidence.accepted_insights(outcomes).select("insight_id", "project_id", "chunk_id", "generation_id", "summary")
 
 
 @query(
@@ -405,7 +441,7 @@ def insight_accept(c: Corpus) -> DataFrame:
     ),
 )
 def analysis_worklist(c: Corpus) -> DataFrame:
-    current = chunking.current_chunks(c.chunks, c.chapters, "title")
+    current = chunking.current_chunks(c.chunks, c.chapter_keys, "title")
     return jobs.analysis_worklist(current, c.insights).select("chunk_id", "chapter_id", "title", "chunk_index")
 
 
@@ -414,7 +450,7 @@ def analysis_worklist(c: Corpus) -> DataFrame:
     sql("SELECT event_id, fact_id, at_us, base_revision, status, revision_met, outcome FROM review_outcomes", "review_outcomes"),
 )
 def fact_review(c: Corpus) -> DataFrame:
-    return review.review_outcomes(c.reviews, c.facts, c.chunks, c.chapters)
+    return review.review_outcomes(c.reviews, c.facts, c.chunks, c.chapter_keys)
 
 
 @query(
@@ -428,7 +464,7 @@ def fact_review(c: Corpus) -> DataFrame:
     ),
 )
 def fact_state(c: Corpus) -> DataFrame:
-    outcomes = cut_lineage(review.review_outcomes(c.reviews, c.facts, c.chunks, c.chapters))
+    outcomes = cut_lineage(review.review_outcomes(c.reviews, c.facts, c.chunks, c.chapter_keys))
     return review.reviewed_facts(c.facts, c.reviews, outcomes).select(
         "fact_id", "project_id", "chunk_id", digest("claim").alias("claim_hash"), "status", "revision"
     )
@@ -555,7 +591,7 @@ def row_edits(c: Corpus) -> DataFrame:
     ),
 )
 def backfill_jobs(c: Corpus) -> DataFrame:
-    return jobs.backfill_jobs(c.chapters)
+    return jobs.backfill_jobs(c.chapter_keys)
 
 
 def _session_sql(seconds: int) -> str:
@@ -748,6 +784,8 @@ def attempt_rate(c: Corpus) -> DataFrame:
     return quota.attempt_rates(c.requests, {"last_day": 86_400, "last_seconds": 10})
 
 
+_SIX_HOURS = 21_600_000_000
+
 # --- the same folds as streams ------------------------------------------------------------------------------
 
 
@@ -759,7 +797,7 @@ def _event_stream(c: Corpus) -> DataFrame:
 @query(
     "stream_revision_saves",
     sql(
-        "SELECT event_id, revision_met, outcome = 'accepted' AS applied FROM save_outcomes WHERE outcome <> 'NOT_FOUND'",
+        "SELECT event_id, revision_met, outcome FROM save_outcomes",
         "save_outcomes",
     ),
 )
@@ -782,6 +820,31 @@ def stream_debounce(c: Corpus) -> DataFrame:
     return replay.drain(folds.stream_debounce(c.shape_saves(_event_stream(c)), 21600))
 
 
+@query(
+    "stream_refresh",
+    sql(
+        f"""SELECT chapter_id, max(event_id) AS source_revision, 0 AS chunk_index, md5(arg_max(body, event_id)) AS text_hash
+            FROM (SELECT *, sum(CASE WHEN prev IS NULL OR at_us - prev > {_SIX_HOURS} THEN 1 ELSE 0 END) OVER (PARTITION BY chapter_id ORDER BY at_us, event_id) AS run
+              FROM (SELECT user_id AS chapter_id, event_id, at_us, event_type || ' ' || props AS body, lag(at_us) OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS prev FROM ev))
+            GROUP BY chapter_id, run HAVING max(at_us) + {_SIX_HOURS} <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events)""",
+        "ev",
+    ),
+)
+def stream_refresh(c: Corpus) -> DataFrame:
+    """Chunks that the refresh stream stores: the latest text of every run of saves that is over."""
+    saves = _event_stream(c).select(
+        F.col("user_id").alias("chapter_id"),
+        F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("project_id"),
+        F.col("event_id").alias("revision_number"),
+        F.concat_ws(" ", "event_type", "props").alias("plain_text"),
+        "at_us",
+    )
+    folder = run_folder(c.spark, "refresh")
+    refresh.refresh_index(saves, f"{folder}/tables", f"{folder}/state", 21600).awaitTermination()
+    stored = refresh.stored_chunks(c.spark, f"{folder}/tables")
+    return stored.select("chapter_id", "source_revision", F.col("chunk_index").cast("int").alias("chunk_index"), digest("content").alias("text_hash"))
+
+
 # --- context ------------------------------------------------------------------------------------------------
 
 
@@ -867,7 +930,7 @@ def overview_jobs(c: Corpus) -> DataFrame:
     ),
 )
 def overview_chunks(c: Corpus) -> DataFrame:
-    listed = reports.chunk_list(c.chunks, c.chapters, c.insights)
+    listed = reports.chunk_list(c.chunks, c.chapter_keys, c.insights)
     return listed.select("project_id", "rank", "chunk_id", "title", "chunk_index", "analyzed")
 
 
@@ -883,13 +946,13 @@ def _newest_sql(table: str, key: str, columns: str) -> str:
 
 @query("overview_insights", _newest_sql("insights", "insight_id", "n.summary"))
 def overview_insights(c: Corpus) -> DataFrame:
-    listed = reports.newest_with_source(c.insights, "insight_id", c.chunks, c.chapters, reports.S.OVERVIEW_INSIGHTS)
+    listed = reports.newest_with_source(c.insights, "insight_id", c.chunks, c.chapter_keys, reports.S.OVERVIEW_INSIGHTS)
     return listed.select("project_id", "rank", "insight_id", "summary", "title", "chunk_index", "source_revision", "current")
 
 
 @query("overview_facts", _newest_sql("facts", "fact_id", "n.status"))
 def overview_facts(c: Corpus) -> DataFrame:
-    listed = reports.newest_with_source(c.facts, "fact_id", c.chunks, c.chapters, reports.S.OVERVIEW_FACTS)
+    listed = reports.newest_with_source(c.facts, "fact_id", c.chunks, c.chapter_keys, reports.S.OVERVIEW_FACTS)
     return listed.select("project_id", "rank", "fact_id", "status", "title", "chunk_index", "source_revision", "current")
 
 
@@ -916,7 +979,7 @@ def memory_overview(c: Corpus) -> DataFrame:
         joined = F.array_join(F.transform(name, text), ",")
         return F.when(F.size(name) > 0, F.md5(joined.cast("binary"))).otherwise("").alias(name)
 
-    whole = reports.overview(c.jobs, c.chunks, c.chapters, c.insights, c.facts)
+    whole = reports.overview(c.jobs, c.chunks, c.chapter_keys, c.insights, c.facts)
     return whole.select(
         "project_id",
         listed("chunks", lambda r: r["chunk_id"]),
@@ -951,6 +1014,9 @@ def ask_history(c: Corpus) -> DataFrame:
 
 
 _USAGE = """SELECT generation_id, substring(sha256(project_id), 1, 24) AS project, substring(sha256(CAST(user_id AS VARCHAR)), 1, 24) AS user,
+  CASE WHEN starts_with(prompt, '[Ask My Story]') THEN 'memory-ask' WHEN starts_with(prompt, '[Memory]') THEN 'memory-analyze' ELSE 'krya-assistant' END AS workflow,
+  split_part(model, ':', 1) AS provider, substring(model, instr(model, ':') + 1) AS model, retrieved AS retrieved_memory_count, false AS content_logging,
+  CASE WHEN status = 'error' THEN 'AI_GENERATION_FAILED' END AS error, input_tokens, output_tokens,
   CASE WHEN action = 'chat' THEN 'qa' WHEN action = 'brainstorm' THEN 'planner' ELSE 'writer' END AS task, status = 'complete' AS success,
   length(prompt) AS input_characters, CASE WHEN status = 'complete' THEN length(result) ELSE 0 END AS output_characters,
   total_tokens, latency_ms FROM generations"""
@@ -1079,7 +1145,19 @@ def chapter_list(c: Corpus) -> DataFrame:
              UNION ALL SELECT 'story_facts', 'quote_length' FROM facts WHERE length(quote) NOT BETWEEN 1 AND 1000
              UNION ALL SELECT 'story_facts', 'claim_length' FROM facts WHERE length(claim) NOT BETWEEN 1 AND 1000
              UNION ALL SELECT 'notes', 'title_length' FROM notes WHERE length(trim(title)) NOT BETWEEN 1 AND 200
-             UNION ALL SELECT 'chapters', 'text_bytes' FROM chapters WHERE strlen(plain_text) > 2000000)
+             UNION ALL SELECT 'chapters', 'text_bytes' FROM chapters WHERE strlen(plain_text) > 2000000
+             UNION ALL SELECT 'requests', 'project_uuid' FROM conversations WHERE conv_id % 5 = 0
+             UNION ALL SELECT 'requests', 'chapter_uuid' FROM conversations WHERE turn % 4 = 1
+             UNION ALL SELECT 'requests', 'action' FROM conversations WHERE (conv_id * 1000 + turn) % 6 = 2
+             UNION ALL SELECT 'requests', 'instruction' FROM conversations
+               WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' OR length(text) > 2000
+             UNION ALL SELECT 'requests', 'selection_length' FROM conversations WHERE (conv_id * 1000 + turn) % 4 = 0 AND length(text) > 4000
+             UNION ALL SELECT 'requests', 'rewrite_needs_selection' FROM conversations
+               WHERE (conv_id * 1000 + turn) % 6 = 0 AND ((conv_id * 1000 + turn) % 4 <> 0 OR regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '')
+             UNION ALL SELECT 'requests', 'continue_needs_chapter' FROM conversations
+               WHERE (conv_id * 1000 + turn) % 6 = 1 AND (conv_id * 1000 + turn) % 3 = 0
+             UNION ALL SELECT 'requests', 'budget' FROM conversations WHERE length(text) * ((conv_id * 1000 + turn) % 40) + length(role) > 48000
+             UNION ALL SELECT 'requests', 'output_tokens' FROM conversations WHERE (conv_id * 1000 + turn) % 3000 NOT BETWEEN 1 AND 2400)
            GROUP BY ALL""",
         "outline",
         "generations",
@@ -1098,6 +1176,7 @@ def constraint_report(c: Corpus) -> DataFrame:
         (c.characters, "characters", "character_id"),
         (c.notes, "notes", "note_id"),
         (c.outline, "outline_items", "item_id"),
+        (c.ai_requests, "requests", "request_id"),
     ]
     found = [quality.violation_counts(quality.violations(*t)) for t in checked]
     first, *rest = found
@@ -1106,39 +1185,69 @@ def constraint_report(c: Corpus) -> DataFrame:
     return first
 
 
+_UNIQUE = {
+    "outline_items": ("outline", ["chapter_id"]),
+    "chapters": ("chapters", ["chapter_id"]),
+    "story_bibles": ("bibles", ["project_id"]),
+    "story_chunks": ("chunks", ["chapter_id", "source_revision", "source_hash", "chunk_index"]),
+    "memory_insights": ("insights", ["chunk_id"]),
+    "chapter_versions": ("versions", ["chapter_id", "revision"]),
+}
+
+
+def _unique_sql(table: str, view: str, key: list[str]) -> str:
+    live = " WHERE deleted_at IS NULL AND chapter_id IS NOT NULL" if view == "outline" else ""
+    value = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in key)
+    return f"SELECT '{table}.{':'.join(key)}' AS key_name, {value} AS key_value, count(*) AS copies FROM {view}{live} GROUP BY {', '.join(key)} HAVING count(*) > 1"
+
+
 @query(
     "duplicate_keys",
-    sql(
-        """SELECT 'outline_items.chapter_id' AS key_name, CAST(chapter_id AS VARCHAR) AS key_value, count(*) AS copies FROM outline
-             WHERE deleted_at IS NULL AND chapter_id IS NOT NULL GROUP BY chapter_id HAVING count(*) > 1
-           UNION ALL SELECT 'chapters.chapter_id', CAST(chapter_id AS VARCHAR), count(*) FROM chapters GROUP BY chapter_id HAVING count(*) > 1
-           UNION ALL SELECT 'story_bibles.project_id', project_id, count(*) FROM bibles GROUP BY project_id HAVING count(*) > 1""",
-        "outline",
-        "chapters",
-        "bibles",
-    ),
+    sql(" UNION ALL ".join(_unique_sql(t, v, k) for t, (v, k) in _UNIQUE.items()), *(v for v, _ in _UNIQUE.values())),
 )
 def duplicate_keys(c: Corpus) -> DataFrame:
-    def found(rows: DataFrame, table: str, key: str, live_only: bool = False) -> DataFrame:
-        return quality.duplicate_keys(rows, [key], live_only).select(
-            F.lit(f"{table}.{key}").alias("key_name"), F.col(key).cast("string").alias("key_value"), "copies"
-        )
+    """Every unique key of the tables."""
+    rows = {"versions": revisions.chapter_versions(_states(c))}
 
-    outline = found(c.outline, "outline_items", "chapter_id", live_only=True)
-    return outline.unionByName(found(c.chapters, "chapters", "chapter_id")).unionByName(found(c.bibles, "story_bibles", "project_id"))
+    def found(table: str) -> DataFrame:
+        view, key = _UNIQUE[table]
+        held = quality.duplicate_keys(rows[view] if view in rows else getattr(c, view), key, live_only=view == "outline")
+        return held.select(F.lit(f"{table}.{':'.join(key)}").alias("key_name"), F.concat_ws(":", *key).alias("key_value"), "copies")
+
+    return reduce(DataFrame.unionByName, map(found, _UNIQUE))
+
+
+# Child table, its key, and the parent it points to.
+_PARENTS = {
+    "outline_items": ("outline", "item_id", "chapters", ["chapter_id", "project_id"]),
+    "memory_jobs": ("jobs", "chapter_id", "chapters", ["chapter_id", "project_id"]),
+    "story_chunks": ("chunks", "chunk_id", "chapters", ["chapter_id", "project_id"]),
+    "memory_insights": ("insights", "insight_id", "chunks", ["chunk_id", "project_id"]),
+    "story_facts": ("facts", "fact_id", "chunks", ["chunk_id", "project_id"]),
+    "chapter_versions": ("versions", "revision", "chapters", ["chapter_id", "project_id"]),
+    "fact_reviews": ("reviews", "event_id", "facts", ["fact_id"]),
+}
+
+
+def _orphan_sql(table: str, child: str, name: str, parent: str, key: list[str]) -> str:
+    same = " AND ".join(f"p.{k} = o.{k}" for k in key)
+    return f"SELECT '{table}' AS table_name, CAST({name} AS VARCHAR) AS row_key, CAST({key[0]} AS VARCHAR) AS refers_to FROM {child} o WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE {same})"
 
 
 @query(
     "orphans",
-    sql(
-        """SELECT item_id, project_id, chapter_id FROM outline o WHERE NOT EXISTS
-           (SELECT 1 FROM chapters c WHERE c.chapter_id = o.chapter_id AND c.project_id = o.project_id)""",
-        "outline",
-        "chapters",
-    ),
+    sql(" UNION ALL ".join(_orphan_sql(t, *x) for t, x in _PARENTS.items()), "outline", "jobs", "chunks", "insights", "facts", "versions", "reviews"),
 )
 def orphans(c: Corpus) -> DataFrame:
-    return quality.orphans(c.outline, c.chapters, ["chapter_id", "project_id"]).select("item_id", "project_id", "chapter_id")
+    """Every reference from one table to another that leads nowhere."""
+    rows = {"versions": revisions.chapter_versions(_states(c))}
+
+    def found(table: str) -> DataFrame:
+        child, name, parent, key = _PARENTS[table]
+        lost = quality.orphans(rows[child] if child in rows else getattr(c, child), getattr(c, parent), key)
+        return lost.select(F.lit(table).alias("table_name"), F.col(name).cast("string").alias("row_key"), F.col(key[0]).cast("string").alias("refers_to"))
+
+    return reduce(DataFrame.unionByName, map(found, _PARENTS))
 
 
 # --- scalar functions over whole tables ---------------------------------------------------------------------

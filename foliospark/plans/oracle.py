@@ -175,9 +175,9 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
         ("ev",),
         """SELECT event_id AS generation_id, user_id, 'src' || (user_id % 20) AS project_id,
            CASE event_type WHEN 'click' THEN 'rewrite' WHEN 'signup' THEN 'continue' WHEN 'purchase' THEN 'brainstorm' ELSE 'chat' END AS action,
-           CASE WHEN event_type = 'view' THEN '[Ask My Story] ' || props ELSE props END AS prompt, 'Jawaban ' || props AS result,
+           CASE event_type WHEN 'view' THEN '[Ask My Story] ' || props WHEN 'purchase' THEN '[Memory] ' || props ELSE props END AS prompt, 'Jawaban ' || props AS result,
            CASE event_type WHEN 'click' THEN 'nebius:other/model' WHEN 'view' THEN 'gateway:any/model-' || k ELSE 'nebius:nvidia/nemotron-' || k END AS model,
-           CASE WHEN event_type = 'error' THEN 'error' ELSE 'complete' END AS status, k AS total_tokens, value AS latency_ms,
+           CASE WHEN event_type = 'error' THEN 'error' ELSE 'complete' END AS status, k AS total_tokens, k - k // 3 AS input_tokens, k // 3 AS output_tokens, k % 7 AS retrieved, value AS latency_ms,
            at_us AS created_us FROM ev""",
     ),
     "answers": (
@@ -230,7 +230,9 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
         ("analyses", "chunks", "chapters", "insights"),
         """SELECT a.*, s.project_id, CASE WHEN s.chunk_id IS NULL THEN 'NOT_FOUND'
              WHEN s.source_revision <> c.revision_number OR s.source_hash <> c.text_hash THEN 'STALE_SOURCE'
-             WHEN a.kind IN (1, 3, 4) THEN 'INVALID_INSIGHTS' WHEN i.chunk_id IS NOT NULL THEN 'existing' ELSE 'saved' END AS outcome
+             WHEN i.chunk_id IS NOT NULL THEN 'existing'
+             WHEN a.created_at % 19 = 0 OR a.created_at % 17 = 0 OR a.created_at % 23 = 0 THEN 'NOT_FOUND'
+             WHEN a.kind IN (1, 3, 4) THEN 'INVALID_INSIGHTS' ELSE 'saved' END AS outcome
            FROM analyses a LEFT JOIN chunks s ON s.chunk_id = a.chunk_id LEFT JOIN chapters c ON c.chapter_id = s.chapter_id
            LEFT JOIN insights i ON i.chunk_id = s.chunk_id""",
     ),

@@ -80,7 +80,7 @@ def _struct(spec: str) -> T.StructType:
 
 TABLES = {
     "projects": _struct("project_id:s owner_id:s title:s description:s genre:s manuscript_language:s created_at:t updated_at:t"),
-    "chapters": _struct("chapter_id:l project_id:s title:s content_json:s plain_text:s revision_number:l position:l created_at:t updated_at:t"),
+    "chapters": _struct("chapter_id:l project_id:s title:s content_json:s plain_text:s text_hash:s revision_number:l position:l created_at:t updated_at:t"),
     "chapter_versions": _struct("chapter_id:l project_id:s revision_number:l title:s content_json:s plain_text:s created_at:t"),
     "memory_jobs": _struct("chapter_id:l project_id:s source_revision:l source_hash:s status:s attempts:l available_at:t error:s"),
     "story_chunks": _struct(

@@ -5,13 +5,16 @@ Each derivation is row by row or an equi join, so its size follows the corpus. `
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliospark.functions.text import md5_text
 from foliospark.operators.chunking import chunk_chapters
-from foliospark.session import cut_lineage
+from foliospark.operators.retrieval import query_terms
+from foliospark.session import run_folder
+from foliospark.sources.tables import read_index, write_index
 
 SECOND = 1_000_000
 # 2024-01-01 00:00:00 UTC.
@@ -22,8 +25,16 @@ def _at(seconds: Column) -> Column:
     return F.lit(EPOCH_US) + seconds * SECOND
 
 
+# Tables written once a session, by session, folder, state of its documents, and name.
+_KEPT: dict[tuple, str] = {}
+
+
 class Corpus:
-    """Derived tables over one folder of parquet files."""
+    """Derived tables over one folder of parquet files.
+
+    What a product stores at save time (hashes of texts, chunks, the token index) is written when first needed and read
+    by every later query of the session.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -32,6 +43,20 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _kept(self, name: str, write: Callable[[str], None]) -> str:
+        documents = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/documents.parquet")
+        files = documents.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        state = files.getFileStatus(documents).getModificationTime(), files.getContentSummary(documents).getLength()
+        key = (self.spark.sparkContext.applicationId, self.folder, state, name)
+        if key not in _KEPT:
+            path = run_folder(self.spark, name)
+            write(path)
+            _KEPT[key] = path
+        return _KEPT[key]
+
+    def _kept_rows(self, name: str, rows: DataFrame) -> DataFrame:
+        return self.spark.read.schema(rows.schema).parquet(self._kept(name, rows.write.parquet))
+
     @cached_property
     def documents(self) -> DataFrame:
         return self.table("documents").select("doc_id", "source", "text")
@@ -58,14 +83,20 @@ class Corpus:
             F.floor(F.col("doc_id") / 20).alias("position"),
         )
 
+    @cached_property
+    def chapter_keys(self) -> DataFrame:
+        """The chapters without their texts, with the hash that is stored at save time."""
+        keys = self.chapters.withColumn("text_hash", md5_text(F.col("plain_text"))).drop("content_json", "plain_text")
+        return self._kept_rows("chapter_keys", keys)
+
     @cached_property
     def jobs(self) -> DataFrame:
         turn = F.col("chapter_id") % 10
-        return self.chapters.select(
+        return self.chapter_keys.select(
             "chapter_id",
             "project_id",
             F.col("revision_number").alias("source_revision"),
-            md5_text(F.col("plain_text")).alias("source_hash"),
+            F.col("text_hash").alias("source_hash"),
             F.when(turn == 0, "failed").when(turn == 1, "queued").otherwise("ready").alias("status"),
             F.when(turn == 0, F.col("chapter_id") % 4).otherwise(0).cast("long").alias("attempts"),
             _at(F.col("chapter_id") % 1000).alias("available_us"),
@@ -80,7 +111,16 @@ class Corpus:
     def chunks(self) -> DataFrame:
         """The stored chunk table; chunks of every seventh chapter are of the revision before."""
         behind = F.when(F.col("chapter_id") % 7 == 0, 1).otherwise(0)
-        return cut_lineage(chunk_chapters(self.chapters.withColumn("revision_number", F.col("revision_number") - behind)))
+        rows = chunk_chapters(self.chapters.withColumn("revision_number", F.col("revision_number") - behind))
+        # Stored evenly by chunk, so that no reader depends on how the texts came in.
+        return self._kept_rows("chunks", rows.repartition("chunk_id"))
+
+    def index(self, terms: DataFrame) -> DataFrame:
+        """Rows of the stored token index for a table of query words."""
+        return read_index(self.spark, self._kept("token_index", lambda path: write_index(self.chunks, path)), terms)
+
+    def index_for(self, queries: DataFrame) -> DataFrame:
+        return self.index(query_terms(queries))
 
     @cached_property
     def benchmark(self) -> DataFrame:
@@ -260,14 +300,25 @@ class Corpus:
             .when(kind == "purchase", "brainstorm")
             .otherwise("chat")
             .alias("action"),
-            F.when(kind == "view", F.concat(F.lit("[Ask My Story] "), F.col("props"))).otherwise(F.col("props")).alias("prompt"),
+            F.when(kind == "view", F.concat(F.lit("[Ask My Story] "), F.col("props")))
+            .when(kind == "purchase", F.concat(F.lit("[Memory] "), F.col("props")))
+            .otherwise(F.col("props"))
+            .alias("prompt"),
             F.concat(F.lit("Jawaban "), F.col("props")).alias("result"),
             F.when(kind == "click", "nebius:other/model")
             .when(kind == "view", F.concat(F.lit("gateway:any/model-"), F.col("k").cast("string")))
             .otherwise(F.concat(F.lit("nebius:nvidia/nemotron-"), F.col("k").cast("string")))
             .alias("model"),
             F.when(kind == "error", "error").otherwise("complete").alias("status"),
-            F.to_json(F.struct(F.col("k").alias("totalTokens"), F.col("value").alias("latency_ms"))).alias("token_usage"),
+            F.array_repeat(F.lit("Bab"), (F.col("k") % 7).cast("int")).alias("context_sources"),
+            F.to_json(
+                F.struct(
+                    (F.col("k") - F.floor(F.col("k") / 3)).alias("inputTokens"),
+                    F.floor(F.col("k") / 3).alias("outputTokens"),
+                    F.col("k").alias("totalTokens"),
+                    F.col("value").alias("latency_ms"),
+                )
+            ).alias("token_usage"),
             F.col("at_us").alias("created_us"),
         )
 
@@ -342,6 +393,39 @@ class Corpus:
             F.when(kind == 6, F.lit("tidak dikenal")).otherwise(F.col("chunk_id")).alias("chunk_id"),
             number.alias("created_at"),
             payload.alias("payload"),
+            F.when(number % 19 == 0, F.lit("tidak ada")).otherwise(F.concat(F.lit("g"), F.col("chunk_id"))).alias("generation_id"),
+            F.concat(F.lit("user"), (F.col("chapter_id") % 5).cast("string")).alias("user_id"),
+        )
+
+    @cached_property
+    def analysis_generations(self) -> DataFrame:
+        """The generation of each analysis; some belong to another user or another project."""
+        number = F.col("chapter_id") + F.col("chunk_index")
+        user = F.col("chapter_id") + F.when(number % 23 == 0, 1).otherwise(0)
+        return self.chunks.select(
+            F.concat(F.lit("g"), F.col("chunk_id")).alias("generation_id"),
+            F.concat(F.lit("user"), (user % 5).cast("string")).alias("user_id"),
+            F.when(number % 17 == 0, F.lit("lain")).otherwise(F.col("project_id")).alias("project_id"),
+        )
+
+    @cached_property
+    def ai_requests(self) -> DataFrame:
+        """What the generation form takes in, from every turn of the conversations; many break a rule."""
+        conv, turn = F.col("conv_id"), F.col("turn")
+        key = conv * 1000 + turn
+        name = F.md5(conv.cast("string").cast("binary"))
+        uuid = F.regexp_replace(name, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+        return self.table("conversations").select(
+            key.alias("request_id"),
+            F.when(conv % 5 == 0, F.lit("src1")).otherwise(uuid).alias("project_id"),
+            F.when(turn % 4 == 0, F.lit(None)).when(turn % 4 == 1, F.col("role")).otherwise(F.upper(uuid)).alias("chapter_id"),
+            F.when(key % 6 == 0, "rewrite").when(key % 6 == 1, "continue").when(key % 6 == 2, "other").otherwise("chat").alias("action"),
+            F.col("text").alias("instruction"),
+            F.when(key % 4 == 0, F.col("text")).otherwise(F.lit(" \n")).alias("selection"),
+            (key % 3 != 0).alias("use_chapter"),
+            F.repeat("text", (key % 40).cast("int")).alias("prompt"),
+            F.col("role").alias("system"),
+            (key % 3000).alias("max_output_tokens"),
         )
 
     @cached_property

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliospark.operators.access import scoped
 from foliospark.operators.chunking import append_chunks
-from foliospark.operators.retrieval import build_index
+from foliospark.operators.retrieval import CARRIED, build_index
 from foliospark.schemas import TABLES
 
-TOKEN_BUCKETS = 256
-SALTS = 8
+# Chunks that one bucket of the token index stands for, and chunks whose words one task writes.
+CHUNKS_PER_BUCKET = 100_000
+CHUNKS_PER_TASK = 10_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,30 +37,41 @@ def write_new_chunks(fresh: DataFrame, folder: str) -> None:
     append_chunks(existing, fresh).write.mode("append").parquet(path)
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int = TOKEN_BUCKETS) -> None:
-    """The token index, partitioned by a hash of (project, token) so that a query reads few partitions.
+def write_index(chunks: DataFrame, path: str, chunks_per_bucket: int = CHUNKS_PER_BUCKET) -> None:
+    """The token index with the keys of each chunk, in buckets by a hash of (project, token).
 
-    A frequent word fills its bucket; the salt spreads such a bucket over several tasks and files.
+    The number of buckets follows the number of chunks and is stored beside the rows. Rows are ranged by bucket, word
+    and chunk, so a frequent word is spread over as many tasks and files as its rows need, and a rare one lies in one.
     """
-    rows = build_index(chunks).withColumn(
-        "token_bucket", F.pmod(F.xxhash64("project_id", "token"), F.lit(buckets)).cast("int")
-    )
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))
+    spark = chunks.sparkSession
+    count = chunks.count()
+    buckets = max(1, -(-count // chunks_per_bucket))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets, count // CHUNKS_PER_TASK)
+    order = ["token_bucket", "project_id", "token", "chunk_id"]
     (
-        rows.repartition("token_bucket", salt)
-        .sortWithinPartitions("token_bucket", "project_id", "token")
+        build_index(chunks, *CARRIED)
+        .withColumn("token_bucket", _bucket(F.lit(buckets)))
+        .repartitionByRange(tasks, *order)
+        .sortWithinPartitions(*order)
         .write.mode("overwrite")
         .partitionBy("token_bucket")
-        .parquet(path)
+        .parquet(f"{path}/postings")
     )
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
-def read_index(spark: SparkSession, path: str, terms: DataFrame, buckets: int = TOKEN_BUCKETS) -> DataFrame:
-    """Index rows of the given query words; the bucket equality prunes partitions at run time."""
-    keyed = terms.select(
-        "project_id", "token", F.pmod(F.xxhash64("project_id", "token"), F.lit(buckets)).cast("int").alias("token_bucket")
-    )
-    return spark.read.parquet(path).join(keyed, ["token_bucket", "project_id", "token"], "left_semi").drop("token_bucket")
+def _bucket(buckets: Column) -> Column:
+    return F.pmod(F.xxhash64("project_id", "token"), buckets).cast("int")
+
+
+def read_index(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
+    """Index rows in the buckets of the given query words; the others are not even listed as input.
+
+    The numbers of the buckets are gathered, never the words; there are at most as many as the index has partitions.
+    """
+    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+    wanted = [r[0] for r in terms.select(_bucket(F.lit(buckets)).alias("bucket")).distinct().collect()]
+    return spark.read.parquet(f"{path}/postings").where(F.col("token_bucket").isin(wanted)).drop("token_bucket")
 
 
 def write_manuscripts(parts: DataFrame, path: str) -> None:

@@ -28,32 +28,43 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class RevisionProcessor(StatefulProcessor):
-    """Holds the present revision of a key; applies a usable event based on it and counts one up."""
+    """Holds the present revision of a key; applies an event based on it that nothing else refuses, and counts one up."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.revision = handle.getValueState("revision", "now long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows)
-        now = self.revision.get()[0] if self.revision.exists() else int(batch["initial"].iloc[0])
-        met = []
-        for base, usable in zip(batch["base_revision"].tolist(), batch["usable"].tolist()):
-            met.append(now)
-            now += int(usable and base == now)
-        self.revision.update((now,))
-        applied = batch["usable"] & (batch["base_revision"] == met)
-        yield pd.DataFrame({"event_id": batch["event_id"], "revision_met": met, "applied": applied})
+        first = batch["initial"].iloc[0]
+        if pd.isna(first):
+            # An unknown key meets nothing and keeps no state.
+            met, based = [None] * len(batch), [False] * len(batch)
+        else:
+            now = self.revision.get()[0] if self.revision.exists() else int(first)
+            met, based = [], []
+            for base, refused in zip(batch["base_revision"].tolist(), batch["code"].notna().tolist()):
+                met.append(now)
+                based.append(base == now)
+                now += int(based[-1] and not refused)
+            self.revision.update((now,))
+        yield pd.DataFrame(
+            {"event_id": batch["event_id"], "revision_met": pd.array(met, "Int64"), "based": based, "code": batch["code"].astype(object)}
+        )
 
     def close(self) -> None:
         pass
 
 
 def stream_fold(events: DataFrame) -> DataFrame:
-    """The revision rule as a stream. ``events``: key, event_id, at_us, base_revision, initial, usable."""
+    """The revision rule as a stream. ``events``: key, event_id, at_us, base_revision, initial, code.
+
+    ``initial`` is null for an unknown key, ``code`` is why another check refuses the event, null if none does. Gives
+    the revision each event met, whether it was ``based`` on it, and the code.
+    """
     use_rocksdb(events.sparkSession)
     return events.groupBy("key").transformWithStateInPandas(
         statefulProcessor=RevisionProcessor(),
-        outputStructType="event_id long, revision_met long, applied boolean",
+        outputStructType="event_id long, revision_met long, based boolean, code string",
         outputMode="Append",
         timeMode="None",
     )
@@ -62,30 +73,39 @@ def stream_fold(events: DataFrame) -> DataFrame:
 def stream_save_outcomes(
     saves: DataFrame, chapters: DataFrame, max_text: int = S.MAX_TEXT_BYTES, max_content: int = S.MAX_CONTENT_BYTES
 ) -> DataFrame:
-    """Outcome of every save of a known chapter. ``chapters`` is a static table with the revisions at the start."""
+    """Outcome of every save, as ``save_outcomes`` gives it. ``chapters`` is a static table with the revisions at the start."""
     too_large = (F.octet_length("plain_text") > max_text) | (F.octet_length("content_json") > max_content)
     is_doc = F.coalesce(F.get_json_object("content_json", "$.type") == "doc", F.lit(False))
     start = chapters.select("chapter_id", F.col("revision_number").alias("initial"))
-    return stream_fold(
-        saves.join(start, "chapter_id").select(
-            F.col("chapter_id").alias("key"), "event_id", "at_us", "base_revision", "initial", (~too_large & is_doc).alias("usable")
+    folded = stream_fold(
+        saves.join(start, "chapter_id", "left").select(
+            F.col("chapter_id").alias("key"),
+            "event_id",
+            "at_us",
+            F.coalesce("base_revision", F.lit(-1)).cast("long").alias("base_revision"),
+            F.col("initial").cast("long").alias("initial"),
+            F.when(too_large, "CHAPTER_TOO_LARGE").when(~is_doc, "INVALID_DOCUMENT").alias("code"),
         )
     )
+    outcome = F.when(F.col("revision_met").isNull(), "NOT_FOUND").when(~F.col("based"), "REVISION_CONFLICT")
+    return folded.select("event_id", "revision_met", outcome.otherwise(F.coalesce("code", F.lit("accepted"))).alias("outcome"))
 
 
 def stream_review_outcomes(reviews: DataFrame, facts: DataFrame, sources: DataFrame) -> DataFrame:
-    """Outcome of every review of a known fact. ``sources`` is a static table of chunk_id and current."""
+    """Outcome of every review, as ``review_outcomes`` gives it. ``sources`` is a static table of chunk_id and current."""
     start = facts.select("fact_id", "chunk_id", F.col("revision").alias("initial")).join(sources.select("chunk_id", "current"), "chunk_id")
-    return stream_fold(
-        reviews.join(start, "fact_id").select(
+    folded = stream_fold(
+        reviews.join(start, "fact_id", "left").select(
             F.col("fact_id").alias("key"),
             "event_id",
             "at_us",
-            "base_revision",
-            "initial",
-            ((F.col("status") != "approved") | F.col("current")).alias("usable"),
+            F.coalesce("base_revision", F.lit(-1)).cast("long").alias("base_revision"),
+            F.col("initial").cast("long").alias("initial"),
+            F.when((F.col("status") == "approved") & ~F.col("current"), "STALE_SOURCE").alias("code"),
         )
     )
+    outcome = F.when(F.col("revision_met").isNull(), "NOT_FOUND").when(F.col("code").isNotNull(), F.col("code"))
+    return folded.select("event_id", "revision_met", outcome.otherwise(F.when(F.col("based"), "applied").otherwise("REVISION_CONFLICT")).alias("outcome"))
 
 
 class QuotaProcessor(StatefulProcessor):

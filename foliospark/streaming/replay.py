@@ -8,13 +8,11 @@ from foliospark.session import run_folder
 
 
 def read_stream(
-    spark: SparkSession, folder: str, like: DataFrame, files: str = "*.parquet", files_per_trigger: int | None = None
+    spark: SparkSession, folder: str, like: DataFrame, files: str = "*.parquet", files_per_trigger: int = 64
 ) -> DataFrame:
-    """New files of a folder as a stream with the columns of ``like``."""
+    """New files of a folder as a stream with the columns of ``like``; a trigger takes in so many at most, also in a backfill."""
     reader = spark.readStream.schema(like.schema).option("pathGlobFilter", files)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
 def drain(stream: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from tests.conftest import SMALL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # These walk sorted rows in Python on purpose; everything else must stay in the JVM.
 PYTHON = {
+    "duplicate_keys", "orphans",
     "revision_fold", "chapter_history", "version_pages", "version_export", "version_restore", "late_saves", "row_edits",
     "job_upsert", "fact_review", "fact_state", "quota_accept", "quota_accept_tight",
 }

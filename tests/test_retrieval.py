@@ -1,3 +1,6 @@
+import contextlib
+import io
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -121,9 +124,36 @@ def test_alias_expansion(spark):
 
 
 def test_stored_index_gives_the_same_hits(spark, corpus, tmp_path):
-    chunks = corpus.chunks
-    write_index(chunks, str(tmp_path / "index"))
-    index = read_index(spark, str(tmp_path / "index"), R.query_terms(corpus.questions))
+    """Few chunks a bucket, so that there are many buckets; only those of the words asked for are read."""
+    chunks, path = corpus.chunks, str(tmp_path / "index")
+    write_index(chunks, path, chunks_per_bucket=3)
+    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+    assert buckets == -(-chunks.count() // 3) > 50
     direct = R.retrieve(corpus.questions, chunks, corpus.chapters, corpus.jobs)
-    indexed = R.retrieve(corpus.questions, chunks, corpus.chapters, corpus.jobs, index=index)
-    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, indexed.collect()))
+    for asked in (corpus.questions, corpus.questions.where("query_id = 1")):
+        index = read_index(spark, path, R.query_terms(asked))
+        indexed = R.retrieve(asked, chunks, corpus.chapter_keys, corpus.jobs, index=index)
+        want = direct.join(asked.select("query_id"), "query_id", "left_semi").select(indexed.columns)
+        assert sorted(map(tuple, want.collect())) == sorted(map(tuple, indexed.collect()))
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            indexed.explain("formatted")
+        assert "PartitionFilters: [token_bucket" in text.getvalue()
+        assert "plain_text" not in text.getvalue() and "content" not in text.getvalue() and "md5" not in text.getvalue()
+    wanted = {r[0] for r in R.query_terms(asked).selectExpr(f"pmod(xxhash64(project_id, token), {buckets})").collect()}
+    files = read_index(spark, path, R.query_terms(asked)).select(F.input_file_name()).distinct().collect()
+    read = {int(f[0].split("token_bucket=")[1].split("/")[0]) for f in files}
+    assert read <= wanted and len(read) < buckets / 2
+
+
+def test_words_are_counted_in_their_row(spark):
+    texts = ["", None, "satu", "b a B a, A!", " -- ", "x " * 20_000 + "xy", "ΟΔΟΣ οδος İ é É 1 11 1"]
+    chunks = spark.createDataFrame([("p", str(i), t) for i, t in enumerate(texts)], "project_id string, chunk_id string, content string")
+    got = {}
+    for r in R.build_index(chunks).collect():
+        got.setdefault(int(r.chunk_id), []).append((r.token, r.tf))
+    plain = R.token_positions(chunks).groupBy("chunk_id", "token").agg(F.sum("tf").alias("tf")).collect()
+    want = {}
+    for r in sorted(plain, key=lambda r: r.token.encode()):
+        want.setdefault(int(r.chunk_id), []).append((r.token, r.tf))
+    assert got == want and got[3] == [("a", 3), ("b", 2)] and got[5] == [("x", 20_000), ("xy", 1)]
