@@ -145,7 +145,7 @@ def workflow(prompt: Column) -> Column:
     return (
         F.when(prompt.startswith(ASK_PREFIX), "memory-ask")
         .when(prompt.startswith(ANALYZE_PREFIX), "memory-analyze")
-        .otherwise("krya-assistant")
+        .otherwise("assistant")
     )
 
 

@@ -1014,7 +1014,7 @@ def ask_history(c: Corpus) -> DataFrame:
 
 
 _USAGE = """SELECT generation_id, substring(sha256(project_id), 1, 24) AS project, substring(sha256(CAST(user_id AS VARCHAR)), 1, 24) AS user,
-  CASE WHEN starts_with(prompt, '[Ask My Story]') THEN 'memory-ask' WHEN starts_with(prompt, '[Memory]') THEN 'memory-analyze' ELSE 'krya-assistant' END AS workflow,
+  CASE WHEN starts_with(prompt, '[Ask My Story]') THEN 'memory-ask' WHEN starts_with(prompt, '[Memory]') THEN 'memory-analyze' ELSE 'assistant' END AS workflow,
   split_part(model, ':', 1) AS provider, substring(model, instr(model, ':') + 1) AS model, retrieved AS retrieved_memory_count, false AS content_logging,
   CASE WHEN status = 'error' THEN 'AI_GENERATION_FAILED' END AS error, input_tokens, output_tokens,
   CASE WHEN action = 'chat' THEN 'qa' WHEN action = 'brainstorm' THEN 'planner' ELSE 'writer' END AS task, status = 'complete' AS success,

@@ -119,6 +119,10 @@ class Corpus:
         """Rows of the stored token index for a table of query words."""
         return read_index(self.spark, self._kept("token_index", lambda path: write_index(self.chunks, path)), terms)
 
+    def prepare(self) -> None:
+        """Write the kept tables now, so that no query pays for them."""
+        self.chapter_keys, self.index_for(self.questions)
+
     def index_for(self, queries: DataFrame) -> DataFrame:
         return self.index(query_terms(queries))
 
