@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.llm import common
 
-# The tokens of a window that each mask looks at.
-MASKS = ((0, 1, 3, 4, 6, 7, 9, 10), (0, 1, 2, 4, 7, 8, 9, 10))
+# The tokens of a window that each mask looks at. Found by enumeration: whichever 2 tokens of 13 are changed
+# (all that the share below allows), a window of some mask misses both; for 11 and 12 tokens MIDDLE does the same.
+MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
+MIDDLE = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 8, 9), (0, 1, 5, 6, 7, 8))
 SPAN = 11
-#: Shorter items are looked for as a whole; items below the least length say too little to be traced.
+#: Items shorter than SPAN are looked for as a whole; items below the least length say too little to be traced.
 LEAST = 5
 #: An overlap counts if so many neighbouring tokens (or the whole item) agree in this share or more.
 OVERLAP, SHARE = 13, 0.8
@@ -39,23 +41,29 @@ def _window(number: int, places: tuple[int, ...]):
     return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(number), *(F.get(F.col("w"), i + p) for p in places)).alias("seed"))
 
 
+def _kinds(lengths: list[int]) -> list[tuple[tuple[int, ...], int, int, int]]:
+    """(places, span, least, most) of each mask that items of these lengths need; it is for items of least to most tokens."""
+    kinds = [(m, m[-1] + 1, OVERLAP, 2**31 - 1) for m in MASKS if max(lengths, default=0) >= OVERLAP]
+    kinds += [(m, m[-1] + 1, SPAN, OVERLAP - 1) for m in MIDDLE if any(SPAN <= n < OVERLAP for n in lengths)]
+    return kinds + [(tuple(range(n)), n, n, n) for n in sorted(lengths) if n < SPAN]
+
+
 def _seeds(ids: list[str], rows: DataFrame, lengths: list[int], whole: bool) -> DataFrame:
-    """(ids, at, seed) of every window of every mask; of the given short lengths too, for items only of their own."""
-    kinds = [(tuple(m), SPAN, None) for m in MASKS] + [(tuple(range(n)), n, n) for n in lengths]
-    parts = []
-    for number, (places, span, only) in enumerate(kinds):
-        fits = F.col("n") >= span if only is None or not whole else F.col("n") == span
-        parts.append(F.when(fits, F.transform(F.sequence(F.lit(0), F.col("n") - span), _window(number, places))))
-    parts = [F.coalesce(p, F.array().cast("array<struct<at:int,seed:bigint>>")) for p in parts]
+    """(ids, at, seed) of every window of every mask; of items (``whole``) only of the masks for their length."""
+    parts = [F.array().cast("array<struct<at:int,seed:bigint>>")]
+    for number, (places, span, least, most) in enumerate(_kinds(lengths)):
+        fits = F.col("n").between(least, most) if whole else F.col("n") >= span
+        parts.append(F.when(fits, F.transform(F.sequence(F.lit(0), F.col("n") - span), _window(number, places))).otherwise(parts[0]))
     return rows.select(*ids, F.explode(F.concat(*parts)).alias("s")).select(*ids, "s.at", "s.seed")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Where benchmark items stand in documents: key, doc_id, item_id, n_item, start, matched, one row per pair.
 
-    ``documents`` has doc_id and text, ``benchmark`` item_id and text. A pair is returned if some seed hits and, laid
-    side by side there, some run of 13 tokens of the item (of all tokens if it has fewer) agrees with the document in 80 %
-    or more; tokens before or after the document agree with nothing. ``start`` is the document's token that the item's first
+    ``documents`` has doc_id and text, ``benchmark`` item_id and text. A pair is returned if, laid
+    side by side at any offset, some run of 13 tokens of the item (of all tokens if it has fewer) agrees with the document in
+    80 % or more; tokens before or after the document agree with nothing. Every such offset is hit by a seed. Items of 5 to 10
+    tokens must agree in all. ``start`` is the document's token that the item's first
     falls on (it can be negative), ``matched`` the number of its tokens that agree, of the offset where most do
     (of equals, the first). ``key`` is a hash of doc_id and text.
 
@@ -69,11 +77,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select("*", F.least(F.lit(OVERLAP), F.col("n")).alias("run"))
         .distinct()
     )
-    lengths = [r[0] for r in items.filter(F.col("n") < SPAN).select("n").distinct().collect()]
+    lengths = [r[0] for r in items.select(F.least("n", F.lit(OVERLAP))).distinct().collect()]
     tests = common.stored(_seeds(["item_id"], items, lengths, True).withColumnRenamed("at", "place"))
     read = documents.select(common.row_key("doc_id", "text").alias("key"), "doc_id", tokens(F.col("text")).alias("w"))
     sized = read.select("*", F.size("w").alias("n"))
-    training = _seeds(["key"], sized.filter(F.col("n") >= min([SPAN, *lengths])), lengths, False)
+    training = _seeds(["key"], sized.filter(F.col("n") >= min((k[1] for k in _kinds(lengths)), default=SPAN)), lengths, False)
     hits = training.join(_small(tests, tests.count()), "seed").select("key", "item_id", (F.col("at") - F.col("place")).alias("start"))
     hits = common.stored(hits.distinct())
     count = hits.count()

@@ -2,6 +2,7 @@
 
 import io
 import contextlib
+import itertools
 import random
 from collections import Counter
 
@@ -116,6 +117,43 @@ def test_leaks_with_substitutions(spark):
     assert decontaminate.leaks(frame, bench.limit(0)).count() == 0
 
 
+def _all_offsets(docs, items):
+    """The 13-token rule at every offset, without seeds, for items of 11 tokens or more."""
+    out = Counter()
+    for d, text in docs:
+        w = text.split()
+        for i, item in items:
+            v, best = item.split(), None
+            run = min(13, len(v))
+            for start in range(1 - len(v), len(w)):
+                agree = [0 <= j + start < len(w) and w[j + start] == x for j, x in enumerate(v)]
+                if any(10 * sum(agree[k : k + run]) >= 8 * run for k in range(len(v) - run + 1)):
+                    best = max(best or (0, 0), (sum(agree), -start))
+            if best:
+                out[d, i, len(v), -best[1], best[0]] += 1
+    return out
+
+
+def test_leaks_of_every_pattern_of_two_changes(spark):
+    rand = random.Random(11)
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in (11, 12, 13, 15, 20, 38, 59)]
+    docs = []
+    for _, item in items:
+        v = item.split()
+        changed = [p for p in itertools.combinations(range(len(v)), 2) if len(v) <= 13]
+        changed += [[j for j in range(len(v)) if j % 5 == phase] for phase in range(5)]
+        changed += [[j for j in range(len(v)) if rand.random() < share] for share in (0.15, 0.2, 0.25) for _ in range(20)]
+        for gone in changed:
+            for ahead in ("", "a b c "):
+                docs.append((len(docs), ahead + " ".join("changed" if j in gone else x for j, x in enumerate(v))))
+        docs += [(len(docs) + k, " ".join(v[k : len(v) - 2 + k])) for k in range(3)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = _all_offsets(docs, items)
+    # All 55, 66 and 78 pairs of changes, with and without words ahead, are among them.
+    assert sum(n == 13 for _, _, n, _, _ in want) >= 2 * 78
+    assert Counter((r.doc_id, r.item_id, r.n_item, r.start, r.matched) for r in decontaminate.leaks(frame, bench).collect()) == want
+
+
 def plain_targets(sizes, weights=(5, 2, 1), most=3):
     """Share by weight, stop what is above its limit, share the rest again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
