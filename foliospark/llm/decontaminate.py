@@ -7,6 +7,9 @@ and compared token by token.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.llm import common
@@ -41,11 +44,17 @@ def _window(number: int, places: tuple[int, ...]):
     return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(number), *(F.get(F.col("w"), i + p) for p in places)).alias("seed"))
 
 
+def _short(n: int) -> list[tuple[int, ...]]:
+    """Masks over all of n tokens, dealt to two blocks more than may change: each mask leaves out as many blocks as tokens may change."""
+    changes = n - math.ceil(n * SHARE)
+    return [tuple(p for p in range(n) if p % (changes + 2) not in out) for out in itertools.combinations(range(changes + 2), changes)]
+
+
 def _kinds(lengths: list[int]) -> list[tuple[tuple[int, ...], int, int, int]]:
     """(places, span, least, most) of each mask that items of these lengths need; it is for items of least to most tokens."""
     kinds = [(m, m[-1] + 1, OVERLAP, 2**31 - 1) for m in MASKS if max(lengths, default=0) >= OVERLAP]
     kinds += [(m, m[-1] + 1, SPAN, OVERLAP - 1) for m in MIDDLE if any(SPAN <= n < OVERLAP for n in lengths)]
-    return kinds + [(tuple(range(n)), n, n, n) for n in sorted(lengths) if n < SPAN]
+    return kinds + [(m, n, n, n) for n in sorted(lengths) if n < SPAN for m in _short(n)]
 
 
 def _seeds(ids: list[str], rows: DataFrame, lengths: list[int], whole: bool) -> DataFrame:
@@ -62,8 +71,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``documents`` has doc_id and text, ``benchmark`` item_id and text. A pair is returned if, laid
     side by side at any offset, some run of 13 tokens of the item (of all tokens if it has fewer) agrees with the document in
-    80 % or more; tokens before or after the document agree with nothing. Every such offset is hit by a seed. Items of 5 to 10
-    tokens must agree in all. ``start`` is the document's token that the item's first
+    80 % or more; tokens before or after the document agree with nothing. Every such offset is hit by a seed; items of 5 to 10
+    tokens must lie between the document's ends. ``start`` is the document's token that the item's first
     falls on (it can be negative), ``matched`` the number of its tokens that agree, of the offset where most do
     (of equals, the first). ``key`` is a hash of doc_id and text.
 

@@ -154,6 +154,22 @@ def test_leaks_of_every_pattern_of_two_changes(spark):
     assert Counter((r.doc_id, r.item_id, r.n_item, r.start, r.matched) for r in decontaminate.leaks(frame, bench).collect()) == want
 
 
+def test_leaks_of_short_items_with_changes(spark):
+    items = [(n, [f"s{n}x{j}" for j in range(n)]) for n in range(5, 11)]
+    docs, want = [], Counter()
+    for n, v in items:
+        for changes in range(4):
+            for gone in itertools.combinations(range(n), changes):
+                ahead = len(docs) % 3
+                if 10 * (n - changes) >= 8 * n:
+                    want[len(docs), n, n, ahead, n - changes] += 1
+                docs.append((len(docs), " ".join(["ahead"] * ahead + ["changed" if j in gone else x for j, x in enumerate(v)] + ["after"] * (ahead // 2))))
+    bench = spark.createDataFrame([(n, " ".join(v)) for n, v in items], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sum(want.values()) == sum(1 + n for n in range(5, 10)) + 1 + 10 + 45
+    assert Counter((r.doc_id, r.item_id, r.n_item, r.start, r.matched) for r in got) == want
+
+
 def plain_targets(sizes, weights=(5, 2, 1), most=3):
     """Share by weight, stop what is above its limit, share the rest again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
