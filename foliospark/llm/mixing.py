@@ -4,14 +4,15 @@ Documents that belong to the same set of sources form a pattern. A pattern can g
 limit, each further time at a higher cost, and only to the sources it belongs to; every source wants its target.
 The cheapest flow that fills most of the targets says how many words each pattern gives. Its documents, in
 a seeded order, then give whole repeats and, at the end, a part of one.
+
+Words are counted text by text in the JVM, so that memory follows the longest text, not a batch of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.llm import common
@@ -24,17 +25,10 @@ MOST = 3
 SEED = "mix 1 "
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the text, the last column, by its number of words."""
-    for batch in batches:
-        raw, starts = common.byte_rows(batch.columns[-1])
-        word = (raw != 32) & ((raw < 9) | (raw > 13))
-        head = word.copy()
-        head[1:] &= ~word[:-1]
-        first = starts[:-1][starts[:-1] < starts[1:]]
-        head[first] = word[first]
-        total = np.concatenate([[0], np.cumsum(head)])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(total[starts]))], [*batch.schema.names[:-1], "size"])
+def word_count(text: Column) -> Column:
+    """Number of words of a text, null as empty: every word, with the space after it, becomes one letter."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+", "")
+    return F.length(F.regexp_replace(bare, r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "w")).cast("long")
 
 
 def source_targets(sizes: dict, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> dict:
@@ -137,11 +131,14 @@ def choose(documents: DataFrame, members: Column, weights: Sequence[int] = WEIGH
     gives empty frames. Patterns and sources pass through the driver, documents do not.
     """
     spark = documents.sparkSession
-    kind = documents.schema["doc_id"].dataType.simpleString()
     marked = documents.select(
-        common.row_key("doc_id", "text").alias("key"), "doc_id", F.to_json(F.array_sort(F.array_distinct(members))).alias("pattern"), F.array_distinct(members).alias("members"), "text"
+        common.row_key("doc_id", "text").alias("key"),
+        "doc_id",
+        F.to_json(F.array_sort(F.array_distinct(members))).alias("pattern"),
+        F.array_distinct(members).alias("members"),
+        word_count(F.col("text")).alias("size"),
     )
-    sized = common.stored(marked.mapInArrow(_count_words, f"key long, doc_id {kind}, pattern string, members array<string>, size long"))
+    sized = common.stored(marked)
     collected = sized.groupBy("pattern").agg(F.sum("size").alias("words"), F.first("members").alias("members")).orderBy("pattern").collect()
     patterns = [(tuple(r.members), int(r.words)) for r in collected]
     sizes: dict = {}
