@@ -136,3 +136,31 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+
+
+def row_groups(starts: np.ndarray, limit: int):
+    """Runs of whole rows (first row, past-last row) of at most ``limit`` bytes; a longer row is a run of its own."""
+    row, n = 0, len(starts) - 1
+    while row < n:
+        past = max(int(np.searchsorted(starts, starts[row] + limit, side="right")) - 1, row + 1)
+        yield row, past
+        row = past
+
+
+def word_spans(word: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end, given which bytes belong to words and where rows begin; no word spans two rows."""
+    head, last = word.copy(), word.copy()
+    head[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = begins[(begins > 0) & (begins < len(word))]
+    head[inner] = word[inner]
+    last[inner - 1] = word[inner - 1]
+    return np.flatnonzero(head), np.flatnonzero(last) + 1
+
+
+def encode_words(raw: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, and the different words by number; ``word`` says which bytes belong to words."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw[word].tobytes())]
+    coded = pa.Array.from_buffers(pa.large_string(), len(lengths), buffers).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
