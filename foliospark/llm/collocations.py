@@ -10,9 +10,9 @@ Edges and stubs are keyed by their first words (the root) and the rest (the tail
 share the root, so one shuffle serves three lengths; one more gives pairs. Copies are counted within a slice of text
 before they are shuffled, so a text that is a third of all rows costs one row per slice and edge.
 
-A word that occurs less often than a phrase must is in no phrase, so pieces are cut there. Which words these are is read
-from a bit table of fixed size that holds every frequent word; that it may hold a rare one by chance costs a few rows more and
-changes no count.
+Two neighbouring words that occur less often than a phrase must are in no phrase, so pieces are cut between them. Which
+pairs these are is read from counts of hashed pairs: a bit table of fixed size says of each bucket whether its pairs together
+are frequent. A rare pair may share a bucket with a frequent one; that costs a few rows more and changes no count.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 #: Bytes of text whose edges are counted together before they are shuffled.
-SLICE = 1 << 22
-#: Lanes of 64 bits of the table of frequent words: 8 MB at any size of the corpus.
-LANES = 1 << 20
+SLICE = 1 << 20
+#: Lanes of 64 bits of the table of frequent pairs: 32 MB at any size of the corpus.
+LANES = 1 << 22
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -43,16 +43,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _slices(raw: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Whole rows of about SLICE bytes; a longer row in parts that end where one of its pieces does."""
+    for a, b in common.row_groups(starts, SLICE):
+        at, end = int(starts[a]), int(starts[b])
+        if end - at > SLICE and b == a + 1:
+            ends = np.flatnonzero(_KIND[raw[at:end]] == 2) + at + 1
+            near = np.searchsorted(ends, np.arange(at + SLICE, end, SLICE))
+            for cut in np.unique(ends[near[near < len(ends)]]):
+                yield at, int(cut)
+                at = int(cut)
+        if at < end:
+            yield at, end
+
+
 def _pieces(batch: pa.RecordBatch):
-    """The batch in slices that end where a piece does: for each, language and piece of every word, its number, the words."""
+    """The batch in slices: for each, language and piece of every word, its number, the words."""
     langs = batch.column(0).dictionary_encode()
     of_row = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     raw, starts = common.byte_rows(batch.column(1))
-    if not len(raw):
-        return
-    ends = np.union1d(np.flatnonzero(_KIND[raw] == 2) + 1, starts)
-    cuts = np.unique(np.append(ends[np.searchsorted(ends, np.arange(0, len(raw), SLICE))], len(raw)))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+    for a, b in _slices(raw, starts):
         part, kind = _LOWER[raw[a:b]], _KIND[raw[a:b]]
         begins = starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a
         word = kind == 0
@@ -78,28 +88,30 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _lanes(langs: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Where a word stands in the bit table: the lane, and four bits in it."""
+def _pair_buckets(langs: pa.Array, lang: np.ndarray, piece: np.ndarray, codes: np.ndarray, words: pa.Array) -> np.ndarray:
+    """The bucket of each word and the one after it in its piece, -1 for the last word of a piece."""
     names = [np.array(x.to_pylist(), object) for x in (langs, words)]
-    lang, word = (pd.util.hash_array(x, categorize=False) if len(x) else np.zeros(0, np.uint64) for x in names)
-    h = common.Fingerprints.scramble(word ^ (lang * np.uint64(0x9E3779B97F4A7C15)))
-    bits = np.zeros(len(h), np.uint64)
-    for shift in (0, 6, 12, 18):
-        bits |= np.uint64(1) << ((h >> np.uint64(shift)) & np.uint64(63))
-    return ((h >> np.uint64(24)) % np.uint64(LANES)).astype(np.int64), bits
+    of_lang, of_word = (pd.util.hash_array(x, categorize=False) if len(x) else np.zeros(0, np.uint64) for x in names)
+    out = np.full(len(codes), -1, np.int64)
+    at = np.flatnonzero(piece[1:] == piece[:-1])
+    h = of_word[codes[at]] * np.uint64(0x9E3779B97F4A7C15) + of_word[codes[at + 1]] + of_lang[lang[at]] * np.uint64(0xC2B2AE3D27D4EB4F)
+    out[at] = (common.Fingerprints.scramble(h) % np.uint64(64 * LANES)).astype(np.int64)
+    return out
 
 
-def _mark_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lane, bits = _lanes(batch.column(0), batch.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array(lane), pa.array(bits.view(np.int64))], ["lane", "bits"])
+        for slice_ in _pieces(batch):
+            bucket = _pair_buckets(*slice_)
+            key, n = np.unique(bucket[bucket >= 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["bucket", "n"])
 
 
-def _frequent_table(counts: DataFrame, least: int) -> np.ndarray:
-    """The bit table of all words that occur at least ``least`` times; never more than LANES rows reach the driver."""
-    frequent = counts.filter(F.col("n") >= least).select("lang", "word")
-    lanes = frequent.mapInArrow(_mark_words, "lane long, bits long").groupBy("lane").agg(F.bit_or("bits").alias("bits"))
-    found = lanes.toArrow()
+def _frequent_pairs(texts: DataFrame, least: int) -> np.ndarray:
+    """The bit table of the buckets whose pairs occur at least ``least`` times; never more than LANES rows reach the driver."""
+    buckets = texts.mapInArrow(_count_pairs, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bucket") % 64).cast("int"))
+    found = buckets.groupBy(F.floor(F.col("bucket") / 64).alias("lane")).agg(F.bit_or(bit).alias("bits")).toArrow()
     table = np.zeros(LANES, np.uint64)
     table[found.column("lane").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return table
@@ -120,13 +132,12 @@ def _edges(frequent, longest: int):
         table = frequent.value
         for batch in batches:
             for langs, lang, piece, codes, words in _pieces(batch):
-                key, where = np.unique(lang * len(words) + codes, return_inverse=True)
-                lane, bits = _lanes(langs.take(pa.array(key // len(words))), words.take(pa.array(key % len(words))))
-                good = ((table[lane] & bits) == bits)[where]
-                fresh = np.ones(len(codes), bool)
-                fresh[1:] = piece[1:] != piece[:-1]
-                stops = np.append(np.flatnonzero(fresh | ~good), len(codes))
-                at = np.flatnonzero(good)
+                bucket = _pair_buckets(langs, lang, piece, codes, words)
+                lane = np.maximum(bucket, 0) // 64
+                goes_on = (bucket >= 0) & ((table[lane] >> (bucket % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
+                # What is left of a piece ends with each word that does not go on; single words are counted apart.
+                stops = np.flatnonzero(~goes_on) + 1
+                at = np.flatnonzero(goes_on)
                 length = np.minimum(stops[np.searchsorted(stops, at, side="right")] - at, longest)
                 grams = np.full((longest, len(at)), -1, np.int64)
                 for k in range(longest):
@@ -148,12 +159,13 @@ def _edges(frequent, longest: int):
     return run
 
 
-def edges(texts: DataFrame, counts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+def edges(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """lang, root, tail, n: edges of ``longest`` words and shorter stubs at the ends of pieces, each counted once or more.
 
-    Rows of one edge are to be added up. Pieces also end at words that ``counts`` has fewer than ``least`` times.
+    ``texts`` has lang and text, neither null. Rows of one edge are to be added up. Pieces also end between two words whose
+    bucket of pairs occurs fewer than ``least`` times; a piece of one word gives no row.
     """
-    frequent = texts.sparkSession.sparkContext.broadcast(_frequent_table(counts, least))
+    frequent = texts.sparkSession.sparkContext.broadcast(_frequent_pairs(texts, least))
     return texts.mapInArrow(_edges(frequent, longest), "lang string, root string, tail string, n long")
 
 
@@ -260,7 +272,7 @@ def phrases(documents: DataFrame, least: int = LEAST, share: int = 100, top: int
     """
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     counts = common.stored(word_counts(texts))
-    flow = common.stored(node_flow(edges(texts, counts, least, longest), least, longest))
+    flow = common.stored(node_flow(edges(texts, least, longest), least, longest))
     paths = compact_paths(flow, longest).select("lang", "phrase", "path_words")
     best = score_phrases(flow, counts, least, share, top, longest)
     best = best.join(paths, ["lang", "phrase"], "left")
@@ -279,11 +291,18 @@ WITH RECURSIVE pieces AS (
          unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents
 ), listed AS (
-  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+  SELECT row_number() OVER () AS id, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
 ), placed AS (
-  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed
+  SELECT id, lang, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM listed
+), led AS (
+  SELECT lang, x, lead(x, 1) OVER p AS x1, lead(x, 2) OVER p AS x2, lead(x, 3) OVER p AS x3, lead(x, 4) OVER p AS x4
+  FROM placed WINDOW p AS (PARTITION BY id ORDER BY i)
 ), grams AS (
-  SELECT lang, w[i:i + k - 1] AS g, k FROM placed, range(1, 6) AS size(k) WHERE i + k - 1 <= len(w)
+  SELECT lang, [x] AS g, 1 AS k FROM led
+  UNION ALL SELECT lang, [x, x1], 2 FROM led WHERE x1 IS NOT NULL
+  UNION ALL SELECT lang, [x, x1, x2], 3 FROM led WHERE x2 IS NOT NULL
+  UNION ALL SELECT lang, [x, x1, x2, x3], 4 FROM led WHERE x3 IS NOT NULL
+  UNION ALL SELECT lang, [x, x1, x2, x3, x4], 5 FROM led WHERE x4 IS NOT NULL
 ), counted AS (
   SELECT lang, g, k, count(*) AS f FROM grams GROUP BY ALL
 ), totals AS (
@@ -292,7 +311,7 @@ WITH RECURSIVE pieces AS (
   SELECT * FROM counted WHERE k > 1 AND f >= 100
 ), inside AS (
   SELECT DISTINCT lang, sub FROM (
-    SELECT lang, f, g[i:i + s - 1] AS sub FROM frequent, range(2, 5) AS len(s), range(1, 5) AS at(i) WHERE s < k AND i + s - 1 <= k) x
+    SELECT lang, f, g[i:i + s - 1] AS sub FROM frequent, range(2, 5) AS sizes(s), range(1, 5) AS places(i) WHERE s < k AND i + s - 1 <= k) x
   JOIN frequent y USING (lang) WHERE y.g = x.sub AND 100 * x.f >= 100 * y.f
 ), kept AS (
   SELECT q.* FROM frequent q ANTI JOIN inside s ON q.lang = s.lang AND q.g = s.sub

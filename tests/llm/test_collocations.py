@@ -85,8 +85,7 @@ def test_paths_are_the_passages_repeated_as_a_whole(spark):
     passage = [f"w{i}" for i in range(40)]
     docs = [("en", " ".join(passage))] * 6 + [("en", " ".join(["other", *passage[10:20], "end"]))] * 3 + [("en", "o o o o o o o o o")] * 4
     texts = frame(spark, docs).select("lang", "text")
-    counts = collocations.word_counts(texts)
-    flow = collocations.node_flow(collocations.edges(texts, counts, 3), 3)
+    flow = collocations.node_flow(collocations.edges(texts, 3), 3)
     paths = defaultdict(list)
     for r in collocations.compact_paths(flow).collect():
         paths[r.path].append((r.place, r.n, r.path_words, r.phrase))
@@ -97,6 +96,12 @@ def test_paths_are_the_passages_repeated_as_a_whole(spark):
         assert sorted(p for p, *_ in members) == list(range(len(members))) and min(members)[3] == path
 
 
+def test_pairs_that_share_buckets_change_no_count(spark, monkeypatch):
+    docs = random_docs(9)
+    monkeypatch.setattr(collocations, "LANES", 1)
+    assert rows(collocations.phrases(frame(spark, docs), 6)) == best(docs, 6, 100, collocations.TOP, 5)
+
+
 def test_empty_and_rare(spark):
     assert rows(collocations.phrases(frame(spark, []))) == []
     assert rows(collocations.phrases(frame(spark, [("en", "too rare to count")]))) == []
