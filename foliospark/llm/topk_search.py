@@ -48,11 +48,15 @@ def _select(k: int):
             width = max((x.value_lengths().to_numpy(zero_copy_only=False).max(initial=0) for x in lists))
             q, c = (_matrix(x, int(width)) for x in lists)
             query_id, query = (left.column(x).to_numpy() for x in ("query_id", "query"))
-            ids, copies = (right.column(x).to_numpy() for x in ("vec_id", "copies"))
+            name, copies = (right.column(x).to_numpy() for x in ("name", "copies"))
+            unnamed = right.column("vec_id").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+            ids = right.column("vec_id").combine_chunks().fill_null(0).to_numpy()
             tile = right.column("tile")[0].as_py()
             for at in range(0, len(q), STEP):
                 score = _products(q[at : at + STEP], c)
-                score[query_id[at : at + STEP, None] == ids[None, :]] = np.iinfo(np.int64).min
+                # A query is no candidate of its own; further rows equal to it are.
+                own = (query[at : at + STEP, None] == name[None, :]) & (copies[None, :] == 1)
+                score[own] = np.iinfo(np.int64).min
                 if len(ids) > k:
                     least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
                     row, col = np.nonzero(score >= least[:, None])
@@ -60,18 +64,19 @@ def _select(k: int):
                     row, col = np.nonzero(score > np.iinfo(np.int64).min)
                 found = score[row, col]
                 row, col, found = (x[found > np.iinfo(np.int64).min] for x in (row, col, found))
-                order = np.lexsort((ids[col], -found, row))
+                order = np.lexsort((ids[col], unnamed[col], -found, row))
                 row, col, found = row[order], col[order], found[order]
                 # A row that the table holds several times stands in the list as often, up to k times.
-                times = np.minimum(copies[col], k)
+                times = np.minimum(copies[col] - (query[at + row] == name[col]), k)
                 before = np.cumsum(times) - times
                 before -= np.repeat(before[np.searchsorted(row, np.unique(row))], np.unique(row, return_counts=True)[1])
                 times = np.clip(k - before, 0, times)
                 row, col, found = (np.repeat(x, times) for x in (row, col, found))
-                for name, x in zip(out, (query_id[at + row], query[at + row], np.full(len(row), tile, np.int32), ids[col], found), strict=True):
-                    out[name].append(x)
+                listed = pa.array(ids[col], pa.int64(), mask=unnamed[col])
+                for kind, x in zip(out, (query_id[at + row], query[at + row], np.full(len(row), tile, np.int32), listed, found), strict=True):
+                    out[kind].append(pa.array(x))
         kinds = {"query_id": pa.int64(), "query": pa.int64(), "tile": pa.int32(), "vec_id": pa.int64(), "score": pa.int64()}
-        return pa.table({n: pa.array(np.concatenate(v) if v else [], kinds[n]) for n, v in out.items()})
+        return pa.table({n: pa.chunked_array(v, kinds[n]) for n, v in out.items()})
 
     return run
 
@@ -81,16 +86,17 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, tile: int = TILE) -> DataFr
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on its rows. Components are floored multiples of
     1/1024, the score is the inner product of integers, ties go to the smaller vec_id; fewer candidates give fewer
-    rows. Rows whose vec_id or vector is null, or that hold a null or non-finite component, take no part. A row is no
-    candidate for queries of its own vec_id. Repeated rows are one query and as many candidates as there are rows; rows
-    that share a vec_id but not the vector are separate queries. Shorter vectors count as filled up with zeros. Scores
+    rows. Rows whose vector is null or holds a null or non-finite component take no part. A row is no candidate of its own;
+    rows without a vec_id are candidates, behind all others of a score, and ask nothing. Repeated rows are one query and as
+    many candidates as there are rows, less the one that asks; rows that share a vec_id but not the vector are
+    separate queries and candidates of each other. Shorter vectors count as filled up with zeros. Scores
     beyond 64 bits are held to the largest number. An empty table gives an empty one.
     """
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     vector = F.col("embedding").cast("array<double>")
-    sound = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists(vector, odd))
+    sound = vectors.filter(F.col("embedding").isNotNull() & ~F.exists(vector, odd))
     rows = common.stored(
-        sound.select("vec_id", vector.alias("embedding"), is_query.alias("asks")).groupBy("vec_id", "embedding").agg(F.max("asks").alias("asks"), F.count("*").alias("copies"))
+        sound.select("vec_id", vector.alias("embedding"), F.coalesce(is_query & F.col("vec_id").isNotNull(), F.lit(False)).alias("asks")).groupBy("vec_id", "embedding").agg(F.max("asks").alias("asks"), F.count("*").alias("copies"))
     )
     name = F.xxhash64("vec_id", "embedding")
     n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
@@ -104,6 +110,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, tile: int = TILE) -> DataFr
     )
     candidates = rows.select(
         "vec_id",
+        name.alias("name"),
         # Under a name of its own: both sides read one table, and Spark would drop a column that they share.
         F.col("embedding").alias("vector"),
         "copies",
@@ -111,7 +118,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, tile: int = TILE) -> DataFr
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
     lists = queries.groupBy("block", "tile").cogroup(candidates.groupBy("block", "tile")).applyInArrow(_select(k), LIST)
-    best = [F.desc("score"), F.asc("vec_id")]
+    best = [F.desc("score"), F.asc_nulls_last("vec_id")]
     while tiles > FAN_IN:
         lists = lists.withColumn("tile", F.floor(F.col("tile") / FAN_IN).cast("int"))
         lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query", "tile").orderBy(*best))).filter(F.col("rank") <= k).drop("rank")
@@ -128,15 +135,15 @@ QUERIES = {"op10_topk_search": op10_topk_search}
 ORACLES = {
     "op10_topk_search": """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  FROM v q JOIN v c ON q.row <> c.row
   WHERE q.vec_id % 100 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS place FROM s
 )
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 10
 """

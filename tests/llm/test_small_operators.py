@@ -80,12 +80,12 @@ def test_top_k_against_all_products(spark):
     odd = [(500, None), (600, [0.1, None, 0.2, 0.3, 0.1]), (700, [float("nan")] + [0.1] * 4), (800, [float("inf")] + [0.0] * 4), (None, [0.5] * 5)]
     frame = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>").selectExpr("*", "vec_id AS copies", "vec_id AS query_id")
     got = sorted(map(tuple, topk_search.top_k(frame, F.col("vec_id") % 100 == 0, 10, tile=64).collect()))
-    whole = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors}
+    whole = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int) for i, v in [*vectors, odd[-1]]}
     want = []
-    for q in (i for i in whole if i % 100 == 0):
-        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:10]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert got == sorted(want)
+    for q in (i for i in whole if i is not None and i % 100 == 0):
+        best = sorted((-int(whole[q] @ v), i is None, i) for i, v in whole.items() if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, _, i) in enumerate(best)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_top_k_of_few_repeated_and_huge(spark):
@@ -95,6 +95,26 @@ def test_top_k_of_few_repeated_and_huge(spark):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_leaves_out_only_the_row_itself(spark):
+    rows = [(0, [1.0]), (0, [1.0]), (0, [3.0]), (1, [2.0]), (None, [2.0])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 4)
+    lists = {}
+    for r in got.orderBy("rank").collect():
+        lists.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score // 1024**2))
+    # Two different vectors ask under one id; each is a candidate of the other, and the copy of the first too.
+    assert sorted(map(str, lists[0])) == sorted(map(str, [(1, 0, 3), (2, 1, 2), (3, None, 2), (4, 0, 1), (1, 1, 6), (2, None, 6), (3, 0, 3), (4, 0, 3)]))
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    pages = spark.createDataFrame([("http://a.net/x", 1, 2, "h")], "url string, _host int, _path int, host string")
+    (row,) = url_filter.judge_urls(pages, spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")).collect()
+    assert (row._host, row._path, row.host, row.rule) == (1, 2, "a.net", "net/")
+    spark.createDataFrame([(1, "a passage of some eight words in all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "clean", 5, "k", "r"), (2, "x a passage of some eight words in all y", 6, "k", "r")], "doc_id long, text string, _leak_key int, key string, row string")
+    kept = decontaminate.stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "clean", 5, "k", "r")]
+
+
 def test_leaks_with_substitutions(spark):
     rand = random.Random(4)
     word = lambda: "".join(rand.choice("abcdefghij") for _ in range(5))
