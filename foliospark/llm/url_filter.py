@@ -68,8 +68,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     lengths = [r[0] for r in rules.select(F.length("path").alias("n")).distinct().collect()]
     blocks = -(-max(listed.count(), 1) * BITS_PER_KEY // (WORDS * 64))
     host, path = host_and_path(F.col("url"))
-    parts = pages.select("*", host.alias("_host"), path.alias("_path")).drop("host", "path", "rule", "verdict")
-    places = parts.select(F.col("_host").alias("host"), F.col("_path").alias("path")).filter("host <> ''").distinct()
+    # The columns travel in one, so that no name of theirs can clash.
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    parts = pages.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"))
+    places = parts.select("host", "path").filter("host <> ''").distinct()
     # Few bytes, but much to work out for each: not to be merged into few partitions by size.
     places = places.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("host", "path"))
     labels = F.split("host", r"\.")
@@ -81,12 +83,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     candidates = candidates.select("host", "path", F.concat("ending", "start").alias("key"))
     fits = possible(candidates, listed.select("key"), blocks).join(listed, "key")
     best = F.max(F.struct(F.length("key").alias("n"), "verdict", "key"))
-    chosen = fits.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(best.alias("b"))
-    judged = parts.join(chosen, ["_host", "_path"], "left")
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return judged.select(
-        *kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict")
-    )
+    chosen = fits.groupBy("host", "path").agg(best.alias("b"))
+    judged = parts.join(chosen, ["host", "path"], "left")
+    return judged.select("row.*", "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
