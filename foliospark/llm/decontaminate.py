@@ -110,9 +110,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item; all others stay as they are."""
     found = common.stored(leaks(docs, common.table(spark, sf_dir, "benchmark")).select("key").distinct())
-    marked = docs.withColumn("_leak_key", common.row_key("doc_id", "text"))
-    gone = _small(found.withColumnRenamed("key", "_leak_key"), found.count())
-    return marked.join(gone, "_leak_key", "left_anti").drop("_leak_key")
+    # The columns travel in one, so that no name of theirs can clash.
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.row_key("doc_id", "text").alias("key"))
+    return marked.join(_small(found, found.count()), "key", "left_anti").select("row.*")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
