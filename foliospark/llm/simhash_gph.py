@@ -15,7 +15,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.llm import common
 from foliospark.llm.components import connected_components
@@ -251,31 +251,37 @@ def near_groups(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     A null doc_id never names a component unless the component has no other. Rows may repeat; an empty table gives an
     empty one.
     """
-    marked = common.stored(documents.select("text", "doc_id").mapInArrow(_fingerprints, "doc_id long, fingerprint long"))
-    values = common.stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(values.select("fingerprint"), distance))
-    placed = values.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
-    )
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    marked = common.stored(documents.select("text", "doc_id").mapInArrow(_fingerprints, f"doc_id {kind}, fingerprint long"))
+    placed = fingerprint_roots(marked, F.min("doc_id").alias("least"), distance)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     components = common.stored(placed.join(named, "root").select("fingerprint", "component_id"))
     return marked.join(components, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def fingerprint_roots(marked: DataFrame, least: Column, distance: int = DISTANCE) -> DataFrame:
+    """fingerprint, least (an aggregate over its rows) and root: one fingerprint of the group that links lead to."""
+    values = common.stored(marked.groupBy("fingerprint").agg(least))
+    roots = connected_components(links(values.select("fingerprint"), distance))
+    placed = values.join(roots, F.col("fingerprint") == F.col("node"), "left")
+    return common.stored(placed.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the least doc_id, of equal ones the one with the least content.
 
-    Rows that are equal in every column are one document. Documents without words share a fingerprint, so one stays.
+    Rows that are equal in every column are one document. Groups are told apart by their fingerprints, not by doc_ids, so
+    unlike rows that share a doc_id both stay. Documents without words share a fingerprint, so one stays; a document without
+    an id comes behind all others of its group.
     """
     key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     names = [f"_{i}" for i in range(len(docs.columns))]
     numbered = docs.select(key.alias("_key"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    # Documents without an id get one from their content for the time being, behind all others.
-    ids = docs.select(F.coalesce(F.col("doc_id"), F.abs(key.bitwiseOR(F.lit(1).cast("long")))).alias("doc_id"), "text", key.alias("_key"))
-    groups = near_groups(ids)
-    first = common.stored(
-        ids.select("doc_id", "_key").join(groups.select(F.col("component_id").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.min("_key").alias("_key")).select("_key")
-    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = common.stored(docs.select("text", "doc_id", key.alias("_key")).mapInArrow(_fingerprints, f"doc_id {kind}, _key long, fingerprint long"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    placed = fingerprint_roots(marked, F.min(order).alias("least"))
+    first = common.stored(placed.groupBy("root").agg(F.min("least").alias("least")).select("least._key"))
     kept = numbered.join(first, "_key", "left_semi").dropDuplicates(["_key"])
     return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 

@@ -114,3 +114,13 @@ def test_stage_keeps_one_of_each_group(spark):
     out = gph.stage(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[1], rows[4], rows[5]], key=str)
+
+
+def test_unlike_rows_of_one_id_both_stay(spark):
+    texts = ["one text about rivers and their stones that nobody else wrote down", "a wholly different text on towers with windows facing the northern sea"]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[1] + " "), (None, texts[0]), (7, texts[0])]
+    kept = sorted((r.doc_id, r.text) for r in gph.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    assert kept == [(3, texts[1] + " "), (5, texts[0])]
+    named = spark.createDataFrame([(f"d{i}", t) for i, (_, t) in enumerate(rows)], "doc_id string, text string")
+    assert sorted(r.doc_id for r in gph.stage(spark, named, "").collect()) == ["d0", "d1"]
+    assert {r.doc_id: r.component_id for r in gph.near_groups(named).collect()} == {"d0": "d0", "d1": "d1", "d2": "d1", "d3": "d0", "d4": "d0"}
