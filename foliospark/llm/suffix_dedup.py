@@ -225,7 +225,7 @@ def remove_repeats(documents: DataFrame, threshold: int = THRESHOLD, with_text:
     numbered = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)]
     keyed = documents.select(common.row_key("doc_id", "text").alias("key"), F.col("text"), *numbered)
     found = common.stored(
-        repeated_ranges(keyed.select("key", "text"), threshold).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+        repeated_ranges(keyed.select("key", "text"), threshold).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
     )
     rows = keyed.join(found, "key", "left").drop("key")
     shape = T.StructType(

@@ -66,3 +66,12 @@ def test_stage_keeps_columns_and_rows(spark):
     out = stage(spark, docs, "")
     assert out.columns == docs.columns
     assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(1, "é", 1), (2, "b", 1), (3, "kept", 4)}
+
+
+def test_many_equal_rows(spark):
+    """Equal rows share one list of ranges, however many they are."""
+    rand = random.Random(8)
+    text = "".join(rand.choice("abcdefgh ") for _ in range(900))
+    docs = spark.createDataFrame([(1, text)] * 2000 + [(2, "kept " * 30)], "doc_id long, text string").repartition(8)
+    out = remove_repeats(docs, with_text=False).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert {tuple(r) for r in out} == {(1, 900, 1, 2000), (2, 0, 0, 1)}
