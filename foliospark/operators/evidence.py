@@ -48,6 +48,10 @@ def check_claims(answers: DataFrame, sources: DataFrame) -> DataFrame:
         F.col("claim.quote").alias("quote"),
     )
     found = rows.join(sources.select("answer_id", "source_id", "content"), ["answer_id", "source_id"], "left")
+    return found.withColumn("valid", _valid_claim()).drop("content")
+
+
+def _valid_claim() -> Column:
     ok = (
         F.col("text").isNotNull()
         & ~is_blank(F.col("text"))
@@ -55,14 +59,32 @@ def check_claims(answers: DataFrame, sources: DataFrame) -> DataFrame:
         & F.length("quote").between(S.MIN_QUOTE, S.MAX_QUOTE)
         & (F.instr(F.col("content"), F.col("quote")) > 0)
     )
-    return found.withColumn("valid", F.coalesce(ok, F.lit(False))).drop("content")
+    return F.coalesce(ok, F.lit(False))
 
 
-def answer_outcomes(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per answer: accepted, abstained, INVALID_ANSWER or UNSUPPORTED_CITATION. One bad claim voids all."""
-    parsed = parse_claims(answers).select("answer_id", F.size("claims").alias("n"), F.col("claims").isNull().alias("broken"))
-    checked = check_claims(answers, sources).groupBy("answer_id").agg(
-        F.bool_and("valid").alias("all_valid"), F.count(F.lit(1)).alias("claims")
+def _judged(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per answer with its outcome and its claims, from one parse, one look-up of sources and one grouping.
+
+    An answer has six claims at most, so the collected list is bounded. An answer without claims keeps one empty row.
+    """
+    parsed = parse_claims(answers).select("answer_id", F.size("claims").alias("n"), F.col("claims").isNull().alias("broken"), F.posexplode_outer("claims").alias("place", "claim"))
+    rows = parsed.select(
+        "answer_id",
+        "n",
+        "broken",
+        (F.col("place") + 1).cast("long").alias("claim_no"),
+        F.col("claim.text").alias("text"),
+        F.col("claim.source_id").alias("source_id"),
+        F.col("claim.quote").alias("quote"),
+    )
+    found = rows.join(sources.select("answer_id", "source_id", "content"), ["answer_id", "source_id"], "left")
+    part = F.when(F.col("claim_no").isNotNull(), F.struct("claim_no", "text", "source_id", "quote"))
+    grouped = found.withColumn("valid", _valid_claim()).groupBy("answer_id").agg(
+        F.first("n").alias("n"),
+        F.first("broken").alias("broken"),
+        F.bool_and("valid").alias("all_valid"),
+        F.count("claim_no").alias("claims"),
+        F.array_sort(F.collect_list(part)).alias("parts"),
     )
     outcome = (
         F.when(F.col("broken"), "INVALID_ANSWER")
@@ -70,21 +92,16 @@ def answer_outcomes(answers: DataFrame, sources: DataFrame) -> DataFrame:
         .when(F.col("all_valid"), "accepted")
         .otherwise("UNSUPPORTED_CITATION")
     )
-    return parsed.join(checked, "answer_id", "left").select(
-        "answer_id", outcome.alias("outcome"), F.coalesce("claims", F.lit(0)).cast("long").alias("claims")
-    )
+    return grouped.withColumn("outcome", outcome)
 
 
-def assemble_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """Answer text with numbered claims and its citation list, for accepted and abstained answers.
+def answer_outcomes(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per answer: accepted, abstained, INVALID_ANSWER or UNSUPPORTED_CITATION. One bad claim voids all."""
+    return _judged(answers, sources).select("answer_id", "outcome", "claims")
 
-    An answer has six claims at most, so the collected list is bounded.
-    """
-    outcomes = answer_outcomes(answers, sources).where(F.col("outcome").isin("accepted", "abstained"))
-    claims = check_claims(answers, sources)
-    lists = claims.groupBy("answer_id").agg(
-        F.array_sort(F.collect_list(F.struct("claim_no", "text", "source_id", "quote"))).alias("parts")
-    )
+
+def assemble_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """Answer text with numbered claims and its citation list, for accepted and abstained answers."""
     text = F.array_join(
         F.transform(F.col("parts"), lambda p: F.concat(p["text"], F.lit(" ["), p["claim_no"].cast("string"), F.lit("]"))),
         "\n\n",
@@ -92,10 +109,11 @@ def assemble_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
     cited = F.array_join(
         F.transform(F.col("parts"), lambda p: F.concat(p["claim_no"].cast("string"), F.lit(":"), p["source_id"])), ","
     )
-    return outcomes.join(lists, "answer_id", "left").select(
+    empty = F.size("parts") == 0
+    return _judged(answers, sources).where(F.col("outcome").isin("accepted", "abstained")).select(
         "answer_id",
-        F.coalesce(text, F.lit(NO_EVIDENCE)).alias("answer"),
-        F.coalesce(cited, F.lit("")).alias("citations"),
+        F.when(empty, F.lit(NO_EVIDENCE)).otherwise(text).alias("answer"),
+        F.when(empty, F.lit("")).otherwise(cited).alias("citations"),
         (F.col("outcome") == "abstained").alias("abstained"),
     )
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from foliospark import schemas as S
 from foliospark.functions.text import ASK_PREFIX, contains_literal, model_task, pseudonym, row_key, workflow
 from foliospark.operators.chunking import current_chunks, with_currency
-from foliospark.operators.ranking import top_rows
+from foliospark.operators.ranking import full_rank, top_rows
 
 
 def job_list(jobs: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -45,9 +45,9 @@ def _with_source(newest: DataFrame, chunks: DataFrame, chapters: DataFrame) -> D
 
 
 def overview(
-    jobs: DataFrame, chunks: DataFrame, chapters: DataFrame, insights: DataFrame, facts: DataFrame
+    projects: DataFrame, chunks: DataFrame, chapters: DataFrame, insights: DataFrame, facts: DataFrame
 ) -> DataFrame:
-    """One row per project with the three bounded lists; the unbounded job list stays ``job_list``."""
+    """One row per project, also one without any chapter, with the three bounded lists; the unbounded job list stays ``job_list``."""
     c = (
         chunk_list(chunks, chapters, insights)
         .groupBy("project_id")
@@ -71,8 +71,7 @@ def overview(
         .groupBy("project_id")
         .agg(F.array_sort(F.collect_list(insight)).alias("insights"), F.array_sort(F.collect_list(fact)).alias("facts"))
     )
-    projects = jobs.select("project_id").distinct()
-    joined = projects.join(c, "project_id", "left").join(n, "project_id", "left")
+    joined = projects.select("project_id").distinct().join(c, "project_id", "left").join(n, "project_id", "left")
     for name in ("chunks", "insights", "facts"):
         joined = joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))
     return joined
@@ -160,6 +159,16 @@ def planning_list(rows: DataFrame, order: list[str], archived: bool = False) ->
     return rows.where(hidden if archived else ~hidden).orderBy("project_id", *order)
 
 
+def planning_places(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Every row, live and archived, with its ``place`` in the view it is shown in.
+
+    A place is a column, so it outlasts joins, unions and files, which the order of rows does not. ``keys`` name the view
+    besides the project; a project with a third of all rows is ranked in segments.
+    """
+    marked = rows.withColumn("archived", F.col("deleted_at").isNotNull())
+    return full_rank(marked, [*keys, "archived", "project_id"], order, "place")
+
+
 def project_list(projects: DataFrame) -> DataFrame:
     return projects.orderBy(F.desc("created_at"), "project_id")
 
@@ -168,13 +177,17 @@ def chapter_list(chapters: DataFrame) -> DataFrame:
     return chapters.orderBy("project_id", "position", "chapter_id")
 
 
+# The first chapter of a new project.
+FIRST_TITLE, FIRST_DOCUMENT = "Bab 1", '{"type":"doc","content":[{"type":"paragraph"}]}'
+
+
 def first_chapters(projects: DataFrame, chapters: DataFrame) -> DataFrame:
     """The default chapter of every project that has none."""
     empty = projects.join(chapters.select("project_id"), "project_id", "left_anti")
     return empty.select(
         "project_id",
-        F.lit("Bab 1").alias("title"),
-        F.lit('{"type":"doc","content":[{"type":"paragraph"}]}').alias("content_json"),
+        F.lit(FIRST_TITLE).alias("title"),
+        F.lit(FIRST_DOCUMENT).alias("content_json"),
         F.lit("").alias("plain_text"),
         F.lit(0).cast("long").alias("revision_number"),
         F.lit(0).cast("long").alias("position"),

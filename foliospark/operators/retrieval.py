@@ -14,8 +14,8 @@ from foliospark.operators.ranking import top_rows
 
 
 def checked_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split into queries that may run and rejects with their code."""
-    too_long = F.length("query") > S.MAX_QUERY_LENGTH
+    """Split into queries that may run and rejects with their code. A null query may run and finds nothing."""
+    too_long = F.coalesce(F.length("query") > S.MAX_QUERY_LENGTH, F.lit(False))
     return (
         queries.where(~too_long),
         queries.where(too_long).withColumn("code", F.lit("QUERY_TOO_LONG")),
@@ -105,24 +105,38 @@ def _word_matches(terms: DataFrame, postings: DataFrame) -> DataFrame:
 def _fact_matches(terms: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
     """The best approved fact per (query, chunk), among facts whose quote stands in the chunk.
 
-    Claims meet the query words first, so only chunks with a matching fact have their text compared.
+    Claims meet the query words first. Facts stored with ``grounded`` (see ``with_grounding``) join the keys of chunks only;
+    without it, the text of chunks that have a matching fact is compared.
     """
-    approved = exploded_words(
-        facts.where(F.col("status") == "approved"), "claim", "fact_id", "project_id", "chunk_id", "quote"
-    )
+    stored = "grounded" in facts.columns
+    usable = facts.where((F.col("status") == "approved") & (F.col("grounded") if stored else F.lit(True)))
+    carry = ["fact_id", "project_id", "chunk_id", *([] if stored else ["quote"])]
     per_fact = (
-        approved.join(terms, ["project_id", "token"])
-        .groupBy("query_id", "fact_id", "project_id", "chunk_id", "quote")
+        exploded_words(usable, "claim", *carry)
+        .join(terms, ["project_id", "token"])
+        .groupBy("query_id", *carry)
         .agg(F.count(F.lit(1)).alias("fact_hits"))
     )
+    if stored:
+        found = per_fact.join(chunks.select(*CHUNK_KEYS), ["chunk_id", "project_id"])
+    else:
+        found = per_fact.join(chunks.select("content", *CHUNK_KEYS), ["chunk_id", "project_id"]).where(F.instr(F.col("content"), F.col("quote")) > 0)
     return (
-        per_fact.join(chunks.select("content", *CHUNK_KEYS), ["chunk_id", "project_id"])
-        .where(F.instr(F.col("content"), F.col("quote")) > 0)
-        .groupBy("query_id", *CHUNK_KEYS)
+        found.groupBy("query_id", *CHUNK_KEYS)
         .agg(F.max("fact_hits").alias("fact_hits"))
     )
 
 
+def with_grounding(facts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The facts with ``grounded``: whether the quote stands in the chunk. A chunk never changes, so this is stored once, with the fact.
+
+    A fact whose chunk is not there, or without a quote, is not grounded.
+    """
+    text = chunks.select("chunk_id", "project_id", F.col("content").alias("_content"))
+    joined = facts.join(text, ["chunk_id", "project_id"], "left")
+    return joined.withColumn("grounded", F.coalesce(F.instr(F.col("_content"), F.col("quote")) > 0, F.lit(False))).drop("_content")
+
+
 def retrieve(
     queries: DataFrame,
     chunks: DataFrame,

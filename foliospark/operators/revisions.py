@@ -246,6 +246,18 @@ def restore_saves(requests: DataFrame, versions: DataFrame, present: DataFrame)
     )
 
 
+def refused_restores(requests: DataFrame, versions: DataFrame, present: DataFrame) -> DataFrame:
+    """event_id and code of the restores that ``restore_saves`` makes no save of: the chapter is gone, or never had that version.
+
+    A request that names no chapter or no revision is refused for the same reasons; together the two hold every request.
+    """
+    chapters = present.select("chapter_id").distinct().withColumn("_chapter", F.lit(True))
+    known = versions.select("chapter_id", "revision").distinct().withColumn("_version", F.lit(True))
+    seen = requests.join(chapters, "chapter_id", "left").join(known, ["chapter_id", "revision"], "left")
+    code = F.when(F.col("_chapter").isNull(), "NOT_FOUND").when(F.col("_version").isNull(), "VERSION_NOT_FOUND")
+    return seen.select("event_id", code.alias("code")).where(F.col("code").isNotNull())
+
+
 def late_saves(outcomes: DataFrame) -> DataFrame:
     """Saves that came too late: based on a revision already replaced. Time plays no part."""
     return outcomes.where((F.col("outcome") == "REVISION_CONFLICT") & (F.col("base_revision") < F.col("revision_met"))).withColumn(

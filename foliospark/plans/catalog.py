@@ -158,7 +158,7 @@ _BOOSTED = """(SELECT query_id, chunk_id, coalesce(w.hits, 0) + coalesce(f.hits,
 
 @query("retrieve_fact_boost", sql(_RANKED.replace("hits h", _BOOSTED), "word_hits", "fact_hits"))
 def retrieve_fact_boost(c: Corpus) -> DataFrame:
-    return retrieval.retrieve(c.questions, c.chunks, c.chapter_keys, c.jobs, c.facts, index=c.index_for(c.questions))
+    return retrieval.retrieve(c.questions, c.chunks, c.chapter_keys, c.jobs, c.grounded_facts, index=c.index_for(c.questions))
 
 
 def _asked_sql(body: str) -> str:
@@ -201,7 +201,7 @@ _EVIDENCE = (
     ),
 )
 def ask_evidence(c: Corpus) -> DataFrame:
-    found = retrieval.ask(c.questions, c.characters, c.chunks, c.chapter_keys, c.jobs, c.facts, c.index)
+    found = retrieval.ask(c.questions, c.characters, c.chunks, c.chapter_keys, c.jobs, c.grounded_facts, c.index)
     return found.select("query_id", "evidence_rank", "chunk_id", "chapter_id", "title", "source_revision", "chunk_index", "score")
 
 
@@ -220,7 +220,7 @@ _SOUND = "item_id % 9 <> 4 AND item_id % 11 <> 5"
 def ask_answers(c: Corpus) -> DataFrame:
     """Only owners are answered; a question without evidence has a row that says so."""
     own = retrieval.asked_by_owners(c.asked, c.projects)
-    return retrieval.answers_to(own, retrieval.ask(own, c.characters, c.chunks, c.chapter_keys, c.jobs, c.facts, c.index))
+    return retrieval.answers_to(own, retrieval.ask(own, c.characters, c.chunks, c.chapter_keys, c.jobs, c.grounded_facts, c.index))
 
 
 @query(
@@ -248,7 +248,7 @@ def search_rejects(c: Corpus) -> DataFrame:
     ),
 )
 def evidence_labels(c: Corpus) -> DataFrame:
-    found = retrieval.ask(c.questions, c.characters, c.chunks, c.chapter_keys, c.jobs, c.facts, c.index)
+    found = retrieval.ask(c.questions, c.characters, c.chunks, c.chapter_keys, c.jobs, c.grounded_facts, c.index)
     return context.evidence_labels(found).select("query_id", F.array_join("labels", "; ").alias("labels"))
 
 
@@ -263,7 +263,7 @@ def evidence_labels(c: Corpus) -> DataFrame:
 )
 def question_payload(c: Corpus) -> DataFrame:
     """What is sent for each question, as its reader parses it."""
-    found = retrieval.ask(c.questions, c.characters, c.chunks, c.chapter_keys, c.jobs, c.facts, c.index)
+    found = retrieval.ask(c.questions, c.characters, c.chunks, c.chapter_keys, c.jobs, c.grounded_facts, c.index)
     made = retrieval.question_payload(c.questions, found, c.chunks)
     source = "chunk_id string, chapter_id bigint, title string, source_revision bigint, chunk_index bigint, content string"
     read = made.select("query_id", F.from_json("payload", "question string, sources array<struct<" + ",".join(":".join(f.split()) for f in source.split(", ")) + ">>").alias("p"))
@@ -517,6 +517,25 @@ def version_export(c: Corpus) -> DataFrame:
     return texts.select("chapter_id", "revision", digest("text").alias("text_hash"))
 
 
+@query(
+    "restore_rejects",
+    sql(
+        """SELECT e.event_id, CASE WHEN c.chapter_id IS NULL THEN 'NOT_FOUND' ELSE 'VERSION_NOT_FOUND' END AS code
+           FROM (SELECT event_id, user_id + CASE WHEN k >= 95 THEN 1000000000 ELSE 0 END AS chapter_id, k % 8 AS revision FROM ev) e
+           LEFT JOIN chapters c ON c.chapter_id = e.chapter_id
+           WHERE NOT EXISTS (SELECT 1 FROM versions v WHERE v.chapter_id = e.chapter_id AND v.revision = e.revision)""",
+        "ev",
+        "chapters",
+        "versions",
+    ),
+)
+def restore_rejects(c: Corpus) -> DataFrame:
+    """A restore per event: some chapters are unknown, some never had the revision asked for."""
+    states = cut_lineage(_states(c))
+    wanted = c.saves.select("event_id", "chapter_id", F.col("base_revision").alias("revision"), "at_us")
+    return revisions.refused_restores(wanted, revisions.chapter_versions(states), revisions.present_chapters(states))
+
+
 @query(
     "version_restore",
     sql(
@@ -820,31 +839,55 @@ def stream_debounce(c: Corpus) -> DataFrame:
     return replay.drain(folds.stream_debounce(c.shape_saves(_event_stream(c)), 21600))
 
 
-@query(
-    "stream_refresh",
-    sql(
-        f"""SELECT chapter_id, max(event_id) AS source_revision, 0 AS chunk_index, md5(arg_max(body, event_id)) AS text_hash
-            FROM (SELECT *, sum(CASE WHEN prev IS NULL OR at_us - prev > {_SIX_HOURS} THEN 1 ELSE 0 END) OVER (PARTITION BY chapter_id ORDER BY at_us, event_id) AS run
-              FROM (SELECT user_id AS chapter_id, event_id, at_us, event_type || ' ' || props AS body, lag(at_us) OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS prev FROM ev))
-            GROUP BY chapter_id, run HAVING max(at_us) + {_SIX_HOURS} <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events)""",
-        "ev",
-    ),
-)
-def stream_refresh(c: Corpus) -> DataFrame:
-    """Chunks that the refresh stream stores: the latest text of every run of saves that is over."""
+_RUNS = f"""SELECT chapter_id, source_revision, at_us, failing >= try AS failed, try - CASE WHEN failing >= try THEN 0 ELSE 1 END AS attempts, body FROM (
+    SELECT *, saved + {_SIX_HOURS} + CASE try WHEN 1 THEN 0 WHEN 2 THEN 7200000000 ELSE 21600000000 END AS at_us FROM (
+      SELECT user_id AS chapter_id, event_id AS source_revision, at_us AS saved, event_type || ' ' || props AS body,
+        CASE WHEN k % 10 = 0 THEN 3 WHEN k % 10 = 1 THEN 1 WHEN k % 10 = 2 THEN 2 ELSE 0 END AS failing, lead(at_us) OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS next
+      FROM ev), range(1, 4) AS tries(try) WHERE failing >= try - 1)
+    WHERE (next IS NULL OR at_us < next) AND at_us <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events)"""
+
+
+def _refreshed(c: Corpus) -> str:
+    """Folder of tables after the refresh has taken in every event as a save; some runs of some saves fail, of others all."""
+    kind = F.col("k") % 10
     saves = _event_stream(c).select(
         F.col("user_id").alias("chapter_id"),
         F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("project_id"),
         F.col("event_id").alias("revision_number"),
         F.concat_ws(" ", "event_type", "props").alias("plain_text"),
         "at_us",
+        F.when(kind == 0, 3).when(kind == 1, 1).when(kind == 2, 2).otherwise(0).cast("long").alias("failing"),
     )
     folder = run_folder(c.spark, "refresh")
-    refresh.refresh_index(saves, f"{folder}/tables", f"{folder}/state", 21600).awaitTermination()
-    stored = refresh.stored_chunks(c.spark, f"{folder}/tables")
+    refresh.refresh_index(saves, f"{folder}/tables", f"{folder}/state", 21600, backoff_seconds=7200).awaitTermination()
+    return f"{folder}/tables"
+
+
+@query(
+    "stream_refresh",
+    sql(f"SELECT chapter_id, source_revision, 0 AS chunk_index, md5(body) AS text_hash FROM ({_RUNS}) WHERE NOT failed", "ev"),
+)
+def stream_refresh(c: Corpus) -> DataFrame:
+    """Chunks that the refresh stream stores: the latest text of every chapter that has rested and could be indexed."""
+    stored = refresh.stored_chunks(c.spark, _refreshed(c))
     return stored.select("chapter_id", "source_revision", F.col("chunk_index").cast("int").alias("chunk_index"), digest("content").alias("text_hash"))
 
 
+@query(
+    "stream_index_jobs",
+    sql(
+        f"""SELECT chapter_id, source_revision, CASE WHEN failed THEN 'failed' ELSE 'ready' END AS status, attempts, failed AND attempts >= 3 AS dead_letter, at_us
+            FROM ({_RUNS}) QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY at_us DESC, source_revision DESC) = 1""",
+        "ev",
+    ),
+)
+def stream_index_jobs(c: Corpus) -> DataFrame:
+    """The job of every chapter after the refresh, from the keyed table that compaction leaves."""
+    folder = _refreshed(c)
+    refresh.compact_jobs(c.spark, folder)
+    return refresh.latest_jobs(c.spark, folder).select("chapter_id", "source_revision", "status", F.col("attempts").cast("int").alias("attempts"), "dead_letter", "at_us")
+
+
 # --- context ------------------------------------------------------------------------------------------------
 
 
@@ -960,7 +1003,7 @@ def overview_facts(c: Corpus) -> DataFrame:
     "memory_overview",
     sql(
         f"""SELECT p.project_id, coalesce(c.chunks, '') AS chunks, coalesce(f.facts, '') AS facts, coalesce(i.insights, '') AS insights
-            FROM (SELECT DISTINCT project_id FROM jobs) p
+            FROM (SELECT project_id FROM projects UNION SELECT project_id FROM bibles) p
             LEFT JOIN (SELECT project_id, md5(string_agg(chunk_id, ',' ORDER BY rank)) AS chunks FROM (SELECT *, row_number() OVER
               (PARTITION BY project_id ORDER BY position, chapter_id, chunk_index) AS rank FROM current_chunks) WHERE rank <= 500 GROUP BY 1) c USING (project_id)
             LEFT JOIN (SELECT project_id, md5(string_agg(fact_id || (CASE WHEN cur THEN '+' ELSE '-' END), ',' ORDER BY rank)) AS facts FROM (
@@ -968,18 +1011,22 @@ def overview_facts(c: Corpus) -> DataFrame:
               JOIN chunks s USING (chunk_id) JOIN chapters c ON c.chapter_id = s.chapter_id) WHERE rank <= 100 GROUP BY 1) f USING (project_id)
             LEFT JOIN (SELECT project_id, md5(string_agg(insight_id, ',' ORDER BY rank)) AS insights FROM (SELECT *, row_number() OVER
               (PARTITION BY project_id ORDER BY created_at DESC, insight_id) AS rank FROM insights) WHERE rank <= 100 GROUP BY 1) i USING (project_id)""",
-        "jobs",
+        "projects",
+        "bibles",
         "current_chunks",
         "facts",
         "insights",
     ),
 )
 def memory_overview(c: Corpus) -> DataFrame:
+    """Some projects have a story bible and nothing else; their lists are empty."""
+    projects = c.projects.select("project_id").unionByName(c.bibles.select("project_id"))
+
     def listed(name: str, text: Callable[[Column], Column]) -> Column:
         joined = F.array_join(F.transform(name, text), ",")
         return F.when(F.size(name) > 0, F.md5(joined.cast("binary"))).otherwise("").alias(name)
 
-    whole = reports.overview(c.jobs, c.chunks, c.chapter_keys, c.insights, c.facts)
+    whole = reports.overview(projects, c.chunks, c.chapter_keys, c.insights, c.facts)
     return whole.select(
         "project_id",
         listed("chunks", lambda r: r["chunk_id"]),
@@ -1092,16 +1139,17 @@ def manuscript_export(c: Corpus) -> DataFrame:
 @query(
     "planning_lists",
     sql(
-        """SELECT 'outline_items' AS view, deleted_at IS NOT NULL AS archived, project_id, item_id AS row_id, title FROM outline
-           UNION ALL SELECT 'notes', deleted_at IS NOT NULL, project_id, note_id, title FROM notes
-           UNION ALL SELECT 'characters', deleted_at IS NOT NULL, project_id, character_id, name FROM characters""",
+        """SELECT view, archived, project_id, row_id, title, row_number() OVER (PARTITION BY view, archived, project_id ORDER BY place, row_id) AS place FROM (
+             SELECT 'outline_items' AS view, deleted_at IS NOT NULL AS archived, project_id, item_id AS row_id, title, position AS place FROM outline
+             UNION ALL SELECT 'notes', deleted_at IS NOT NULL, project_id, note_id, title, created_at FROM notes
+             UNION ALL SELECT 'characters', deleted_at IS NOT NULL, project_id, character_id, name, created_at FROM characters)""",
         "outline",
         "notes",
         "characters",
     ),
 )
 def planning_lists(c: Corpus) -> DataFrame:
-    """Both views, live and archived, of each planning table, in the order they are shown."""
+    """Both views, live and archived, of each planning table, with the place of each row in the view."""
 
     def view(rows: DataFrame, name: str, key: str, title: str, order: str) -> DataFrame:
         return rows.select(
@@ -1118,13 +1166,8 @@ def planning_lists(c: Corpus) -> DataFrame:
         .unionByName(view(c.notes, "notes", "note_id", "title", "created_at"))
         .unionByName(view(c.characters, "characters", "character_id", "name", "created_at"))
     )
-    shown = [
-        reports.planning_list(every, ["view", "order", "row_id"], archived).select(
-            "view", F.lit(archived).alias("archived"), "project_id", "row_id", "title"
-        )
-        for archived in (False, True)
-    ]
-    return shown[0].unionByName(shown[1])
+    placed = reports.planning_places(every, ["view"], [F.col("order"), F.col("row_id")])
+    return placed.select("view", "archived", "project_id", "row_id", "title", "place")
 
 
 @query("chapter_list", sql("SELECT project_id, position, chapter_id, title, revision_number FROM chapters", "chapters"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliospark.functions.text import md5_text
 from foliospark.operators.chunking import chunk_chapters
-from foliospark.operators.retrieval import query_terms
+from foliospark.operators.retrieval import query_terms, with_grounding
 from foliospark.session import run_folder
 from foliospark.sources.tables import read_index, write_index
 
@@ -121,7 +121,7 @@ class Corpus:
 
     def prepare(self) -> None:
         """Write the kept tables now, so that no query pays for them."""
-        self.chapter_keys, self.index_for(self.questions)
+        self.chapter_keys, self.index_for(self.questions), self.grounded_facts
 
     def index_for(self, queries: DataFrame) -> DataFrame:
         return self.index(query_terms(queries))
@@ -177,6 +177,11 @@ class Corpus:
             number.alias("created_at"),
         )
 
+    @cached_property
+    def grounded_facts(self) -> DataFrame:
+        """The facts as a product stores them: with whether their quote was found in the chunk."""
+        return self._kept_rows("grounded_facts", with_grounding(self.facts, self.chunks))
+
     @cached_property
     def insights(self) -> DataFrame:
         """An insight for every chunk of a labelled document."""

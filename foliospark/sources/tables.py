@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from foliospark.operators.access import scoped
 from foliospark.operators.chunking import append_chunks
 from foliospark.operators.retrieval import CARRIED, build_index
 from foliospark.schemas import TABLES
 
-# Chunks that one bucket of the token index stands for, and chunks whose words one task writes.
+# Chunks that one bucket of the token index stands for, buckets at most, and chunks whose words one task writes.
 CHUNKS_PER_BUCKET = 100_000
-CHUNKS_PER_TASK = 10_000
+MOST_BUCKETS = 256
+CHUNKS_PER_TASK = 100_000
+
+# Folders of the chunk table, by chapter.
+CHAPTER_BUCKETS = 64
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table with its declared schema, so nothing is inferred and filters reach the scan."""
-    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}").select(*TABLES[name].names)
 
 
 def read_owned(spark: SparkSession, folder: str, name: str, owner_id: str) -> DataFrame:
@@ -25,27 +29,43 @@ def read_owned(spark: SparkSession, folder: str, name: str, owner_id: str) -> Da
 
 
 def write_new_chunks(fresh: DataFrame, folder: str) -> None:
-    """Append only chunks the table does not hold; repeating the call adds nothing."""
+    """Append only chunks the table does not hold; repeating the call adds nothing.
+
+    The table lies in folders by chapter. Only the keys in the folders of the fresh chapters are read; their numbers, at
+    most as many as there are folders, are gathered for that.
+    """
     spark = fresh.sparkSession
     path = f"{folder}/story_chunks"
+    placed = fresh.withColumn("chapter_bucket", _chapter_bucket())
+    append_chunks(stored_chunks(spark, path, placed), placed).write.mode("append").partitionBy("chapter_bucket").parquet(path)
+
+
+def _chapter_bucket() -> Column:
+    return F.pmod(F.xxhash64("chapter_id"), F.lit(CHAPTER_BUCKETS)).cast("int")
+
+
+def stored_chunks(spark: SparkSession, path: str, fresh: DataFrame) -> DataFrame:
+    """The stored chunks in the folders that ``fresh`` (with chapter_bucket) touches; none if there is no table yet."""
     try:
-        existing = spark.read.schema(TABLES["story_chunks"]).parquet(path)
+        stored = spark.read.schema(T.StructType([*TABLES["story_chunks"].fields, T.StructField("chapter_bucket", T.IntegerType())])).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        existing = spark.createDataFrame([], TABLES["story_chunks"])
-    append_chunks(existing, fresh).write.mode("append").parquet(path)
+        return spark.createDataFrame([], TABLES["story_chunks"])
+    touched = [r[0] for r in fresh.select("chapter_bucket").distinct().collect()]
+    return stored.where(F.col("chapter_bucket").isin(touched))
 
 
 def write_index(chunks: DataFrame, path: str, chunks_per_bucket: int = CHUNKS_PER_BUCKET) -> None:
     """The token index with the keys of each chunk, in buckets by a hash of (project, token).
 
-    The number of buckets follows the number of chunks and is stored beside the rows. Rows are ranged by bucket, word
-    and chunk, so a frequent word is spread over as many tasks and files as its rows need, and a rare one lies in one.
+    The number of buckets follows the number of chunks up to 256 folders and is stored beside the rows. Rows are ranged by
+    bucket, project, word and chunk, so a frequent word is spread over as many tasks and files as its rows need, a rare one
+    lies in one, and inside a folder the least and greatest values of a file say whether it can hold a word.
     """
     spark = chunks.sparkSession
     count = chunks.count()
-    buckets = max(1, -(-count // chunks_per_bucket))
+    buckets = min(MOST_BUCKETS, max(1, -(-count // chunks_per_bucket)))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets, count // CHUNKS_PER_TASK)
     order = ["token_bucket", "project_id", "token", "chunk_id"]
     (

@@ -1,74 +1,206 @@
-"""Keeping the index up to date: accepted saves in, chunks of due chapters out.
+"""Keeping the index up to date: accepted saves in, chunks of due chapters out, with retries and dead letters.
 
-The debounce is the queue. An open run of saves keeps only its latest text in the state store; once the run is
-over, that text is chunked. Nothing scans what was indexed before, so a micro-batch costs what it brings.
+Each chapter has a job in the state store: its latest save, when it is due, and how often it has failed. A save puts the job
+back to the start, so a chapter is indexed once it has rested for the debounce time. A run that fails is due again after 30,
+60, then 120 seconds; after three failures the job is a dead letter until the next save. Timers in event time start the
+runs: what happens follows from the saves alone and not from how they fall into micro-batches. One chapter that
+cannot be indexed neither stops the stream nor holds up others.
 
-Three tables grow by one folder per micro-batch, and a repeated batch overwrites its own folder, so a restart
-repeats nothing: ``indexed_chapters`` (texts), ``story_chunks`` and ``job_log``. Chunks of replaced revisions stay
-as history; freshness decides at read time.
+Tables in the folder: ``job_log`` grows by one folder per micro-batch, a repeated batch overwrites its own; ``jobs`` is the
+newest job of each chapter up to a batch, made by ``compact_jobs``; ``story_chunks`` lies in folders by chapter and never takes
+a chunk twice. Chunks of replaced revisions stay as history; freshness decides at read time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from foliospark import schemas as S
 from foliospark.functions.text import md5_text
 from foliospark.operators.chunking import chunk_chapters
-from foliospark.schemas import TABLES
+from foliospark.sources.tables import read_table, write_new_chunks
+from foliospark.streaming.folds import use_rocksdb
 
 SAVED = "chapter_id long, project_id string, revision_number long, plain_text string, at_us long"
-INDEXED = "chapter_id long, due_us long, project_id string, revision_number long, plain_text string"
-
-
-def due_chapters(saves: DataFrame, gap_seconds: int = S.DEBOUNCE_SECONDS, delay: str = "10 minutes") -> DataFrame:
-    """The latest text of every run of saves that is over, once the watermark has passed its end."""
-    timed = saves.withColumn("ts", F.timestamp_micros("at_us")).withWatermark("ts", delay)
-    latest = F.max_by(F.struct("project_id", "revision_number", "plain_text"), "revision_number")
-    runs = timed.groupBy("chapter_id", F.session_window("ts", f"{gap_seconds} seconds").alias("run")).agg(latest.alias("save"))
-    return runs.select("chapter_id", F.unix_micros("run.end").alias("due_us"), "save.*")
+RUNS = "chapter_id long, project_id string, revision_number long, plain_text string, at_us long, status string, attempts long"
+SECOND = 1_000_000
+
+
+class IndexJobs(StatefulProcessor):
+    """The job of one chapter: a row for each run of it that has come due.
+
+    Saves wait in the state until the watermark has passed them, so that none is overtaken by an earlier one. Saves and runs
+    then take place in the order of their times, a save before a run of the same moment.
+    """
+
+    def __init__(self, gap: int, backoff: int, most: int):
+        self.gap, self.backoff, self.most = gap, backoff, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, revision long, project string, text string, failing long")
+        # The latest save, when its next run is due, and the runs that failed.
+        self.job = handle.getValueState("job", "due long, attempts long, revision long, project string, text string, failing long")
+
+    def _wake(self, job, waiting) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        times = [w[0] for w in waiting] + ([job[0]] if job else [])
+        if times:
+            # A moment has passed when the watermark, in milliseconds, has reached the end of its millisecond.
+            self.handle.registerTimer(-(-min(times) // 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                self.waiting.appendValue((int(r.at_us), int(r.revision_number), r.project_id, r.plain_text, int(r.failing)))
+        job = tuple(self.job.get()) if self.job.exists() else None
+        self._wake(job, [tuple(w) for w in self.waiting.get()])
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        saves = sorted((tuple(w) for w in self.waiting.get()), key=lambda w: (w[0], w[1]))
+        job = tuple(self.job.get()) if self.job.exists() else None
+        done, out = 0, []
+        while True:
+            save = saves[done] if done < len(saves) and saves[done][0] <= now else None
+            if save and (not job or save[0] <= job[0]):
+                job = (save[0] + self.gap, 0, *save[1:])
+                done += 1
+            elif job and job[0] <= now:
+                due, attempts, revision, project, text, failing = job
+                failed = attempts < failing
+                status = "ready" if not failed else "dead" if attempts + 1 >= self.most else "failed"
+                out.append((key[0], project, revision, text if status == "ready" else None, due, status, attempts + failed))
+                job = (due + self.backoff * 2**attempts, attempts + 1, *job[2:]) if status == "failed" else None
+            else:
+                break
+        self.waiting.put(saves[done:]) if saves[done:] else self.waiting.clear()
+        self.job.update(job) if job else self.job.clear()
+        self._wake(job, saves[done:])
+        names = ["chapter_id", "project_id", "revision_number", "plain_text", "at_us", "status", "attempts"]
+        yield pd.DataFrame(out, columns=names)
+
+    def close(self) -> None:
+        pass
+
+
+def failing_runs(saves: DataFrame) -> DataFrame:
+    """The saves with ``failing``: how many runs of each must fail. A text that cannot be chunked fails always, any other never."""
+    if "failing" in saves.columns:
+        return saves
+    bad = F.col("plain_text").isNull() | (F.octet_length("plain_text") > S.MAX_TEXT_BYTES)
+    return saves.withColumn("failing", F.when(bad, S.MAX_ATTEMPTS).otherwise(0).cast("long"))
+
+
+def index_runs(
+    saves: DataFrame,
+    gap_seconds: int = S.DEBOUNCE_SECONDS,
+    delay: str = "10 minutes",
+    backoff_seconds: int = S.BACKOFF_SECONDS,
+    attempts: int = S.MAX_ATTEMPTS,
+) -> DataFrame:
+    """Every run of an index job, once the watermark has passed it: chapter, revision, text (of a good run), time, status, attempts.
+
+    ``saves`` is a stream of SAVED, with ``failing`` where a test or a check says how many runs of a save fail. Saves older than
+    the watermark are too late and dropped.
+    """
+    use_rocksdb(saves.sparkSession)
+    timed = failing_runs(saves).where(F.col("chapter_id").isNotNull() & F.col("at_us").isNotNull())
+    timed = timed.withColumn("ts", F.timestamp_micros("at_us")).withWatermark("ts", delay)
+    return timed.groupBy("chapter_id").transformWithStateInPandas(
+        statefulProcessor=IndexJobs(gap_seconds * SECOND, backoff_seconds * SECOND, attempts),
+        outputStructType=RUNS,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
 
 
 def index_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
-    """Store the texts of one micro-batch once, then chunk them and record their jobs."""
-    spark = batch.sparkSession
-
-    def place(name: str) -> str:
-        return f"{folder}/{name}/batch_id={batch_id}"
+    """Record the runs of one micro-batch, texts included, then chunk the texts that are ready.
 
-    batch.write.mode("overwrite").parquet(place("indexed_chapters"))
-    texts = spark.read.schema(INDEXED).parquet(place("indexed_chapters"))
-    chunk_chapters(texts).write.mode("overwrite").parquet(place("story_chunks"))
-    texts.select(
-        "chapter_id",
-        "project_id",
-        F.col("revision_number").alias("source_revision"),
-        md5_text(F.col("plain_text")).alias("source_hash"),
-        F.lit("ready").alias("status"),
-        F.col("due_us").alias("available_us"),
-    ).write.mode("overwrite").parquet(place("job_log"))
+    A repeated batch overwrites its own log and finds its chunks stored, so a restart repeats nothing.
+    """
+    spark = batch.sparkSession
+    place = f"{folder}/job_log/batch_id={batch_id}"
+    batch.write.mode("overwrite").parquet(place)
+    runs = spark.read.schema(RUNS).parquet(place)
+    write_new_chunks(chunk_chapters(runs.where(F.col("status") == "ready")), folder)
 
 
-def refresh_index(
-    saves: DataFrame, folder: str, checkpoint: str, gap_seconds: int = S.DEBOUNCE_SECONDS, delay: str = "10 minutes", **trigger
-) -> StreamingQuery:
+def refresh_index(saves: DataFrame, folder: str, checkpoint: str, gap_seconds: int = S.DEBOUNCE_SECONDS, delay: str = "10 minutes", backoff_seconds: int = S.BACKOFF_SECONDS, **trigger) -> StreamingQuery:
     """Start the refresh; ``trigger`` as for a stream writer, such as processingTime="1 minute"."""
     return (
-        due_chapters(saves, gap_seconds, delay)
+        index_runs(saves, gap_seconds, delay, backoff_seconds)
         .writeStream.foreachBatch(lambda batch, batch_id: index_batch(batch, batch_id, folder))
         .option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def latest_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest job of each chapter from the log."""
-    log = spark.read.parquet(f"{folder}/job_log")
+def _log(spark: SparkSession, folder: str) -> DataFrame:
+    status = F.when(F.col("status") == "dead", "failed").otherwise(F.col("status"))
+    return spark.read.parquet(f"{folder}/job_log").select(
+        "chapter_id",
+        "project_id",
+        F.col("revision_number").alias("source_revision"),
+        md5_text(F.col("plain_text")).alias("source_hash"),
+        status.alias("status"),
+        "attempts",
+        (F.col("status") == "dead").alias("dead_letter"),
+        F.when(F.col("status") != "ready", "INDEX_FAILED").alias("error"),
+        "at_us",
+        F.col("batch_id").cast("long").alias("batch_id"),
+    )
+
+
+def _newest(log: DataFrame) -> DataFrame:
     rest = [c for c in log.columns if c not in ("chapter_id", "batch_id")]
-    return log.groupBy("chapter_id").agg(F.max_by(F.struct(*rest), "source_revision").alias("j")).select("chapter_id", "j.*")
+    return log.groupBy("chapter_id").agg(F.max_by(F.struct(*rest), F.struct("at_us", "source_revision", "attempts")).alias("j")).select("chapter_id", "j.*")
+
+
+def _compacted(spark: SparkSession, folder: str) -> tuple[DataFrame | None, int]:
+    """The newest keyed table and the batch up to which it holds everything."""
+    try:
+        jobs = spark.read.parquet(f"{folder}/jobs")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None, -1
+    upto = jobs.select(F.max("upto")).first()[0]
+    return jobs.where(F.col("upto") == upto).drop("upto"), upto
+
+
+def latest_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest job of each chapter: the keyed table and the log folders written since."""
+    jobs, upto = _compacted(spark, folder)
+    log = _log(spark, folder).where(F.col("batch_id") > upto)
+    return _newest(log if jobs is None else log.drop("batch_id").unionByName(jobs))
+
+
+def dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters whose last save could not be indexed and is not tried again."""
+    return latest_jobs(spark, folder).where("dead_letter")
+
+
+def compact_jobs(spark: SparkSession, folder: str) -> int:
+    """Write the newest jobs as a keyed table of their own, so that readers need no log folder up to that batch; which one is returned.
+
+    A new table stands beside the old until it is whole; readers take the newest. Log folders up to the batch may be removed.
+    """
+    last = spark.read.parquet(f"{folder}/job_log").select(F.max(F.col("batch_id").cast("long"))).first()[0]
+    if last is not None and last > _compacted(spark, folder)[1]:
+        latest_jobs(spark, folder).write.mode("overwrite").parquet(f"{folder}/jobs/upto={last}")
+    return -1 if last is None else last
 
 
 def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(TABLES["story_chunks"]).parquet(f"{folder}/story_chunks")
+    return read_table(spark, folder, "story_chunks")

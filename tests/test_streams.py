@@ -1,3 +1,5 @@
+import contextlib
+import io
 import random
 
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from foliospark.operators.jobs import debounce
 from foliospark.operators.review import review_outcomes
 from foliospark.operators.revisions import save_outcomes
 from foliospark.session import cut_lineage, run_folder
+from foliospark.sources import tables
 from foliospark.streaming import folds, refresh, replay
 
 SECOND = 1_000_000
@@ -66,33 +69,84 @@ def test_debounce_stream_gives_the_closed_runs(spark, tmp_path):
     assert got.count() > 10
 
 
+REFRESH = refresh.SAVED + ", failing long"
+
+
 def test_refresh_indexes_due_chapters_once(spark, tmp_path):
     rows = [
-        (1, "p", 1, "Aurel bekerja.", 0),
-        (1, "p", 2, "Aurel pindah ke Bandung.", 20 * SECOND),
-        (2, "p", 1, "Kenan menulis.", 30 * SECOND),
-        (2, "p", 2, "Kenan menulis lagi.", 200 * SECOND),
-        (3, "p", 1, "Baru saja disimpan.", 400 * SECOND),
+        (1, "p", 1, "Aurel bekerja.", 0, 0),
+        (1, "p", 2, "Aurel pindah ke Bandung.", 20 * SECOND, 0),
+        (2, "p", 1, "Kenan menulis.", 30 * SECOND, 0),
+        (2, "p", 2, "Kenan menulis lagi.", 200 * SECOND, 0),
+        (3, "p", 1, "Baru saja disimpan.", 600 * SECOND, 0),
+        (4, "p", 1, "Gagal sekali.", 40 * SECOND, 1),
+        (5, "p", 1, "Gagal terus.", 50 * SECOND, 9),
+        (6, "p", 1, "Gagal, lalu diganti.", 100 * SECOND, 9),
+        (6, "p", 2, "Gantinya baik.", 160 * SECOND, 0),
+        (7, "p", 1, None, 60 * SECOND, 3),
     ]
-    saves = spark.createDataFrame(rows, refresh.SAVED)
-    source, tables = str(tmp_path / "in"), str(tmp_path / "tables")
+    saves = spark.createDataFrame(rows, REFRESH)
+    source, folder = str(tmp_path / "in"), str(tmp_path / "tables")
     _files(saves, source, 4)
     state = run_folder(spark, "refresh")
 
     def run():
         stream = replay.read_stream(spark, source, saves, files_per_trigger=1)
-        refresh.refresh_index(stream, tables, state, delay="0 seconds").awaitTermination()
-        return sorted((r.chapter_id, r.source_revision, r.content) for r in refresh.stored_chunks(spark, tables).collect())
+        refresh.refresh_index(stream, folder, state, delay="0 seconds").awaitTermination()
+        return sorted((r.chapter_id, r.source_revision, r.content) for r in refresh.stored_chunks(spark, folder).collect())
 
-    # The first text of chapter 1 was replaced before it was due; chapter 3 is still open.
-    want = [(1, 2, "Aurel pindah ke Bandung."), (2, 1, "Kenan menulis."), (2, 2, "Kenan menulis lagi.")]
+    # The first text of chapter 1 was replaced before it was due; chapter 3 still rests.
+    want = [(1, 2, "Aurel pindah ke Bandung."), (2, 1, "Kenan menulis."), (2, 2, "Kenan menulis lagi."), (4, 1, "Gagal sekali."), (6, 2, "Gantinya baik.")]
     assert run() == want
-    jobs = {r.chapter_id: (r.status, r.source_revision) for r in refresh.latest_jobs(spark, tables).collect()}
-    assert jobs == {1: ("ready", 2), 2: ("ready", 2)}
-    # A restart with nothing new adds nothing, and a repeated batch overwrites its own folder.
+    log = spark.read.parquet(f"{folder}/job_log").collect()
+    tries = sorted((r.chapter_id, r.at_us // SECOND, r.status, r.attempts) for r in log if r.chapter_id > 3)
+    assert tries == [
+        (4, 85, "failed", 1), (4, 115, "ready", 1),
+        (5, 95, "failed", 1), (5, 125, "failed", 2), (5, 185, "dead", 3),
+        (6, 145, "failed", 1), (6, 205, "ready", 0),
+        (7, 105, "failed", 1), (7, 135, "failed", 2), (7, 195, "dead", 3),
+    ]
+    state_of = {r.chapter_id: (r.status, r.source_revision, r.dead_letter) for r in refresh.latest_jobs(spark, folder).collect()}
+    assert state_of == {1: ("ready", 2, False), 2: ("ready", 2, False), 4: ("ready", 1, False), 5: ("failed", 1, True), 6: ("ready", 2, False), 7: ("failed", 1, True)}
+    assert sorted(r.chapter_id for r in refresh.dead_letters(spark, folder).collect()) == [5, 7]
+    # A restart with nothing new adds nothing, a repeated batch finds its chunks stored, and compaction changes no answer.
     assert run() == want
-    batch = next(p for p in (tmp_path / "tables" / "indexed_chapters").glob("batch_id=*") if spark.read.parquet(str(p)).count())
-    refresh.index_batch(spark.read.schema(refresh.INDEXED).parquet(str(batch)).cache(), int(batch.name.split("=")[1]), tables + "-copy")
-    refresh.index_batch(spark.read.schema(refresh.INDEXED).parquet(str(batch)).cache(), int(batch.name.split("=")[1]), tables + "-copy")
-    once = refresh.stored_chunks(spark, tables + "-copy").count()
-    assert once == spark.read.parquet(str(batch)).count()
+    batch = next(p for p in (tmp_path / "tables" / "job_log").glob("batch_id=*") if spark.read.parquet(str(p)).where("status = 'ready'").count())
+    rows = spark.read.schema(refresh.RUNS).parquet(str(batch)).collect()
+    refresh.index_batch(spark.createDataFrame(rows, refresh.RUNS), int(batch.name.split("=")[1]), folder)
+    assert sorted((r.chapter_id, r.source_revision, r.content) for r in refresh.stored_chunks(spark, folder).collect()) == want
+    upto = refresh.compact_jobs(spark, folder)
+    assert upto >= 0 and refresh.compact_jobs(spark, folder) == upto
+    assert {r.chapter_id: (r.status, r.source_revision, r.dead_letter) for r in refresh.latest_jobs(spark, folder).collect()} == state_of
+
+
+def test_what_is_indexed_does_not_depend_on_the_batches(spark, tmp_path):
+    rng = random.Random(4)
+    rows, at = [], 0
+    for event in range(150):
+        at += rng.choice([0, 1, 30, 45, 50, 400]) * SECOND
+        rows.append((rng.choice([1, 1, 2, 3]), "p", event, f"teks {event}", at, rng.choice([0, 0, 1, 2, 3])))
+    saves = spark.createDataFrame(rows, REFRESH)
+    results = []
+    for parts in (1, 5):
+        source = str(tmp_path / f"in{parts}")
+        _files(saves, source, parts)
+        stream = replay.read_stream(spark, source, saves, files_per_trigger=1)
+        results.append(sorted(map(repr, replay.drain(refresh.index_runs(stream, delay="30 seconds")).collect())))
+    assert results[0] == results[1] and len(results[0]) > 50
+
+
+def test_chunks_are_appended_once(spark, tmp_path, corpus):
+    folder = str(tmp_path)
+    fresh = corpus.fresh_chunks.where("chapter_id < 40")
+    tables.write_new_chunks(fresh.where("chapter_id < 20"), folder)
+    tables.write_new_chunks(fresh, folder)
+    tables.write_new_chunks(fresh, folder)
+    stored = tables.read_table(spark, folder, "story_chunks")
+    assert stored.columns == fresh.select(stored.columns).columns and stored.count() == stored.dropDuplicates(["chunk_id"]).count() == fresh.count()
+    # One chapter's append looks into one folder.
+    one = fresh.where("chapter_id = 7").withColumn("chapter_bucket", tables._chapter_bucket())
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        tables.stored_chunks(spark, f"{folder}/story_chunks", one).explain()
+    assert "PartitionFilters: [isnotnull(chapter_bucket" in text.getvalue()
