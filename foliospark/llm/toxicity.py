@@ -28,7 +28,7 @@ DOUBT = 20.0
 #: Neighbours that vote, rows of one block of the index, blocks read at once, weight of a neighbour at distance 0 (1 / NEAR).
 NEIGHBOURS, BLOCK, READ, NEAR = 16, 32, 8, 0.1
 #: Share of the examples from which on a term is common; queries answered together.
-COMMON, TOGETHER = 0.02, 128
+COMMON, TOGETHER = 0.05, 128
 #: Neighbours named as evidence.
 SHOWN = 3
 #: Rows with remainder HELD of crc32(doc_id) by FOLDS are never learned from; scores from CUT on are called toxic.
