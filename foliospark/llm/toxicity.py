@@ -20,7 +20,7 @@ from foliospark.llm import common
 from foliospark.llm.quality import labelled_sample
 
 #: Labelled rows learned from, at most: those whose hashed doc_id comes first.
-EXAMPLES = 4096
+EXAMPLES = 3000
 #: Lengths in characters of the beginnings that count as terms.
 STEMS = (4, 6)
 #: Likelihood ratio at which a term's mutual information counts half.
