@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 # These walk sorted rows in Python on purpose; everything else must stay in the JVM.
 PYTHON = {
     "duplicate_keys", "orphans",
-    "revision_fold", "chapter_history", "version_pages", "version_export", "version_restore", "late_saves", "row_edits",
+    "revision_fold", "chapter_history", "version_pages", "version_export", "version_restore", "restore_rejects", "late_saves", "row_edits",
     "job_upsert", "fact_review", "fact_state", "quota_accept", "quota_accept_tight",
     # Products of tiles of vectors, and least hashes of shingles.
     "vector_topk", "vector_index_topk", "vector_recall", "hybrid_topk", "hybrid_filtered",
