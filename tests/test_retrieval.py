@@ -157,3 +157,36 @@ def test_words_are_counted_in_their_row(spark):
     for r in sorted(plain, key=lambda r: r.token.encode()):
         want.setdefault(int(r.chunk_id), []).append((r.token, r.tf))
     assert got == want and got[3] == [("a", 3), ("b", 2)] and got[5] == [("x", 20_000), ("xy", 1)]
+
+
+def test_hits_are_counted_where_the_words_of_a_chunk_are(spark, corpus, tmp_path):
+    """Nothing is moved per query and chunk but the first rows of each query, and the index has no text keys in its rows."""
+    path = str(tmp_path / "index")
+    write_index(corpus.chunks, path)
+    assert set(spark.read.parquet(f"{path}/postings").columns) == {"project_id", "token", "chapter_id", "chunk_key", "tf", "token_bucket"}
+    index = read_index(spark, path, R.query_terms(corpus.questions))
+    for facts in (None, corpus.grounded_facts):
+        hits = R.retrieve(corpus.questions, corpus.chunks, corpus.chapter_keys, corpus.jobs, facts, index=index)
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            hits.explain()
+        plan = text.getvalue().splitlines()
+        # The exchange by query takes the rows that its limit leaves; no other one has a query in its key.
+        moved = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(query_id" in line]
+        assert len(moved) == 1 and "WindowGroupLimit" in plan[moved[0] + 1] and "Partial" in plan[moved[0] + 1]
+        assert "SortMergeJoin [project_id" not in text.getvalue()
+
+
+def test_a_fact_without_an_id_and_equal_chapters(spark, story):
+    df, chunks = story
+    asked = spark.createDataFrame([(1, "north", "rahasia kapal")], "query_id long, project_id string, query string")
+    one = chunks.where("project_id = 'north'").limit(1).select(
+        F.lit(None).cast("string").alias("fact_id"), "project_id", "chunk_id", F.lit("kapal kapal rahasia").alias("claim"), F.substring("content", 1, 5).alias("quote"), F.lit("approved").alias("status"), F.lit(0).cast("long").alias("revision")
+    )
+    jobs = ready_jobs(df)
+    plain = {r.chunk_id: r.score for r in R.retrieve(asked, chunks, df, jobs).collect()}
+    hit = one.first().chunk_id
+    got = {r.chunk_id: r.score for r in R.retrieve(asked, chunks, df, jobs, one).collect()}
+    assert round(10 * got[hit]) == round(10 * plain.get(hit, 0)) + 3
+    twice = R.retrieve(asked, chunks, df.unionByName(df), jobs, one).collect()
+    assert sorted(r.score for r in twice) == sorted([*got.values(), *got.values()])
