@@ -28,16 +28,18 @@ def read_owned(spark: SparkSession, folder: str, name: str, owner_id: str) -> Da
     return scoped(read_table(spark, folder, name), read_table(spark, folder, "projects"), owner_id)
 
 
-def write_new_chunks(fresh: DataFrame, folder: str) -> None:
+def write_new_chunks(fresh: DataFrame, folder: str, chapters: DataFrame | None = None) -> None:
     """Append only chunks the table does not hold; repeating the call adds nothing.
 
     The table lies in folders by chapter. Only the keys in the folders of the fresh chapters are read; their numbers, at
-    most as many as there are folders, are gathered for that.
+    most as many as there are folders, are gathered for that. They are taken from ``chapters``, the rows that the chunks
+    were made from, where it is given, so that no text is chunked for them.
     """
     spark = fresh.sparkSession
     path = f"{folder}/story_chunks"
     placed = fresh.withColumn("chapter_bucket", _chapter_bucket())
-    append_chunks(stored_chunks(spark, path, placed), placed).write.mode("append").partitionBy("chapter_bucket").parquet(path)
+    touched = placed if chapters is None else chapters.select("chapter_id").withColumn("chapter_bucket", _chapter_bucket())
+    append_chunks(stored_chunks(spark, path, touched), placed).write.mode("append").partitionBy("chapter_bucket").parquet(path)
 
 
 def _chapter_bucket() -> Column:

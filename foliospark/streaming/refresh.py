@@ -1,10 +1,10 @@
 """Keeping the index up to date: accepted saves in, chunks of due chapters out, with retries and dead letters.
 
-Each chapter has a job in the state store: its latest save, when it is due, and how often it has failed. A save puts the job
-back to the start, so a chapter is indexed once it has rested for the debounce time. A run that fails is due again after 30,
-60, then 120 seconds; after three failures the job is a dead letter until the next save. Timers in event time start the
-runs: what happens follows from the saves alone and not from how they fall into micro-batches. One chapter that
-cannot be indexed neither stops the stream nor holds up others.
+Each chapter has a job in the state store, where the jobs of a group of chapters lie together: its latest save, when it is
+due, and how often it has failed. A save puts the job back to the start, so a chapter is indexed once it has rested for the
+debounce time. A run that fails is due again after 30, 60, then 120 seconds; after three failures the job is a dead letter
+until the next save. Timers in event time start the runs: what happens follows from the saves alone and not from how they
+fall into micro-batches. One chapter that cannot be indexed neither stops the stream nor holds up others.
 
 Tables in the folder: ``job_log`` grows by one folder per micro-batch, a repeated batch overwrites its own; ``jobs`` is the
 newest job of each chapter up to a batch, made by ``compact_jobs``; ``story_chunks`` lies in folders by chapter and never takes
@@ -29,13 +29,26 @@ from foliospark.streaming.folds import use_rocksdb
 SAVED = "chapter_id long, project_id string, revision_number long, plain_text string, at_us long"
 RUNS = "chapter_id long, project_id string, revision_number long, plain_text string, at_us long, status string, attempts long"
 SECOND = 1_000_000
+# Chapters are kept in so many groups; a checkpoint goes on with the number it began with.
+GROUPS = 4096
+# Rows in a value of the state store, column by column. A call costs as much as some hundred rows in it.
+PACK = 1_000
+
+
+def _packed(rows: list[tuple]) -> list[tuple]:
+    return [tuple(list(column) for column in zip(*rows[i : i + PACK])) for i in range(0, len(rows), PACK)]
+
+
+def _unpacked(values: Iterator[tuple]) -> list[tuple]:
+    return [row for value in values for row in zip(*value)]
 
 
 class IndexJobs(StatefulProcessor):
-    """The job of one chapter: a row for each run of it that has come due.
+    """The jobs of a group of chapters: a row for each run that has come due.
 
     Saves wait in the state until the watermark has passed them, so that none is overtaken by an earlier one. Saves and runs
-    then take place in the order of their times, a save before a run of the same moment.
+    of a chapter then take place in the order of their times, a save before a run of the same moment. The state holds what is
+    still open, and no more of a group than that is read when its timer wakes it.
     """
 
     def __init__(self, gap: int, backoff: int, most: int):
@@ -43,33 +56,35 @@ class IndexJobs(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, revision long, project string, text string, failing long")
+        save = "revision array<long>, project array<string>, text array<string>, failing array<long>"
+        self.waiting = handle.getListState("waiting", f"chapter array<long>, at array<long>, {save}")
         # The latest save, when its next run is due, and the runs that failed.
-        self.job = handle.getValueState("job", "due long, attempts long, revision long, project string, text string, failing long")
+        self.jobs = handle.getListState("jobs", f"chapter array<long>, due array<long>, attempts array<long>, {save}")
 
-    def _wake(self, job, waiting) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        times = [w[0] for w in waiting] + ([job[0]] if job else [])
-        if times:
-            # A moment has passed when the watermark, in milliseconds, has reached the end of its millisecond.
-            self.handle.registerTimer(-(-min(times) // 1000))
+    def _wake(self, at: int) -> None:
+        # A moment has passed when the watermark, in milliseconds, has reached the end of its millisecond.
+        self.handle.registerTimer(-(-at // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
-            for r in batch.itertuples(index=False):
-                self.waiting.appendValue((int(r.at_us), int(r.revision_number), r.project_id, r.plain_text, int(r.failing)))
-        job = tuple(self.job.get()) if self.job.exists() else None
-        self._wake(job, [tuple(w) for w in self.waiting.get()])
+            chapters, at, revisions, failing = ([int(n) for n in batch[c].tolist()] for c in ("chapter_id", "at_us", "revision_number", "failing"))
+            saves = zip(chapters, at, revisions, batch["project_id"].tolist(), batch["plain_text"].tolist(), failing)
+            self.waiting.appendList(_packed(list(saves)))
+            first = min(at) if first is None else min(first, *at)
+        # A group has one timer: the first moment at which something happens.
+        timers = list(self.handle.listTimers())
+        if not timers or -(-first // 1000) < min(timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self._wake(first)
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        saves = sorted((tuple(w) for w in self.waiting.get()), key=lambda w: (w[0], w[1]))
-        job = tuple(self.job.get()) if self.job.exists() else None
-        done, out = 0, []
+    def _run(self, chapter: int, saves: list[tuple], job: tuple | None, now: int, out: list[tuple]) -> tuple | None:
+        """What happens to a chapter up to now; its runs are added to ``out``, the job that is left is returned."""
+        done = 0
         while True:
-            save = saves[done] if done < len(saves) and saves[done][0] <= now else None
+            save = saves[done] if done < len(saves) else None
             if save and (not job or save[0] <= job[0]):
                 job = (save[0] + self.gap, 0, *save[1:])
                 done += 1
@@ -77,15 +92,34 @@ class IndexJobs(StatefulProcessor):
                 due, attempts, revision, project, text, failing = job
                 failed = attempts < failing
                 status = "ready" if not failed else "dead" if attempts + 1 >= self.most else "failed"
-                out.append((key[0], project, revision, text if status == "ready" else None, due, status, attempts + failed))
+                out.append((chapter, project, revision, text if status == "ready" else None, due, status, attempts + failed))
                 job = (due + self.backoff * 2**attempts, attempts + 1, *job[2:]) if status == "failed" else None
             else:
-                break
-        self.waiting.put(saves[done:]) if saves[done:] else self.waiting.clear()
-        self.job.update(job) if job else self.job.clear()
-        self._wake(job, saves[done:])
-        names = ["chapter_id", "project_id", "revision_number", "plain_text", "at_us", "status", "attempts"]
-        yield pd.DataFrame(out, columns=names)
+                return job
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        jobs = {job[0]: job[1:] for job in _unpacked(self.jobs.get())}
+        saves = _unpacked(self.waiting.get())
+        later, out = [s for s in saves if s[1] > now], []
+        passed = {chapter: [] for chapter, job in jobs.items() if job[0] <= now}
+        for save in sorted((s for s in saves if s[1] <= now), key=lambda s: s[1:3]):
+            passed.setdefault(save[0], []).append(save[1:])
+        for chapter, own in passed.items():
+            job = self._run(chapter, own, jobs.pop(chapter, None), now, out)
+            if job:
+                jobs[chapter] = job
+        if len(later) < len(saves):
+            self.waiting.put(_packed(later)) if later else self.waiting.clear()
+        if passed:
+            self.jobs.put(_packed([(chapter, *job) for chapter, job in jobs.items()])) if jobs else self.jobs.clear()
+        # Spark takes away the timer that has expired.
+        times = [s[1] for s in later] + [job[0] for job in jobs.values()]
+        if times:
+            self._wake(min(times))
+        if out:
+            names = ["chapter_id", "project_id", "revision_number", "plain_text", "at_us", "status", "attempts"]
+            yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
         pass
@@ -114,7 +148,8 @@ def index_runs(
     use_rocksdb(saves.sparkSession)
     timed = failing_runs(saves).where(F.col("chapter_id").isNotNull() & F.col("at_us").isNotNull())
     timed = timed.withColumn("ts", F.timestamp_micros("at_us")).withWatermark("ts", delay)
-    return timed.groupBy("chapter_id").transformWithStateInPandas(
+    grouped = timed.withColumn("chapter_group", F.pmod(F.xxhash64("chapter_id"), F.lit(GROUPS)).cast("int"))
+    return grouped.groupBy("chapter_group").transformWithStateInPandas(
         statefulProcessor=IndexJobs(gap_seconds * SECOND, backoff_seconds * SECOND, attempts),
         outputStructType=RUNS,
         outputMode="Append",
@@ -127,11 +162,10 @@ def index_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
 
     A repeated batch overwrites its own log and finds its chunks stored, so a restart repeats nothing.
     """
-    spark = batch.sparkSession
     place = f"{folder}/job_log/batch_id={batch_id}"
     batch.write.mode("overwrite").parquet(place)
-    runs = spark.read.schema(RUNS).parquet(place)
-    write_new_chunks(chunk_chapters(runs.where(F.col("status") == "ready")), folder)
+    ready = batch.sparkSession.read.schema(RUNS).parquet(place).where(F.col("status") == "ready")
+    write_new_chunks(chunk_chapters(ready), folder, ready)
 
 
 def refresh_index(saves: DataFrame, folder: str, checkpoint: str, gap_seconds: int = S.DEBOUNCE_SECONDS, delay: str = "10 minutes", backoff_seconds: int = S.BACKOFF_SECONDS, **trigger) -> StreamingQuery:

@@ -2,6 +2,7 @@ import contextlib
 import io
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from foliospark.operators import quota
@@ -136,6 +137,129 @@ def test_what_is_indexed_does_not_depend_on_the_batches(spark, tmp_path):
     assert results[0] == results[1] and len(results[0]) > 50
 
 
+class _Store:
+    """One key of a state store in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.lists, self.timers = 0, {}, []
+
+    def getListState(self, name, schema):
+        return _List(self, self.lists.setdefault(name, []))
+
+    def getValueState(self, name, schema):
+        return _List(self, self.lists.setdefault(name, []))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(list(self.timers))
+
+
+class _List:
+    def __init__(self, store, rows):
+        self.store, self.rows = store, rows
+
+    def get(self):
+        self.store.calls += 1
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.store.calls += 1
+        self.rows[:] = rows
+
+    def appendList(self, rows):
+        self.store.calls += 1
+        self.rows.extend(rows)
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def exists(self):
+        self.store.calls += 1
+        return bool(self.rows)
+
+    def clear(self):
+        self.put([])
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_calls_to_the_state_store_do_not_grow_with_the_saves():
+    columns = ["chapter_id", "project_id", "revision_number", "plain_text", "at_us", "failing"]
+    seen = []
+    for n in (100, 3000):
+        store, jobs = _Store(), refresh.IndexJobs(45 * SECOND, 30 * SECOND, 3)
+        jobs.init(store)
+        rows = [(i % 7, "p", i, f"teks {i}" if i % 5 else None, i * 60 * SECOND, 0 if i % 5 else 3) for i in range(n)]
+        half = pd.DataFrame(rows[: n // 2], columns=columns), pd.DataFrame(rows[n // 2 :], columns=columns)
+        for part in half:
+            assert list(jobs.handleInputRows((1,), iter([part]), _Watermark(0))) == []
+        out = []
+        for watermark in (n * 20_000, n * 60_000 + 1_000_000):
+            store.timers = [t for t in store.timers if t > watermark]
+            out += [tuple(r) for f in jobs.handleExpiredTimer((1,), _Watermark(watermark), None) for r in f.itertuples(index=False, name=None)]
+        assert sorted(r[2] for r in out if r[5] == "ready") == [i for i in range(n) if i % 5]
+        assert sorted(r[2] for r in out if r[5] == "dead") == [i for i in range(n) if i % 5 == 0]
+        assert not store.timers and not any(store.lists.values())
+        seen.append(store.calls)
+    assert seen[0] == seen[1] < 30
+
+
+def test_chapters_of_a_group_keep_apart(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    rows, at = [], 0
+    for event in range(240):
+        at += rng.choice([0, 7, 30, 45, 90]) * SECOND
+        rows.append((rng.randrange(40), "p", event, rng.choice([None, f"teks {event}"]), at, rng.choice([0, 0, 1, 2, 3])))
+    saves = spark.createDataFrame(rows, REFRESH)
+    _files(saves, str(tmp_path / "in"), 4)
+
+    def run(label):
+        stream = replay.read_stream(spark, str(tmp_path / "in"), saves, files_per_trigger=1)
+        folder = str(tmp_path / label)
+        query = refresh.refresh_index(stream, folder, run_folder(spark, "refresh"), delay="30 seconds")
+        query.awaitTermination()
+        most = max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"])
+        return sorted(map(repr, spark.read.parquet(f"{folder}/job_log").drop("batch_id").collect())), most
+
+    apart, _ = run("many")
+    monkeypatch.setattr(refresh, "GROUPS", 2)
+    together, most = run("two")
+    assert apart == together and len(apart) > 60
+    # Two lists and a timer for each of two groups, however many chapters are open.
+    assert most <= 6
+    # Plain loop over the saves of each chapter.
+    end = max(r[4] for r in rows) // 1000 * 1000 - 30 * SECOND
+    want = []
+    for chapter in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == chapter), key=lambda r: (r[4], r[2]))
+        for save, later in zip(own, [*own[1:], None]):
+            due = save[4] + 45 * SECOND
+            for attempt in range(3):
+                if due > end or later and due >= later[4]:
+                    break
+                failed = attempt < save[5]
+                want.append((chapter, save[2], due, "dead" if failed and attempt == 2 else "failed" if failed else "ready", attempt + failed))
+                if not failed:
+                    break
+                due += 30 * SECOND * 2**attempt
+    log = spark.read.parquet(str(tmp_path / "two" / "job_log")).collect()
+    assert sorted((r.chapter_id, r.revision_number, r.at_us, r.status, r.attempts) for r in log) == sorted(want)
+
+
 def test_chunks_are_appended_once(spark, tmp_path, corpus):
     folder = str(tmp_path)
     fresh = corpus.fresh_chunks.where("chapter_id < 40")
