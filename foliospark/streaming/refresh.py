@@ -157,22 +157,24 @@ def index_runs(
     )
 
 
-def index_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
+def index_batch(batch: DataFrame, batch_id: int, folder: str, session: SparkSession | None = None) -> None:
     """Record the runs of one micro-batch, texts included, then chunk the texts that are ready.
 
-    A repeated batch overwrites its own log and finds its chunks stored, so a restart repeats nothing.
+    A repeated batch overwrites its own log and finds its chunks stored, so a restart repeats nothing. A stream's own session
+    plans without adaptive execution, and every shuffle partition would write a file to every folder; ``session`` is one with it.
     """
     place = f"{folder}/job_log/batch_id={batch_id}"
     batch.write.mode("overwrite").parquet(place)
-    ready = batch.sparkSession.read.schema(RUNS).parquet(place).where(F.col("status") == "ready")
+    ready = (session or batch.sparkSession).read.schema(RUNS).parquet(place).where(F.col("status") == "ready")
     write_new_chunks(chunk_chapters(ready), folder, ready)
 
 
 def refresh_index(saves: DataFrame, folder: str, checkpoint: str, gap_seconds: int = S.DEBOUNCE_SECONDS, delay: str = "10 minutes", backoff_seconds: int = S.BACKOFF_SECONDS, **trigger) -> StreamingQuery:
     """Start the refresh; ``trigger`` as for a stream writer, such as processingTime="1 minute"."""
+    session = saves.sparkSession
     return (
         index_runs(saves, gap_seconds, delay, backoff_seconds)
-        .writeStream.foreachBatch(lambda batch, batch_id: index_batch(batch, batch_id, folder))
+        .writeStream.foreachBatch(lambda batch, batch_id: index_batch(batch, batch_id, folder, session))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(**(trigger or {"availableNow": True}))

@@ -260,6 +260,22 @@ def test_chapters_of_a_group_keep_apart(spark, tmp_path, monkeypatch):
     assert sorted((r.chapter_id, r.revision_number, r.at_us, r.status, r.attempts) for r in log) == sorted(want)
 
 
+def test_adaptive_plans_append_the_chunks(spark, tmp_path, monkeypatch):
+    saves = spark.createDataFrame([(1, "p", 1, "Aurel bekerja.", 10 * SECOND, 0), (1, "p", 2, "Lagi.", 900 * SECOND, 0)], REFRESH)
+    _files(saves, str(tmp_path / "in"), 1)
+    found, write = [], refresh.write_new_chunks
+
+    def spied(fresh, folder, chapters):
+        found.append(fresh.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        write(fresh, folder, chapters)
+
+    monkeypatch.setattr(refresh, "write_new_chunks", spied)
+    stream = replay.read_stream(spark, str(tmp_path / "in"), saves)
+    refresh.refresh_index(stream, str(tmp_path / "tables"), run_folder(spark, "refresh")).awaitTermination()
+    assert found and set(found) == {"true"}
+    assert [r.content for r in refresh.stored_chunks(spark, str(tmp_path / "tables")).collect()] == ["Aurel bekerja."]
+
+
 def test_chunks_are_appended_once(spark, tmp_path, corpus):
     folder = str(tmp_path)
     fresh = corpus.fresh_chunks.where("chapter_id < 40")
