@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foliospark.functions.text import WORD_BREAK, let
 from foliospark.operators.mentions import words_in_order
 from foliospark.operators.ranking import top_rows
+from foliospark.session import cut_lineage
 
 #: Words that a chunk must share in a row with a passage, resamples of the interval, and its share in percent.
 RUN, RESAMPLES, COVERED = 13, 200, 95
@@ -18,10 +20,38 @@ MILLION = 1_000_000
 
 def _grams(rows: DataFrame, text: str, keys: list[str], place: str, run: int) -> DataFrame:
     """keys, place and a hash of every row of ``run`` words."""
-    words = rows.select(*keys, words_in_order(F.col(text)).alias("w")).where(F.size("w") >= run)
-    starts = F.sequence(F.lit(1), F.size("w") - (run - 1))
-    each = words.select(*keys, F.posexplode(F.transform(starts, lambda i: F.md5(F.array_join(F.slice("w", i, run), " ").cast("binary")))).alias(place, "gram"))
-    return each
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (run - 1))
+        grams = F.transform(starts, lambda i: F.md5(F.array_join(F.slice(w, i, run), " ").cast("binary")))
+        return F.when(F.size(w) >= run, grams).otherwise(F.array().cast("array<string>"))
+
+    # The words of a text are cut once, in one expression.
+    return rows.select(*keys, F.posexplode(let(words_in_order(F.col(text)), cut)).alias(place, "gram"))
+
+
+def _windows(text: Column, words: int, step: int) -> Column:
+    """Hashes of ``words`` words in a row, from every ``step``-th word on; a shorter text gives one."""
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)), F.lit(step))
+        return F.transform(starts, lambda i: F.xxhash64(*(F.get(w, i + n) for n in range(words))))
+
+    return let(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), ""), cut)
+
+
+def _near(chunks: DataFrame, passages: DataFrame, run: int) -> DataFrame:
+    """The chunks that may share ``run`` words in a row with a passage; none that does is lost.
+
+    Whatever stands in a row for ``run`` words holds one of the windows of half as many that follow one another in the
+    chunk. Those are looked for among all of the passages, so few words of a chunk are hashed and none is moved.
+    """
+    half = (run + 1) // 2
+    # Written, so that Spark knows how few they are.
+    asked = cut_lineage(passages.select(F.explode(_windows(F.col("text"), half, 1)).alias("window")).distinct())
+    cut = chunks.select(F.xxhash64("content").alias("_text"), F.explode(_windows(F.col("content"), half, half)).alias("window"))
+    held = cut_lineage(cut.join(asked, "window", "left_semi").select("_text").distinct())
+    return chunks.withColumn("_text", F.xxhash64("content")).join(held, "_text", "left_semi").drop("_text")
 
 
 def planted_passages(passages: DataFrame, chunks: DataFrame, run: int = RUN) -> DataFrame:
@@ -29,10 +59,11 @@ def planted_passages(passages: DataFrame, chunks: DataFrame, run: int = RUN) ->
 
     Every row of ``run`` words is one gram on both sides; grams that meet on one diagonal (place in the chunk less place in
     the passage) one after the other belong to one longer row. Case and what stands between words do not matter. Grams of
-    the chunks meet those of the passages on their hash, of which frequent ones are spread by Spark as any skewed key.
+    the chunks meet those of the passages on their hash, of which frequent ones are spread by Spark as any skewed key;
+    chunks that can have none in common are left out before.
     """
     asked = _grams(passages, "text", ["item_id"], "item_place", run).distinct()
-    found = _grams(chunks, "content", ["project_id", "chunk_id"], "place", run).join(asked, "gram")
+    found = _grams(_near(chunks, passages, run), "content", ["project_id", "chunk_id"], "place", run).join(asked, "gram")
     found = found.select("item_id", "project_id", "chunk_id", (F.col("place") - F.col("item_place")).alias("diagonal"), "place")
     # Islands: along a diagonal, place less row number stays the same while places follow one another.
     along = Window.partitionBy("item_id", "project_id", "chunk_id", "diagonal").orderBy("place")
